@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_checkpoints(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df, after a checkpoint folder is sure to be set: the one the cluster names, or a local one where none is."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
+    return df
+
+
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, fp and text of each row; other columns are left out, so their names cannot clash.
 
