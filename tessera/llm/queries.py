@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, with_checkpoints
+from tessera.llm.common import held_out, table, training_fold, with_checkpoints
+from tessera.llm.language_id import fit_filters, identify_language
 from tessera.llm.license_scan import license_scan
 from tessera.llm.jaccard_join import ngram_jaccard_join
 from tessera.llm.piece_bpe import encode_decode
@@ -15,6 +16,12 @@ from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.suffix_dedup import suffix_dedup
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = fit_filters(docs.select("doc_id", "text", "lang").where(training_fold(3, 1)))
+    return identify_language(docs, filters).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -55,6 +62,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_piece_bpe": op4_piece_bpe,
