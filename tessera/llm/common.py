@@ -110,7 +110,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
         head.append(len(raw))
         parts.append(raw)
     raw = np.array([len(head), *head], np.int64).tobytes() + b"".join(parts)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes) -> list[bytes]:
@@ -156,6 +156,11 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield last, rows
 
 
+def by_bucket(packed: DataFrame, partitions: int) -> DataFrame:
+    """Rows dealt out so that each partition has equally many of the numbered buckets, one after the other."""
+    return packed.repartitionById(partitions, F.col("bucket") % partitions).sortWithinPartitions("bucket")
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of intervals, as disjoint sorted intervals that do not touch."""
     if not len(starts):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import (
     GOLDEN, bytes_hash, grouped, keyed, mark_rows, mix, narrow, pack, ragged, read_spans,
-    shuffle_partitions, sliding_min, steps, unpack, wide, with_marks,
+    by_bucket, shuffle_partitions, sliding_min, steps, unpack, wide, with_marks,
 )
 
 PACKED = "bucket int, payload binary, doc_id long, fp long, spans binary"
@@ -28,6 +28,14 @@ def word_ids(texts: list[str], known: dict[bytes, int]) -> tuple[np.ndarray, np.
     return flat, sizes
 
 
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text starts and ends, in bytes."""
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    blank = np.concatenate([[True], space[np.frombuffer(raw, np.uint8)], [True]])
+    return np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+
+
 def equal_runs(flat: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether run a[i] and run b[i], of sizes[i] values each, hold the same values."""
     same = flat[ragged(a, sizes)] == flat[ragged(b, sizes)]
@@ -49,14 +57,17 @@ def super_kmers(width: int, sub: int, buckets: int):
         for batch in batches:
             for part in steps(batch):
                 known: dict[bytes, int] = defaultdict(count().__next__)
-                flat, sizes = word_ids(part.column("text").to_pylist(), known)
+                texts = part.column("text").to_pylist()
+                flat, sizes = word_ids(texts, known)
                 ids = np.asarray(part.column("doc_id").fill_null(0))
                 valid_id = np.asarray(part.column("doc_id").is_valid())
                 fps = np.asarray(part.column("fp"))
                 if len(flat) < width:
                     continue
-                words = list(known)
-                h = bytes_hash(words)[flat]
+                h = bytes_hash(list(known))[flat]
+                raw = "\n".join(texts).encode()
+                del known, texts
+                begin, end = word_bounds(raw)
                 grams = h[: len(h) - sub + 1].copy()
                 for j in range(1, sub):
                     grams = grams * GOLDEN + h[j : len(h) - sub + 1 + j]
@@ -99,10 +110,10 @@ def super_kmers(width: int, sub: int, buckets: int):
                 out_b, out_p = [], []
                 for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
                     s, m = start[a:b], length[a:b]
-                    used, local = np.unique(flat[ragged(s, m)], return_inverse=True)
+                    strings = [raw[x:y] for x, y in zip(begin[s].tolist(), end[s + m - 1].tolist(), strict=True)]
                     docs, doc = np.unique(row[s], return_inverse=True)
                     out_b.append(int(bucket[a]))
-                    out_p.append(pack(b" ".join([words[i] for i in used.tolist()]), narrow(local), narrow(m), ids[docs].astype(np.int64), fps[docs].astype(np.int64), narrow(doc), narrow(s - first[row[s]])))
+                    out_p.append(pack(b"\n".join(strings), narrow(m), ids[docs].astype(np.int64), fps[docs].astype(np.int64), narrow(doc), narrow(s - first[row[s]])))
                 yield rows(n=len(out_b), bucket=out_b, payload=out_p)
 
     return run
@@ -117,25 +128,25 @@ def count_windows(width: int):
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"] for r in ready], pa.int64()), "fp": pa.array([r["fp"] for r in ready], pa.int64()), "spans": pa.array([r["spans"] for r in ready], pa.binary())})
             known: dict[bytes, int] = defaultdict(count().__next__)
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for r in rows:
-                if r["payload"] is None:
-                    continue
-                words, local, length, ids, fps, doc, at = unpack(r["payload"])
-                number = np.fromiter(map(known.__getitem__, bytes(words).split(b" ")), np.int32)
+            for r in reversed([r for r in rows if r["payload"] is not None]):
+                words, length, ids, fps, doc, at = unpack(r.pop("payload"))
                 doc = wide(doc)
-                for c, x in zip(cols, (number[wide(local)], wide(length), np.frombuffer(ids, np.int64)[doc], np.frombuffer(fps, np.int64)[doc], wide(at)), strict=True):
+                for c, x in zip(cols, (np.fromiter(map(known.__getitem__, bytes(words).split()), np.int32), wide(length), np.frombuffer(ids, np.int64)[doc], np.frombuffer(fps, np.int64)[doc], wide(at)), strict=True):
                     c.append(x)
             if not cols[0]:
                 continue
             flat, length, ids, fps, at = map(np.concatenate, cols)
+            del cols, rows
             first = np.cumsum(length) - length
             windows = length - width + 1
             pos = ragged(first, windows)
             run_of = np.repeat(np.arange(len(length)), windows)
-            h = mix(flat.astype(np.uint64) + GOLDEN)
-            key = h[pos].copy()
+            h = mix(np.arange(len(known), dtype=np.uint64) + GOLDEN)
+            del known
+            key = h[flat[pos]]
             for j in range(1, width):
-                key = key * GOLDEN + h[pos + j]
+                key *= GOLDEN
+                key += h[flat[pos + j]]
             order = np.argsort(key, kind="stable")
             twin = key[order][1:] == key[order][:-1]
             near = np.concatenate([twin, [False]]) | np.concatenate([[False], twin])
@@ -186,9 +197,9 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_windows(docs: DataFrame, width: int = 13, sub: int = 3, buckets: int | None = None) -> DataFrame:
     """doc_id, fp, spans of the words that a window covers which also starts in a document with a smaller doc_id."""
-    n = buckets or shuffle_partitions(docs.sparkSession)
-    packed = keyed(docs).mapInArrow(super_kmers(width, sub, n), PACKED)
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(count_windows(width), MARKS)
+    n = shuffle_partitions(docs.sparkSession)
+    packed = keyed(docs).mapInArrow(super_kmers(width, sub, buckets or 2 * n), PACKED)
+    return by_bucket(packed, n).mapInArrow(count_windows(width), MARKS)
 
 
 def substring_dedup(docs: DataFrame, width: int = 13, sub: int = 3, buckets: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import (
-    GOLDEN, grouped, keyed, mark_rows, mix, narrow, pack, ragged, read_spans, shuffle_partitions,
+    GOLDEN, by_bucket, grouped, keyed, mark_rows, mix, narrow, pack, ragged, read_spans, shuffle_partitions,
     sliding_min, steps, unpack, wide, with_marks,
 )
 from tessera.llm.substring_dedup import MARKS, PACKED, equal_runs
@@ -313,9 +313,9 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_bytes(docs: DataFrame, length: int = 100, anchor: int = 16, period: int = 32, block: int = 1 << 20, buckets: int | None = None) -> DataFrame:
     """doc_id, fp, spans of the bytes that a length-byte string covers which also stands earlier."""
-    n = buckets or shuffle_partitions(docs.sparkSession)
-    packed = keyed(docs).mapInArrow(byte_runs(length, anchor, n), PACKED)
-    return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort_suffixes(length, period, block), MARKS)
+    n = shuffle_partitions(docs.sparkSession)
+    packed = keyed(docs).mapInArrow(byte_runs(length, anchor, buckets or 2 * n), PACKED)
+    return by_bucket(packed, n).mapInArrow(sort_suffixes(length, period, block), MARKS)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 16, period: int = 32, block: int = 1 << 20, buckets: int | None = None) -> DataFrame:
