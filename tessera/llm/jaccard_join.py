@@ -282,3 +282,12 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5)
     out = sketch.select("doc_id", "fp", "h1", "h2").join(named, ["h1", "h2"], "left")
     alone = F.col("n_links").isNull()
     return out.select("doc_id", "fp", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("fp")).otherwise(F.col("class_fp")).alias("class_fp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """docs, all columns, with the row that names each class alone; of rows equal in doc_id and text one stays."""
+    joined = ngram_jaccard_join(docs, threshold, width)
+    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp")))
+    kept = kept.select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("fp").alias("__fp")).distinct()
+    source = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__fp": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return source.join(kept, ["__none", "__id", "__fp"], "left_semi").dropDuplicates(["__none", "__id", "__fp"]).drop("__none", "__id", "__fp")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, table, training_fold, with_checkpoints
+from tessera.llm.decontaminate import find_items
 from tessera.llm.language_id import fit_filters, identify_language
 from tessera.llm.license_scan import license_scan
 from tessera.llm.jaccard_join import ngram_jaccard_join
@@ -49,6 +50,10 @@ def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("fp")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(with_checkpoints(spark, table(spark, sf_dir, "documents"))).select("doc_id", "class_id", "n_links")
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_piece_bpe": op4_piece_bpe,
     "op5_license_scan": op5_license_scan,
+    "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,

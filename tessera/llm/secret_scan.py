@@ -105,3 +105,13 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(fresh).alias("out"))
 
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+
+
+def redact_secrets(docs: DataFrame, reach: int = 256, mark: str = "[secret]") -> DataFrame:
+    """docs, all columns, with mark in the place of every span; n_chars, where it is there, follows the new text."""
+    spans = secret_scan(docs, reach).where(F.size("spans") > 0).groupBy(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("fp").alias("__fp")).agg(F.first("spans").alias("__spans"))
+    source = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__fp": F.xxhash64(F.coalesce("text", F.lit("")))})
+    out = source.join(spans, ["__none", "__id", "__fp"], "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans"), mark)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

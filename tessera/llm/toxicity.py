@@ -175,3 +175,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fp": part.column("fp"), "score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
     return keyed(docs).mapInArrow(run, "doc_id long, fp long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """docs, all columns, without the rows that the model predicts as toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch):
+                yield part.filter(pa.array(shared.value.score([t or "" for t in part.column("text").to_pylist()]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
