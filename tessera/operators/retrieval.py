@@ -250,7 +250,7 @@ def reselect_without_repeats(hits: DataFrame, queues: DataFrame) -> DataFrame:
                     rows.append((q, s["doc_id"], x["chunk_no"], s["rank"], x["within_doc_rank"]))
         return pd.DataFrame(rows, columns=["q_id", "doc_id", "chunk_no", "rank", "within_doc_rank"])
 
-    types = dict(hits.dtypes)
+    types = {**dict(hits.dtypes), "chunk_no": dict(queues.dtypes)["chunk_no"]}
     return slots.join(lined, "q_id").mapInPandas(lambda it: map(fill, it), f"q_id {types['q_id']}, doc_id {types['doc_id']}, chunk_no {types['chunk_no']}, rank int, within_doc_rank int")
 
 
