@@ -10,6 +10,7 @@ from tessera.llm.decontaminate import find_items
 from tessera.llm.language_id import fit_filters, identify_language
 from tessera.llm.license_scan import license_scan
 from tessera.llm.jaccard_join import ngram_jaccard_join
+from tessera.llm.oracles import ORACLES as ORACLES
 from tessera.llm.piece_bpe import encode_decode
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import as_text, secret_scan
@@ -91,5 +92,3 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLES: dict[str, str] = {}
