@@ -1,0 +1,83 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm.license_scan import PHRASES, TEMPLATES, license_scan
+from tessera.llm.quality_rules import RULES, quality_rules
+from tessera.llm.secret_scan import as_text, redact_secrets, secret_scan
+from tests.llm.conftest import ODD
+
+
+def scan(df):
+    return {r["doc_id"]: (r["b"], r["s"]) for r in secret_scan(df).select("doc_id", as_text(F.col("base")).alias("b"), as_text(F.col("spans")).alias("s")).collect()}
+
+
+@pytest.mark.parametrize(
+    ("text", "base", "spans"),
+    [
+        ("token=secret:abcdefghijklmnop", "", ""),
+        ("😀 PASSWORD: 'aaaaaaaaaaaaaaaa'", "assign:2:29,hex:13:29", None),
+        ("api_key=short AKIAABCDEFGHIJKLMN", "access:14:32", None),
+        ("AKIAABCDEFGHIJKLM", "", None),
+        ("user=bob " + "x " * 20 + "password=abcdefghijklmn", "assign:49:72", "link_name:0:8,assign:49:72"),
+        ("user=bob " + "x " * 400 + "password=abcdefghijklmn", "assign:809:832", "assign:809:832"),
+        ("user=bob https://host.example/x", "", ""),
+        ("https://host.example/x " + "aB3" * 12, "", "link_endpoint:0:22,link_token:23:59"),
+    ],
+)
+def test_secrets(make, text, base, spans):
+    assert scan(make([(1, text)]))[1] == (base, base if spans is None else spans)
+
+
+def test_secret_odd_rows(make):
+    assert secret_scan(make(ODD)).count() == len(ODD)
+    assert secret_scan(make([])).count() == 0
+    two = make([(1, "user=bob password=abcdefghijklmn")] * 2)
+    assert [r["n"] for r in secret_scan(two).select(F.size("spans").alias("n")).collect()] == [2, 2]
+
+
+def test_redaction(make):
+    rows = [(1, "a password=abcdefabcdefabcdef b"), (None, "x 0123456789abcdef y"), (2, None), (3, "clean")]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in redact_secrets(make(rows)).collect()}
+    assert got == {1: ("a [secret] b", 12), None: ("x [secret] y", 12), 2: (None, None), 3: ("clean", 5)}
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def base_of(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    starts = [(k, label) for p, label in PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+    return len(words), len(starts), min((k for k, _ in starts), default=None), max((k for k, _ in starts), default=None), ",".join(sorted({x for _, x in starts}))
+
+
+def test_license_base_matches_brute_force(docs):
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in license_scan(docs).collect()}
+    assert got == {r["doc_id"]: base_of(r["text"]) for r in docs.collect()}
+
+
+def test_license_diagonals(make):
+    mit = TEMPLATES["mit"].split()
+    near = " ".join(["lead", "in", *mit[:20], "inserted", *mit[20:], "tail"])
+    rows = [(1, near), (2, " ".join(mit[:8])), (3, "CC BY, All Rights Reserved; cc by"), (3, "CC BY, All Rights Reserved; cc by"), *ODD]
+    out = [r for r in license_scan(make(rows)).collect()]
+    assert len(out) == len(rows)
+    assert [(m["label"], m["start"], m["end"]) for r in out if r["n_words"] == len(near.split()) for m in r["matches"]] == [("mit", 2, 2 + len(mit) + 1)]
+    assert [r["labels"] for r in out if r["n_words"] == 8] == [""]
+    assert [(r["n_base"], r["base_labels"], r["score"]) for r in out if r["n_base"]] == [(3, "cc-by,reserved", 1.0)] * 2
+    assert license_scan(make([])).count() == 0
+
+
+def test_quality_odd_rows(make):
+    got = {r["doc_id"]: r for r in quality_rules(make([*ODD, (20, "a\na\n\n \nb\na"), (21, "the cat sat on the mat and " * 2 + "then it went away to see some other things over there quite soon")])).collect()}
+    assert got[1]["n_words"] == 0 and got[1]["base_failed"] and not got[1]["kept"]
+    assert got[6]["n_repeat_words"] == 90 and got[6]["base_failed"]
+    assert got[20]["n_dup_lines"] == 2 and got[20]["word_chars"] == 4
+    assert got[21]["n_repeat_words"] == 0 and got[21]["kept"]
+    assert quality_rules(make([])).count() == 0
+
+
+def test_rules_are_data(make):
+    df = make([(1, "the word " * 3 + "and so it goes on with many more words until the end of this line is near")])
+    assert quality_rules(df).first()["kept"] and not quality_rules(df, RULES[:1] + (RULES[0].__class__("x", "n_symbols", "n_words", 0.5),)).first()["kept"]
