@@ -99,7 +99,7 @@ def super_kmers(width: int, sub: int, buckets: int):
                 if len(twin):
                     at = start[twin] - first[row[start[twin]]]
                     marks = mark_rows(ids[row[start[twin]]], fps[row[start[twin]]], at, at + length[twin])
-                    yield rows(n=marks.num_rows, bucket=(mix(marks.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=marks.column("doc_id"), fp=marks.column("fp"), spans=marks.column("spans"))
+                    yield rows(n=marks.num_rows, bucket=(mix(marks.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=marks.column("doc_id"), fp=marks.column("fp"), spans=marks.column("spans"))
                 stay = np.ones(len(start), bool)
                 stay[twin] = False
                 start, length = start[stay], length[stay]
