@@ -183,7 +183,7 @@ def byte_runs(length: int, anchor: int, buckets: int):
                 if len(twin):
                     at = start[twin] - first[row[start[twin]]]
                     marks = mark_rows(ids[row[start[twin]]], fps[row[start[twin]]], at, at + size[twin])
-                    yield rows(n=marks.num_rows, bucket=(mix(marks.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=marks.column("doc_id"), fp=marks.column("fp"), spans=marks.column("spans"))
+                    yield rows(n=marks.num_rows, bucket=(mix(marks.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=marks.column("doc_id"), fp=marks.column("fp"), spans=marks.column("spans"))
                 stay = np.ones(len(start), bool)
                 stay[twin] = False
                 start, size, twice = start[stay], size[stay], twice[stay]
@@ -275,7 +275,7 @@ def sort_suffixes(length: int, period: int, block: int):
             stay, twins = [], []
             for i, a, b in zip(order.tolist(), first[order].tolist(), (first + size)[order].tolist(), strict=True):
                 j = seen.setdefault(raw[a:b], i)
-                (stay if i == j or ids[i] == ids[j] and fps[i] != fps[j] else twins).append(i)
+                (stay if i == j or ids[i] == ids[j] and (fps[i] != fps[j] or at[i] == at[j]) else twins).append(i)
             del seen, raw
             if twins:
                 t = np.array(twins)
@@ -314,7 +314,7 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_bytes(docs: DataFrame, length: int = 100, anchor: int = 16, period: int = 32, block: int = 1 << 20, buckets: int | None = None) -> DataFrame:
     """doc_id, fp, spans of the bytes that a length-byte string covers which also stands earlier."""
     n = shuffle_partitions(docs.sparkSession)
-    packed = keyed(docs).mapInArrow(byte_runs(length, anchor, buckets or 2 * n), PACKED)
+    packed = keyed(docs).mapInArrow(byte_runs(length, anchor, buckets or n), PACKED)
     return by_bucket(packed, n).mapInArrow(sort_suffixes(length, period, block), MARKS)
 
 
