@@ -95,7 +95,7 @@ def children(nodes: DataFrame, level: int) -> DataFrame:
     return rows.select(
         F.xxhash64("node", F.lit(level), "run", token(level, F.col("run"))).alias("node"),
         F.concat("skip", F.when(F.col("run") > 0, F.sequence(F.lit(level * RUNS), F.lit(level * RUNS) + F.col("run") - 1)).otherwise(F.array().cast("array<int>"))).alias("skip"),
-        "h1", "h2", "copies", "sig", F.col("node").alias("parent"),
+        "h1", "h2", "copies", "sig",
     )
 
 
@@ -114,10 +114,10 @@ def leaves(reps: DataFrame) -> DataFrame:
         if large.isEmpty():
             return union(out)
         if depth < LEVELS:
-            below = children(large, depth)
-            part = below.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("n"))
-            alike = part.groupBy(F.col("parent").alias("node")).agg((F.sum(F.col("n").cast("double") * F.col("n"))).alias("pairs"))
-            judged = large.join(alike, "node").withColumn("dense", F.col("pairs") >= F.lit(DENSE * RUNS) * F.col("size") * F.col("size"))
+            # pairs that share a token of the next level, from two tokens' counts
+            alike = [large.groupBy("node", token(depth, F.lit(run)).alias("token")).agg(F.count(F.lit(1)).alias("n")) for run in (0, RUNS - 1)]
+            pairs = union(alike).groupBy("node").agg((F.sum(F.col("n").cast("double") * F.col("n")) / 2).alias("pairs"))
+            judged = large.join(pairs, "node").withColumn("dense", F.col("pairs") >= F.lit(DENSE) * F.col("size") * F.col("size"))
             dense, large = judged.where("dense"), judged.where("not dense")
         else:
             dense, large = large, None
