@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, with_checkpoints
+from tessera.llm.common import table, training_fold, with_checkpoints
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.jaccard_join import one_of_each_class
 from tessera.llm.piece_bpe import encode_decode
-from tessera.llm.queries import piece_model, toxicity_training
+from tessera.llm.queries import piece_model
 from tessera.llm.secret_scan import redact_secrets
 from tessera.llm.toxicity import drop_toxic, fit_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted as toxic go."""
-    return drop_toxic(docs, fit_toxicity(toxicity_training(docs, table(spark, sf_dir, "labels"))))
+    return drop_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels").where(training_fold(5, 0))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,15 +68,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def toxicity_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with their labels, without those of the held-out fifth."""
-    marks = labels.where(training_fold(5, 0)).select("doc_id", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_toxicity(toxicity_training(docs, table(spark, sf_dir, "labels")))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(training_fold(5, 0)))
     return score_toxicity(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 

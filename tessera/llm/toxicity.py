@@ -119,21 +119,24 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"item": pa.array(list(counts[toxic]), pa.string()), "toxic": pa.array([toxic] * len(counts[toxic]), pa.int32()), "n": pa.array(list(counts[toxic].values()), pa.int64())})
 
 
-def fit_toxicity(labelled: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """A model from rows (doc_id, text, toxic 0 or 1), of which about sample are taken for each label.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+    """A model from labels (doc_id, toxic 0 or 1) of docs, of which about sample are taken for each label.
 
-    Rows with another or null label are left out. A training row's own label does not count in its lexicon features. A
-    quarter of the sample calibrates; the rest grows the trees. Without both labels every score is the rate of label 1.
+    Labels are drawn by doc_id before they meet the documents, so at most some 2 * sample of them are broadcast. A document
+    with several labels counts as toxic if one is; rows with another or null label or doc_id are left out. A training row's
+    own label does not count in its lexicon features. A quarter of the sample calibrates; the rest grows the trees. Without
+    both labels every score is the rate of label 1.
     """
-    spark = labelled.sparkSession
-    rows = labelled.where("toxic in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = docs.sparkSession
+    marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     if len(sizes) < 2 or min(sizes.values()) < 4:
         return ToxicityModel(Lexicon({}, 0, 0), None, None, rate)
     part = {k: min(1.0, sample / n) for k, n in sizes.items()}
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.where(draw < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
+    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = marks.where(draw < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
+    taken = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     counts = taken.mapInArrow(counted, "item string, toxic int, n long").groupBy("item").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     toxic, other = min(sizes[1], sample), min(sizes[0], sample)
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (other + 1.0))

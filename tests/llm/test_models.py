@@ -96,7 +96,7 @@ def test_toxicity(spark, make):
         labels.append((i, int(i % 4 == 0)))
     docs = make(rows)
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = fit_toxicity(docs.select("doc_id", "text").join(marks.where(training_fold(5, 0)), "doc_id"))
+    model = fit_toxicity(docs, marks.where(training_fold(5, 0)))
     out = score_toxicity(docs, model).join(marks, "doc_id").where(held_out(5, 0)).collect()
     assert sum(r["predicted"] == r["toxic"] for r in out) > 0.95 * len(out)
     kept = drop_toxic(docs, model)
@@ -104,7 +104,7 @@ def test_toxicity(spark, make):
     odd = score_toxicity(make(ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 for r in odd)
     assert score_toxicity(make([]), model).count() == 0
-    lone = fit_toxicity(docs.select("doc_id", "text").limit(5).withColumn("toxic", F.lit(0)))
+    lone = fit_toxicity(docs, marks.where("toxic = 0"))
     assert {r["score"] for r in score_toxicity(docs.limit(3), lone).collect()} == {0.0}
 
 
