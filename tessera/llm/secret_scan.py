@@ -2,7 +2,8 @@
 
 Strong findings stand for themselves. A weak part (a user name, a token-like string, an endpoint) is reported only if a
 complementary part is near: an identifier or endpoint needs a secret, a token an identifier or endpoint. Parts are joined
-as intervals: each lies in a bucket of the width of a scope and meets the parts of that bucket and its neighbours.
+as intervals: each lies in all buckets of the width of a scope that it touches and meets the parts of those and their
+neighbours.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ def weak(text: Column, base: Column) -> Column:
 def linked(parts: DataFrame, reach: int) -> DataFrame:
     """Weak parts with a complementary part at most reach code points away in the same row."""
     near = parts.select("none", "id", "fp", F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("with"), F.explode(F.sequence(F.expr(f"start div {reach}") - 1, F.expr(f"(end + {reach}) div {reach}"))).alias("bucket"))
-    left = parts.where("kind >= 3").withColumn("bucket", F.expr(f"start div {reach}"))
+    # a part longer than a bucket meets partners from each bucket that it touches; collect_set takes repeats out
+    left = parts.where("kind >= 3").withColumn("bucket", F.explode(F.sequence(F.expr(f"start div {reach}"), F.expr(f"end div {reach}"))))
     both = left.join(near, ["none", "id", "fp", "bucket"]).where(((F.col("role") == "secret") != (F.col("with") == "secret")) & (F.col("s") <= F.col("end") + reach) & (F.col("start") <= F.col("e") + reach))
     return both.groupBy("none", "id", "fp").agg(F.collect_set(F.struct("start", "kind", "end", "role")).alias("more"))
 

@@ -30,6 +30,20 @@ def test_secrets(make, text, base, spans):
     assert scan(make([(1, text)]))[1] == (base, base if spans is None else spans)
 
 
+def test_links_of_long_parts_and_wide_gaps(make):
+    """Every place of a weak part before its partner, in relation to the buckets; one more code point ends the reach."""
+    rows, want = [], {}
+    for size, gap in ((300, 1), (200, 200), (40, 250), (600, 1), (600, 256), (40, 256), (40, 257)):
+        for shift in range(0, 256, 15):
+            name = "user=" + "z" * (size - 5)
+            start = shift + size + gap
+            text = "," * shift + name + "," * gap + "password=abcdefghijklmn"
+            rows.append((len(rows), text))
+            strong = f"assign:{start}:{start + 23}"
+            want[len(rows) - 1] = (strong, strong if gap > 256 else f"link_name:{shift}:{shift + size},{strong}")
+    assert scan(make(rows)) == want
+
+
 def test_secret_odd_rows(make):
     assert secret_scan(make(ODD)).count() == len(ODD)
     assert secret_scan(make([])).count() == 0
