@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bigrams, filter_key
+from tessera.operators.dense import dot
 from tessera.operators.lexical import PLACES, bm25_ranking, local_scores, top, z_score
 
 RRF_K, CAP = 60, 2
@@ -260,6 +261,29 @@ def document_queues(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return rrf(parts, k).select("q_id.q_id", "q_id.doc_id", "chunk_no", F.col("rank").alias("within_doc_rank"))
 
 
+def cosines_within(texts: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Cosine of each (q_id, doc_id, embedding) with the vectors of the document's own chunks (doc_id, chunk_no), ranked."""
+    asked = members.select("doc_id", "chunk_no").join(texts.select("doc_id"), "doc_id", "left_semi")
+    own = asked.join(vectors.select("chunk_no", F.col("embedding").alias("own")), "chunk_no")
+    scored = own.join(texts.select("q_id", "doc_id", "embedding"), "doc_id").select("q_id", "doc_id", "chunk_no", dot(F.col("embedding"), F.col("own")).alias("score"))
+    order = Window.partitionBy("q_id", "doc_id").orderBy(F.round("score", PLACES).desc(), "chunk_no")
+    return scored.withColumn("rank", F.row_number().over(order))
+
+
+def reselection_queues(docs: DataFrame, members: DataFrame, index: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The queues of documents (q_id, doc_id, question, project), and the cosines of their chunks with the question itself.
+
+    BM25 and cosine of the residual question are fused, with full those of the question too.
+    """
+    rest = docs.select("q_id", "doc_id", residual_question(F.col("question"), F.coalesce("project", F.lit(""))).alias("question"))
+    rest, whole = (x.select("q_id", "doc_id", "question", embed(F.col("question")).alias("embedding")).persist() for x in (rest, docs))
+    cosines = cosines_within(whole, members, vectors).persist()
+    rankings = [within_documents(rest, members, index), cosines_within(rest, members, vectors)]
+    if full:
+        rankings += [within_documents(whole, members, index), cosines]
+    return document_queues(rankings), cosines.select("q_id", "doc_id", "chunk_no", "score")
+
+
 def retrieval_signals(hits: DataFrame) -> DataFrame:
     """docs, top_doc_share, best_score and rerank_gap of each question's hits (q_id, doc_id, rank, score, rerank_score)."""
     first = Window.partitionBy("q_id").orderBy("rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -438,14 +439,26 @@ def next_chunk(spark, sf):
     return retrieval.next_chunk(candidates(spark, sf, 5), chunks(spark, sf)).select("q_id", "chunk_no", "doc_id", places("score").alias("score"))
 
 
+def hashed_bigrams(texts: list[str]) -> list[list[float]]:
+    """Stands in for an embedding model, as the tables have no vectors of chunks: counts of bigrams by hash."""
+    out = []
+    for t in texts:
+        v = [0.01] * 64
+        for g in tx.bigrams_py(t):
+            v[zlib.crc32(g.encode()) % 64] += 1.0
+        out.append(v)
+    return out
+
+
 @query()
 def within_doc_reselect(spark, sf):
     q, rows = questions(spark, sf), chunks(spark, sf)
     hits = retrieval.cap_per_doc(candidates(spark, sf), 2, 5)
     index = lexical.postings(rows, lexical.question_grams(q))
     docs = hits.select("q_id", "doc_id").distinct().join(q, "q_id")
-    rest = docs.join(projects(spark, sf), "doc_id").select("q_id", "doc_id", retrieval.residual_question(F.col("question"), F.col("project")).alias("question"))
-    queues = retrieval.document_queues([retrieval.within_documents(rest, rows, index), retrieval.within_documents(docs, rows, index)])
+    embed = dense.embedder(hashed_bigrams)
+    own = rows.join(docs.select("doc_id"), "doc_id", "left_semi")
+    queues, _ = retrieval.reselection_queues(docs.join(projects(spark, sf), "doc_id"), own, index, own.select("chunk_no", embed(F.col("text")).alias("embedding")), embed, True)
     return retrieval.reselect_within_docs(hits.withColumn("rank", F.col("hit_no")), queues).select("q_id", "doc_id", "chunk_no", F.col("rank").cast("long").alias("rank"), F.col("within_doc_rank").cast("long").alias("within_doc_rank"))
 
 

@@ -82,7 +82,8 @@ def project_of(metadata: Column) -> Column:
 def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callable[[list[str]], list[list[float]]], rerank: Callable | None = None, filters: dict[str, str] | None = None, rewrites: DataFrame | None = None) -> DataFrame:
     """Hits (q_id, rank, chunk_no, doc_id, chunk_id, text, metadata, section_path, score, rrf_score, rerank_score) of questions.
 
-    Frames that several steps read are persisted; each has some pool of rows for a question. The order is: eligibility, rankings, gate, fusion, pool, expansion, rerank, slots, cap, top k, neighbour.
+    Frames that several steps read are persisted; each has some pool of rows for a question. The order is: eligibility, rankings, gate, fusion, pool, expansion, rerank, slots, cap, top k, reselection, neighbour.
+    Reselection adds within_doc_rank; a chunk that was no hit before has its cosine with the question as its only score.
     """
     chunks = index.chunks
     eligible = retrieval.metadata_filter(chunks, filters or {})
@@ -103,8 +104,8 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
     body = chunks.select("chunk_no", "doc_id", "chunk_id", "text", "metadata", "section_path")
     found = fused.join(body.select("chunk_no", "doc_id"), "chunk_no")
     lifted = None
+    names = chunks.groupBy("doc_id").agg(F.min_by("metadata", "chunk_no").alias("metadata"))
     if profile.rerank != "none":
-        names = chunks.groupBy("doc_id").agg(F.min_by("metadata", "chunk_no").alias("metadata"))
         if profile.expand:
             members = eligible.select("doc_id", "chunk_no")
             projects = names.select("doc_id", project_of(F.col("metadata")).alias("project"))
@@ -134,6 +135,19 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
     else:
         top = retrieval.cap_per_doc(found, profile.max_per_doc, profile.top_k, lifted).drop("rank").withColumnRenamed("hit_no", "rank")
     hits = top.join(cosine, ["q_id", "chunk_no"], "left").join(fused.select("q_id", "chunk_no", "rrf_score"), ["q_id", "chunk_no"], "left").withColumn("neighbor", F.lit(False))
+    if profile.within_doc != "off":
+        hits = hits.localCheckpoint()  # a few rows a question; the plans of the queues repeat theirs
+        projects = names.select("doc_id", project_of(F.col("metadata")).alias("project"))
+        docs = hits.select("q_id", "doc_id").distinct().join(questions.select("q_id", "question"), "q_id").join(projects, "doc_id")
+        plain = lexical.postings(chunks.select("chunk_no", "text"), lexical.question_grams(questions))
+        queues, fresh = retrieval.reselection_queues(docs, eligible.select("doc_id", "chunk_no"), plain, own, vector, profile.within_doc == "residual+full")
+        if profile.dedup:
+            picked = retrieval.reselect_without_repeats(hits, queues.join(body.select("chunk_no", "text"), "chunk_no"))
+        else:
+            picked = retrieval.reselect_within_docs(hits, queues)
+        before = hits.drop("doc_id", "rank")
+        hits = picked.join(before, ["q_id", "chunk_no"], "left").join(fresh.withColumnRenamed("score", "fresh"), ["q_id", "doc_id", "chunk_no"], "left")
+        hits = hits.withColumns({"score": F.coalesce("score", "fresh"), "neighbor": F.lit(False)}).drop("fresh")
     if profile.neighbor:
         last = top.groupBy("q_id").agg(F.max("rank").alias("last"))
         added = retrieval.next_chunk(hits, chunks).join(last, "q_id").withColumn("rank", F.col("last") + 1).drop("last")

@@ -73,6 +73,44 @@ def test_filter(spark, parsed):
     assert {r[0] for r in pipeline.retrieve(q, index, p, embed, filters={"발주 기관": "시립병원"}).select(F.col("metadata")["사업명"]).collect()} == {"병원 예약 시스템"}
 
 
+def expected_queue(index, question, project, full):
+    """The fused queue of a document by plain Python, over the whole index's BM25 weights and vectors."""
+    weights, rest = {}, " ".join(w for w in question.split() if sum(g in bigrams_py(project) for g in bigrams_py(w)) < 0.5 * len(bigrams_py(w))) or question
+    for r in index.postings.collect():
+        weights[r["chunk_no"], r["gram"]] = r["weight"]
+    vectors = {r["chunk_no"]: r["embedding"] for r in index.vectors.collect()}
+    numbers = sorted(r["chunk_no"] for r in index.chunks.where(F.col("metadata")["사업명"] == "도서관 시스템 구축").collect())
+    fused = {}
+    for text in (rest, question) if full else (rest,):
+        v = embed([text])[0]
+        lexical = {n: sum(weights.get((n, g), 0.0) for g in set(bigrams_py(text))) for n in numbers}
+        cosine = {n: sum(a * b for a, b in zip(v, vectors[n], strict=True)) for n in numbers}
+        for ranked in ([n for n in numbers if lexical[n] > 0], numbers):
+            score = lexical if ranked is not numbers else cosine
+            for i, n in enumerate(sorted(ranked, key=lambda n: (-round(score[n], 9), n)), 1):
+                fused[n] = fused.get(n, 0.0) + 1 / (60 + i)
+    return sorted(fused, key=lambda n: -round(fused[n], 12))
+
+
+@pytest.mark.parametrize(("mode", "dedup"), [("residual", False), ("residual+full", True)])
+def test_within_doc(spark, parsed, mode, dedup):
+    docs, _ = parsed
+    options = {"rerank": "none", "top_k": 3, "max_per_doc": 3, "chunk_size": 60, "chunk_overlap": 5, "bm25_prefix": False, "strategy": "fixed", "dedup": dedup}
+    p, off = (profile.resolve(profile.A, {**options, "within_doc": m}, {"TESSERA_MIN_SCORE": "off"}) for m in (mode, "off"))
+    index = stored(pipeline.build(docs, p, embed))
+    question = "도서관 시스템 구축 계약일로부터 며칠 동안 관리한다"
+    q = spark.createDataFrame([(1, question)], "q_id long, question string")
+    narrow = {"사업명": "도서관 시스템 구축"}
+    rows = pipeline.retrieve(q, index, p, embed, filters=narrow).orderBy("rank").collect()
+    before = {r["chunk_no"]: r for r in pipeline.retrieve(q, index, off, embed, filters=narrow).collect()}
+    texts = {r["chunk_no"]: r["text"] for r in index.chunks.collect()}
+    queue = expected_queue(index, question, "도서관 시스템 구축 시립도서관", mode != "residual")
+    if dedup:
+        queue = [n for i, n in enumerate(queue) if texts[n] not in [texts[m] for m in queue[:i]]]
+    assert [r["chunk_no"] for r in rows] == queue[: len(before)]
+    assert all(r["score"] is not None and r["within_doc_rank"] >= 1 and (r["rrf_score"] is not None) == (r["chunk_no"] in before) for r in rows)
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "가나  다\n\n\n\n라" * 300)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
