@@ -52,20 +52,21 @@ class Index:
 
 
 def build(documents: DataFrame, profile: Profile, embed: Callable[[list[str]], list[list[float]]]) -> Index:
-    """Chunks with global numbers, their vectors, and BM25 postings of the chunks behind their project names.
+    """Chunks with global numbers and the tables that they overlap, their vectors, and BM25 postings of the chunks behind their project names.
 
     documents has pos, an integer that orders the documents; chunk numbers follow it.
     """
     cut = chunking.chunk_documents(documents, profile.strategy, profile.chunk_size, profile.chunk_overlap, profile.version)
-    meta = documents.select("doc_id", "pos", "metadata", sec.valid_entries(F.col("sections"), F.col("text")).alias("entries"))
+    meta = documents.select("doc_id", "pos", "metadata", chunking.tables_of("text").alias("all_tables"), sec.valid_entries(F.col("sections"), F.col("text")).alias("entries"))
     chunks = cut.join(meta, "doc_id").select(
         "doc_id", "chunk_id", (F.col("pos") * STRIDE + F.col("chunk_no")).alias("chunk_no"), "text", "start_char", "end_char", "metadata",
         sec.section_of(F.col("entries"), F.col("start_char")).alias("section_path"),
+        chunking.overlapping(F.col("all_tables"), F.col("start_char"), F.col("end_char")).alias("tables"),
     )
     vector = dense.embedder(embed)
     context = profile.embedding_context
-    empty = F.array().cast("array<string>")
-    shown = answers.embedding_input(F.col("text"), F.col("metadata"), "project" if context == "project_blend" else context, F.col("section_path"), empty)
+    headers = F.transform("tables", lambda t: F.regexp_replace(t["header_text"], r"(?U)^\s+|\s+$|[^\S\n]+(?=\n)", ""))
+    shown = answers.embedding_input(F.col("text"), F.col("metadata"), "project" if context == "project_blend" else context, F.col("section_path"), headers)
     if context == "project_blend":
         body, mixed = vector("text"), vector(shown)
         vectors = chunks.select("chunk_no", "text", shown.alias("shown"), body.alias("body"), mixed.alias("mixed")).select("chunk_no", F.when(F.col("text") == F.col("shown"), F.col("body").cast("array<double>")).otherwise(dense.blended(F.col("body"), F.col("mixed"))).alias("embedding"))
@@ -80,7 +81,7 @@ def project_of(metadata: Column) -> Column:
 
 
 def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callable[[list[str]], list[list[float]]], rerank: Callable | None = None, filters: dict[str, str] | None = None, rewrites: DataFrame | None = None) -> DataFrame:
-    """Hits (q_id, rank, chunk_no, doc_id, chunk_id, text, metadata, section_path, score, rrf_score, rerank_score) of questions.
+    """Hits (q_id, rank, chunk_no, doc_id, chunk_id, text, metadata, section_path, tables, score, rrf_score, rerank_score) of questions.
 
     Frames that several steps read are persisted; each has some pool of rows for a question. The order is: eligibility, rankings, gate, fusion, pool, expansion, rerank, slots, cap, top k, reselection, neighbour.
     Reselection adds within_doc_rank; a chunk that was no hit before has its cosine with the question as its only score.
@@ -101,7 +102,7 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
         if profile.hybrid:
             rankings.append(lexical.bm25_ranking(part, chunks, profile.bm25_k, eligible.select("chunk_no"), index.postings))
     fused = retrieval.rrf(rankings, profile.rrf_k or retrieval.RRF_K, pool if profile.rerank != "none" else None).join(open_, "q_id", "left_semi").persist()
-    body = chunks.select("chunk_no", "doc_id", "chunk_id", "text", "metadata", "section_path")
+    body = chunks.select("chunk_no", "doc_id", "chunk_id", "text", "metadata", "section_path", "tables")
     found = fused.join(body.select("chunk_no", "doc_id"), "chunk_no")
     lifted = None
     names = chunks.groupBy("doc_id").agg(F.min_by("metadata", "chunk_no").alias("metadata"))
@@ -157,7 +158,9 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
 
 def ask(questions: DataFrame, hits: DataFrame, profile: Profile, generate: Callable[[list[str]], list[tuple[str, bool]]]) -> DataFrame:
     """q_id, question, answer, status, sources; a question without hits is answered without the model."""
-    sources = answers.number_citations(hits).withColumn("table_headers", F.array().cast("array<struct<table_id:string,header_text:string>>"))
+    tables = F.col("tables") if "tables" in hits.columns else F.array().cast(chunking.TABLES)
+    headers = F.transform(tables, lambda t: F.struct(t["table_id"].alias("table_id"), t["header_text"].alias("header_text")))
+    sources = answers.number_citations(hits).withColumn("table_headers", headers)
     prompts = answers.prompts(questions, answers.contexts(sources), profile.prompt_filters and "filters" in questions.columns)
     said = answers.generate(prompts, generate)
     listed = sources.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("citation", "doc_id", "chunk_id", "score", "text"))).alias("sources"))

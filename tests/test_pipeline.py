@@ -73,6 +73,31 @@ def test_filter(spark, parsed):
     assert {r[0] for r in pipeline.retrieve(q, index, p, embed, filters={"발주 기관": "시립병원"}).select(F.col("metadata")["사업명"]).collect()} == {"병원 예약 시스템"}
 
 
+def test_table_headers(spark):
+    """A chunk in the middle of a long table has its section and header in its embedding input and in the prompt."""
+    table = "<!-- table:T1 -->\n| 항목 | 금액 |\n|---|---|\n" + "".join(f"| 품목{i} | {i}원 |\n" for i in range(40)) + "<!-- /table:T1 -->"
+    text = "1. 개요\n소개 글이다.\n" + table + "\n끝" + "맺음 말이다. " * 30
+    docs = spark.createDataFrame([("d", 0, text, {"사업명": "x"}, [(0, "1. 개요")])], "doc_id string, pos long, text string, metadata map<string,string>, sections array<struct<start:int,path:string>>")
+    p = profile.resolve(profile.A, {"strategy": "fixed", "chunk_size": 100, "chunk_overlap": 10, "embedding_context": "table"}, {})
+    index = stored(pipeline.build(docs, p, embed))
+    rows = index.chunks.join(index.vectors, "chunk_no").orderBy("chunk_no").collect()
+    first, last = text.index("<!-- table"), text.index("<!-- /table:T1 -->") + len("<!-- /table:T1 -->")
+    seen = set()
+    for r in rows:
+        inside = r["start_char"] < last and r["end_char"] > first
+        assert [t["table_id"] for t in r["tables"]] == (["T1"] if inside else [])
+        header = r["tables"][0]["header_text"].strip() if inside else ""
+        extra = f"\n표 헤더:\n{header}" if header not in r["text"] else ""
+        v = embed([f"절: 1. 개요{extra}\n\n{r['text']}" if inside else r["text"]])[0]
+        length = sum(x * x for x in v) ** 0.5
+        assert r["embedding"] == pytest.approx([x / length for x in v], abs=1e-5)
+        seen.add((inside, extra != ""))
+    assert seen == {(False, False), (True, False), (True, True)}
+    hits = index.chunks.where(f"start_char >= {first + 100}").orderBy("chunk_no").limit(1).withColumns({"q_id": F.lit(1).cast("long"), "rank": F.lit(1), "score": F.lit(0.9)})
+    said = pipeline.ask(spark.createDataFrame([(1, "품목은?")], "q_id long, question string"), hits, p, lambda prompts: [(x, False) for x in prompts]).first()
+    assert '"tables":[{"table_id":"T1","header_text":"| 항목 | 금액 |' in said["answer"]
+
+
 def expected_queue(index, question, project, full):
     """The fused queue of a document by plain Python, over the whole index's BM25 weights and vectors."""
     weights, rest = {}, " ".join(w for w in question.split() if sum(g in bigrams_py(project) for g in bigrams_py(w)) < 0.5 * len(bigrams_py(w))) or question
