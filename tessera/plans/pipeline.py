@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import values as vals
-from tessera.functions.text import clean, document_key, fold, nfc
+from tessera.functions.text import clean, document_key, nfc
 from tessera.operators import answers, chunking, dense, evaluation, ingest, lexical, retrieval
 from tessera.operators import sections as sec
 from tessera.plans.profile import Profile, pool_size
@@ -186,8 +186,7 @@ def evaluate(cases: DataFrame, said: DataFrame, verdicts: DataFrame | None = Non
     clean = (F.col("status") == "no_hits") | (F.col("refused") & clean_values)
     numeric = vals.values_present(F.col("amounts"), F.col("periods"), F.col("expected_values.amount_won"), F.col("expected_values.period"))
     forbidden = vals.values_present(F.col("amounts"), F.col("periods"), F.col("forbidden_values.amount_won"), F.col("forbidden_values.period"))
-    flat = F.regexp_replace(fold(F.col("answer")), r"(?U)\s+", "")
-    words = F.forall("keywords", lambda w: F.contains(flat, fold(F.regexp_replace(w, r"(?U)\s+", ""))))
+    words = F.get(vals.keyword_counts("keywords", F.array("answer")), F.lit(0)) == F.size("keywords")
     grading = evaluation.default_grading(F.col("grading"), F.col("answerable"), F.col("keywords"))
     rows = rows.withColumn("content", evaluation.content_score(grading, clean, forbidden, numeric, F.when(F.size("keywords") > 0, words), F.col("verdict")))
     cited = evaluation.gold_cited(F.col("expected"), F.col("answer"), F.col("sources"))

@@ -65,6 +65,19 @@ def test_ask_and_evaluate(spark, parsed):
     assert summary["answer_accuracy"] == 1.0 and summary["refusal_accuracy"] == 0.0
 
 
+CASE = """q_id long, question string, answerable boolean, expected_doc_ids array<string>, expected_keywords array<string>, grading string, weight double, requires_gold_citation boolean, question_type string, source string, doc_cluster string,
+  expected_values struct<amount_won:array<bigint>,period:array<struct<unit:string,value:string>>>, forbidden_values struct<amount_won:array<bigint>,period:array<struct<unit:string,value:string>>>"""
+
+
+def test_keyword_grading(spark):
+    """Keywords count without regard to white space and case, or as equal amounts and periods; all are needed."""
+    said = [("예산은 4억 7천만 원입니다.", ["470,000,000원"], 1.0), ("기한은 ‘24년 12월 31일이다", ["2024-12-31", "기 한"], 1.0), ("예산은 4억 7천만 원입니다.", ["470,000,000원", "없는 말"], 0.0), ("예산은 4억 원입니다.", ["470,000,000원"], 0.0), ("ABC def", ["abcD"], 1.0)]
+    cases = spark.createDataFrame([(i, "x", True, ["d"], words, "keyword", 1.0, None, "t", "s", None, None, None) for i, (_, words, _) in enumerate(said)], CASE)
+    answers = spark.createDataFrame([(i, "x", text, "ok", []) for i, (text, _, _) in enumerate(said)], "q_id long, question string, answer string, status string, sources array<struct<citation:int,doc_id:string,chunk_id:string,score:double,text:string>>")
+    got = {r["index"]: r["answer_score"] for r in pipeline.evaluate(cases, answers).collect()}
+    assert got == {i: score for i, (_, _, score) in enumerate(said)}
+
+
 def test_filter(spark, parsed):
     docs, _ = parsed
     p = profile.resolve(profile.A, {"rerank": "none"}, {"TESSERA_MIN_SCORE": "off"})
