@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
-from tessera.functions.values import citations
+from tessera.functions.values import citations, values_present
 
 STATUSES = ("ok", "no_hits", "empty", "truncated", "api_error")
 VERDICTS = {"correct": 1.0, "partial": 0.5, "incorrect": 0.0}
@@ -58,6 +58,17 @@ def gold_cited(expected: Column, answer: Column, sources: Column) -> Column:
     return F.exists(F.filter(sources, lambda s: F.array_contains(citations(answer), s["citation"])), lambda s: F.array_contains(expected, s["doc_id"]))
 
 
+def answer_chunk_hit(expected: Column, sources: Column, found: Column, counts: Column, keywords: Column, values: Column) -> Column:
+    """1 if a source of an expected document has the expected values or, where there are none, any keyword; null without both.
+
+    found has the amounts and periods of each source's text, counts how many keywords it has; both in order of the sources.
+    """
+    wanted = lambda k: F.coalesce(F.size(values[k]), F.lit(0)) > 0
+    gold = F.filter(F.transform(sources, lambda s, i: F.struct(F.array_contains(expected, s["doc_id"]).alias("gold"), F.get(found, i).alias("found"), F.get(counts, i).alias("count"))), lambda x: x["gold"])
+    valued = F.exists(gold, lambda x: values_present(x["found"]["amounts"], x["found"]["periods"], values["amount_won"], values["period"]))
+    return F.when(wanted("amount_won") | wanted("period"), valued.cast("double")).when(F.size(keywords) > 0, F.exists(gold, lambda x: x["count"] > 0).cast("double"))
+
+
 def grounded(values: Column, evidence: Column, has_evidence: Column) -> Column:
     return has_evidence & (F.size(F.array_except(values, evidence)) == 0)
 

@@ -189,11 +189,14 @@ def evaluate(cases: DataFrame, said: DataFrame, verdicts: DataFrame | None = Non
     words = F.get(vals.keyword_counts("keywords", F.array("answer")), F.lit(0)) == F.size("keywords")
     grading = evaluation.default_grading(F.col("grading"), F.col("answerable"), F.col("keywords"))
     rows = rows.withColumn("content", evaluation.content_score(grading, clean, forbidden, numeric, F.when(F.size("keywords") > 0, words), F.col("verdict")))
+    texts = F.transform("sources", lambda s: F.coalesce(s["text"], F.lit("")))
+    rows = rows.withColumns({"source_values": vals.values_each(texts), "source_keywords": vals.keyword_counts("keywords", texts)})
+    hit = evaluation.answer_chunk_hit(F.col("expected"), F.col("sources"), F.col("source_values"), F.col("source_keywords"), F.col("keywords"), F.col("expected_values"))
     cited = evaluation.gold_cited(F.col("expected"), F.col("answer"), F.col("sources"))
     able = lambda c: F.when(F.col("answerable"), c)
     return rows.select(
         F.col("q_id").alias("index"), "answerable", "grading", "status", "refused", able(evaluation.recall(F.col("expected"), F.col("sources"))).alias("recall_at_k"), able(evaluation.reciprocal_rank(F.col("expected"), F.col("sources"))).alias("mrr"),
         evaluation.keyword_coverage(F.col("keywords"), F.col("answer")).alias("keyword_coverage"), able(cited).alias("gold_cited"), F.col("content").alias("answer_content_score"),
         evaluation.final_score(F.col("content"), F.col("requires_gold_citation"), F.col("answerable"), cited).alias("answer_score"), F.coalesce("weight", F.lit(1.0)).alias("weight"), "question_type", "source",
-        evaluation.cluster_key(F.col("doc_cluster"), F.col("expected"), F.col("q_id")).alias("cluster"), F.lit(None).cast("double").alias("answer_chunk_hit"),
+        evaluation.cluster_key(F.col("doc_cluster"), F.col("expected"), F.col("q_id")).alias("cluster"), able(hit).alias("answer_chunk_hit"),
     )

@@ -78,6 +78,18 @@ def test_keyword_grading(spark):
     assert got == {i: score for i, (_, _, score) in enumerate(said)}
 
 
+def test_answer_chunk_hit(spark):
+    """Sources of expected documents alone count; all kinds of expected values in one source, else any keyword."""
+    sources = [(1, "x", "1", 0.9, "5억 원, 3개월, 도서관"), (2, "d", "2", 0.8, "예산은 1억 3천만 원"), (3, "d", "3", 0.7, "기간은 120일, 병원")]
+    months, days = [("개월", "3")], [("일", "120")]
+    want = [(([500_000_000], None), ["병원"], True, 0.0), (([130_000_000], None), None, True, 1.0), ((None, days), None, True, 1.0), (([130_000_000], days), None, True, 0.0), ((None, months), None, True, 0.0), (None, ["도서관", "병 원"], True, 1.0), (None, ["130,000,000원"], True, 1.0), (None, ["도서관"], True, 0.0), (None, None, True, None), (None, ["병원"], False, None)]
+    cases = spark.createDataFrame([(i, "x", able, ["d"], words, None, 1.0, None, "t", "s", None, values, None) for i, (values, words, able, _) in enumerate(want)], CASE)
+    said = spark.createDataFrame([(i, "x", "답", "ok", sources) for i in range(len(want))], "q_id long, question string, answer string, status string, sources array<struct<citation:int,doc_id:string,chunk_id:string,score:double,text:string>>")
+    records = pipeline.evaluate(cases, said)
+    assert {r["index"]: r["answer_chunk_hit"] for r in records.collect()} == {i: x[3] for i, x in enumerate(want)}
+    assert evaluation.summarise(records).first()["answer_chunk_hit_rate"] == 0.5
+
+
 def test_filter(spark, parsed):
     docs, _ = parsed
     p = profile.resolve(profile.A, {"rerank": "none"}, {"TESSERA_MIN_SCORE": "off"})
