@@ -135,17 +135,20 @@ def document_signatures(chunks: DataFrame) -> DataFrame:
     return signature.withColumn("same_as", F.min("doc_id").over(Window.partitionBy("signature"))).drop("signature")
 
 
-def select_without_repeats(ranked: DataFrame, signatures: DataFrame, cap: int | None = CAP, limit: int | None = None) -> DataFrame:
-    """Greedy choice in rank order: equal documents share a cap, and a text is taken once.
+def select_without_repeats(ranked: DataFrame, signatures: DataFrame, cap: int | None = CAP, limit: int | None = None, lifted: DataFrame | None = None) -> DataFrame:
+    """Greedy choice in rank order: equal documents share a cap, and a text is taken once. Questions in lifted have no cap.
 
     A hit that the cap turns away does not count as taken, so the choice depends on its order and is made by question.
     """
     rows = ranked.join(signatures, "doc_id", "left").select("q_id", "chunk_no", "doc_id", "text", "rank", F.coalesce("same_as", "doc_id").alias("same_as"))
+    free = lifted.select("q_id", F.lit(True).alias("free")).distinct() if lifted is not None else None
+    rows = rows.withColumn("free", F.lit(False)) if free is None else rows.join(free, "q_id", "left").withColumn("free", F.coalesce("free", F.lit(False)))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group, taken, counts, kept = group.sort_values("rank"), set(), {}, []
+        most = None if cap is None or group["free"].iloc[0] else cap
         for at, (doc, text) in enumerate(zip(group["same_as"], group["text"], strict=True)):
-            if (cap is None or counts.get(doc, 0) < cap) and text not in taken:
+            if (most is None or counts.get(doc, 0) < most) and text not in taken:
                 counts[doc] = counts.get(doc, 0) + 1
                 taken.add(text)
                 kept.append(at)

@@ -132,7 +132,7 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
     found = found.select("q_id", "chunk_no", "doc_id", "rank", *keep)
     if profile.dedup:
         signatures = retrieval.document_signatures(chunks)
-        top = retrieval.select_without_repeats(found.join(body.select("chunk_no", "text"), "chunk_no"), signatures, profile.max_per_doc, profile.top_k).select("q_id", "chunk_no", "doc_id", F.col("hit_no").alias("rank"))
+        top = retrieval.select_without_repeats(found.join(body.select("chunk_no", "text"), "chunk_no"), signatures, profile.max_per_doc, profile.top_k, lifted).select("q_id", "chunk_no", "doc_id", F.col("hit_no").alias("rank"))
     else:
         top = retrieval.cap_per_doc(found, profile.max_per_doc, profile.top_k, lifted).drop("rank").withColumnRenamed("hit_no", "rank")
     hits = top.join(cosine, ["q_id", "chunk_no"], "left").join(fused.select("q_id", "chunk_no", "rrf_score"), ["q_id", "chunk_no"], "left").withColumn("neighbor", F.lit(False))

@@ -37,6 +37,16 @@ def test_cap_and_greedy_choice(spark):
     assert [r["chunk_no"] for r in retrieval.select_without_repeats(ranked, signatures, 2).orderBy("rank").collect()] == [0, 1, 3, 5]
 
 
+def test_select_without_repeats_lifts_the_cap(spark):
+    """A question in lifted takes all texts of a document, each once; other questions keep the cap."""
+    rows = [(q, n, "a", text, n + 1) for q in (1, 2) for n, text in enumerate(["x", "y", "x", "z", "w"])]
+    ranked = spark.createDataFrame(rows, "q_id int, chunk_no long, doc_id string, text string, rank int")
+    signatures = spark.createDataFrame([("a", "a")], "doc_id string, same_as string")
+    lifted = spark.createDataFrame([(1,)], "q_id int")
+    out = retrieval.select_without_repeats(ranked, signatures, 2, 3, lifted).orderBy("q_id", "rank").collect()
+    assert [(r["q_id"], r["chunk_no"]) for r in out] == [(1, 0), (1, 1), (1, 3), (2, 0), (2, 1)]
+
+
 def test_residual_question(spark):
     df = spark.createDataFrame([("도서관 시스템 구축 예산", "도서관 시스템 구축"), ("도서관", "도서관")], "q string, p string")
     assert [r[0] for r in df.select(retrieval.residual_question(F.col("q"), F.col("p"))).collect()] == ["예산", "도서관"]
