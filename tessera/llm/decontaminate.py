@@ -5,7 +5,8 @@ the word it stands on and, by a random bit of step and word, goes on or stays. F
 windows are near in Hamming distance, and hashes of sampled steps find them. Candidates are verified by edit distance.
 
 Within the allowed edits an item keeps some number of its runs of words whole, so only windows that so many runs of one
-item point to are embedded; this leaves no match out.
+item point to are embedded; this leaves no match out. In long items the walks drift too far apart under many edits, so the
+windows that their runs point to are all verified.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from tessera.llm.common import GOLDEN, bytes_hash, keyed, mix, steps
 
 WORD = re.compile(r"[^\W_]+")
 #: Independent walks, hashes of each, and sampled steps in a hash. A match at the threshold is missed with a
-#: probability below 0.01; the tests measure it.
+#: probability below 0.01 in items shorter than LONG words; the tests measure it.
 WALKS, HASHES, SAMPLED = 8, 24, 3
+#: Items of so many words or more are not embedded; nothing of them is left to chance.
+LONG = 60
 #: Item text that is searched for at a time; a larger benchmark is taken in blocks of about this size.
 BLOCK_BYTES = 16 << 20
 #: Windows that are embedded at a time.
@@ -99,15 +102,15 @@ class Searcher:
         for run, rows in seeds.items():
             rows.sort()
             self.seeds[run] = tuple(np.array(c) for c in zip(*rows, strict=True))
-        most = max(map(len, self.words), default=1)
-        padded = np.zeros((len(self.words), most), np.uint64)
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        for k, w in enumerate(self.words):
-            padded[k, : len(w)] = self.hash[w]
-        keys = hashes(padded, sizes) if len(self.words) else np.zeros((0, WALKS * HASHES), np.uint64)
+        short = np.array([k for k, w in enumerate(self.words) if len(w) < LONG], np.int64)
+        sizes = np.array([len(self.words[k]) for k in short], np.int64)
+        padded = np.zeros((len(short), int(sizes.max(initial=1))), np.uint64)
+        for r, k in enumerate(short.tolist()):
+            padded[r, : sizes[r]] = self.hash[self.words[k]]
+        keys = hashes(padded, sizes) if len(short) else np.zeros((0, WALKS * HASHES), np.uint64)
         flat = keys.ravel()
         order = np.argsort(flat, kind="stable")
-        self.keys, self.owner = flat[order], (order // (WALKS * HASHES)).astype(np.int64)
+        self.keys, self.owner = flat[order], short[order // (WALKS * HASHES)]
 
     @staticmethod
     def shared(words: int, edits: int, run: int) -> int:
@@ -120,8 +123,8 @@ class Searcher:
             out = out * (len(self.number) + 1) + w
         return out
 
-    def windows(self, ids: np.ndarray) -> np.ndarray:
-        """Start and size of the windows that enough runs of one item in a text point to."""
+    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that enough runs of one item in a text point to: start and size, and of long items item and start."""
         found = []
         for run, (codes, item, place) in self.seeds.items():
             if len(ids) < run:
@@ -138,7 +141,7 @@ class Searcher:
             hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             found.append(np.stack([item[hit], np.repeat(at, n) - place[hit], np.repeat(at, n)]))
         if not found:
-            return np.zeros((0, 2), np.int64)
+            return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
         item, start, at = np.concatenate(found, 1)
         order = np.lexsort((at, start, item))
         item, start = item[order], start[order]
@@ -151,8 +154,10 @@ class Searcher:
         np.add.at(mark, np.flatnonzero(ok), 1)
         np.add.at(mark, last[ok] + 1, -1)
         chosen = np.cumsum(mark)[:-1] > 0
-        size = np.array([len(w) for w in self.words])[item[chosen]]
-        return np.unique(np.stack([np.maximum(start[chosen], 0), size], 1), axis=0)
+        item, start = item[chosen], np.maximum(start[chosen], 0)
+        size = np.array([len(w) for w in self.words])[item]
+        long = size >= LONG
+        return np.unique(np.stack([start, size], 1)[~long], axis=0), np.unique(np.stack([item, start], 1)[long], axis=0)
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item number, edit distance, start word, end word) of each item's best match in each text."""
@@ -161,12 +166,32 @@ class Searcher:
         for t in texts:
             found = words_of(t)
             ids.append(np.fromiter((get(w, 0) for w in found), np.int64, len(found)))
-        spots = [(i, self.windows(x)) for i, x in enumerate(ids)]
-        sizes = [len(w) for _, w in spots]
-        windows = np.concatenate([w for _, w in spots]) if spots else np.zeros((0, 2), np.int64)
+        spots = [self.windows(x) for x in ids]
+        sizes = [len(w) for w, _ in spots]
+        windows = np.concatenate([w for w, _ in spots]) if spots else np.zeros((0, 2), np.int64)
         text = np.repeat(np.arange(len(texts)), sizes)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
+
+        def verify(t: int, k: int, s: int) -> None:
+            d, m = self.allowed[k], len(self.words[k])
+            if (t, k) in best and best[t, k][0] == 0:
+                return
+            if np.array_equal(ids[t][s : s + m], self.words[k]):
+                best[t, k] = (0, s, s + m)
+                return
+            tile = (t, k, s // max(d, 1))
+            if tile in tried:
+                return
+            tried.add(tile)
+            left = max(0, s - 2 * d)
+            distance, x, y = fitting_distance(self.words[k], ids[t][left : s + m + 2 * d + 1])
+            if distance <= d and ((t, k) not in best or (distance, left + x) < best[t, k][:2]):
+                best[t, k] = (distance, left + x, left + y)
+
+        for t, (_, whole) in enumerate(spots):
+            for k, s in whole.tolist():
+                verify(t, k, s)
         for a in range(0, len(windows), WINDOWS):
             start, size = windows[a : a + WINDOWS].T
             row = text[a : a + WINDOWS]
@@ -182,20 +207,7 @@ class Searcher:
             window = np.repeat(hit // keys.shape[1], n[hit])
             item = self.owner[np.repeat(lo[hit], n[hit]) + np.arange(n[hit].sum()) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])]
             for w, k in np.unique(np.stack([window, item], 1), axis=0).tolist():
-                t, d, s, m = int(row[w]), self.allowed[k], int(start[w]), int(size[w])
-                if (t, k) in best and best[t, k][0] == 0:
-                    continue
-                if np.array_equal(ids[t][s : s + m], self.words[k]):
-                    best[t, k] = (0, s, s + m)
-                    continue
-                tile = (t, k, s // max(d, 1))
-                if tile in tried:
-                    continue
-                tried.add(tile)
-                left = max(0, s - 2 * d)
-                distance, x, y = fitting_distance(self.words[k], ids[t][left : s + m + 2 * d + 1])
-                if distance <= d and ((t, k) not in best or (distance, left + x) < best[t, k][:2]):
-                    best[t, k] = (distance, left + x, left + y)
+                verify(int(row[w]), k, int(start[w]))
         return [(*at, *v) for at, v in sorted(best.items())]
 
 

@@ -158,6 +158,24 @@ def test_search_recall():
     assert found >= 0.99 * total
 
 
+@pytest.mark.parametrize("kinds", ["delete", "insert", "replace", "delete insert replace"])
+@pytest.mark.parametrize("size", [20, 59, 60, 100, 200, 300])
+def test_search_recall_by_length_and_edits(size, kinds):
+    """Scattered edits at the allowed count; items of LONG words or more are always found."""
+    rnd = random.Random(size)
+    items = [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(size))) for i in range(30)]
+    s = Searcher(items, 0.8)
+    found = 0
+    for k in range(len(items)):
+        words = [w.decode() for w in s.items[k][1]]
+        for at in sorted(rnd.sample(range(size), s.allowed[k]), reverse=True):
+            kind = rnd.choice(kinds.split())
+            words[at : at + (kind != "insert")] = [] if kind == "delete" else [f"new{rnd.random()}".replace(".", "x")]
+        match = [m for m in s.search([" ".join(["start"] * 20 + words + ["end"] * 20)]) if m[1] == k]
+        found += bool(match) and match[0][2] <= s.allowed[k]
+    assert found == len(items) if size >= 60 else found >= 0.99 * len(items)
+
+
 def test_find_items_matches_brute_force(spark, docs, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in find_items(docs, bench).collect()}
