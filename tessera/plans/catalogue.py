@@ -453,7 +453,7 @@ def hashed_bigrams(texts: list[str]) -> list[list[float]]:
 @query()
 def within_doc_reselect(spark, sf):
     q, rows = questions(spark, sf), chunks(spark, sf)
-    hits = retrieval.cap_per_doc(candidates(spark, sf), 2, 5)
+    hits = retrieval.cap_per_doc(candidates(spark, sf), 2, 5).persist()  # five rows a question, read by each queue
     index = lexical.postings(rows, lexical.question_grams(q))
     docs = hits.select("q_id", "doc_id").distinct().join(q, "q_id")
     embed = dense.embedder(hashed_bigrams)
