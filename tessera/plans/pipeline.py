@@ -19,6 +19,7 @@ from tessera.functions.text import clean, document_key, nfc
 from tessera.operators import answers, chunking, dense, evaluation, ingest, lexical, retrieval
 from tessera.operators import sections as sec
 from tessera.plans.profile import Profile, pool_size
+from tessera.session import with_checkpoints
 from tessera.sources import files
 from tessera.sources.binary_documents import read_texts
 from tessera.sources.tables import drop_contents, number_tables
@@ -137,7 +138,8 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
         top = retrieval.cap_per_doc(found, profile.max_per_doc, profile.top_k, lifted).drop("rank").withColumnRenamed("hit_no", "rank")
     hits = top.join(cosine, ["q_id", "chunk_no"], "left").join(fused.select("q_id", "chunk_no", "rrf_score"), ["q_id", "chunk_no"], "left").withColumn("neighbor", F.lit(False))
     if profile.within_doc != "off":
-        hits = hits.localCheckpoint()  # a few rows a question; the plans of the queues repeat theirs
+        with_checkpoints(hits.sparkSession)
+        hits = hits.checkpoint()  # a few rows a question; the plans of the queues repeat theirs
         projects = names.select("doc_id", project_of(F.col("metadata")).alias("project"))
         docs = hits.select("q_id", "doc_id").distinct().join(questions.select("q_id", "question"), "q_id").join(projects, "doc_id")
         plain = lexical.postings(chunks.select("chunk_no", "text"), lexical.question_grams(questions))

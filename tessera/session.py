@@ -1,7 +1,9 @@
-"""Sends the package to the executors, where it is not installed."""
+"""What a session needs: the package on the executors, and a folder for checkpoints."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,3 +25,21 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _SENT.add(sc.applicationId)
     return spark
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """spark, after a checkpoint folder is sure to be set.
+
+    It is the one that the cluster names in spark.checkpoint.dir. A local master has a temporary one where none is named,
+    which goes with the process; on a cluster that is an error, as executors would not share it.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+            folder = tempfile.mkdtemp(prefix="tessera-checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return spark
