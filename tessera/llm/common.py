@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import session
+
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -26,10 +27,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def with_checkpoints(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, after a checkpoint folder is sure to be set: the one the cluster names, or a local one where none is."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
+    """df, after a checkpoint folder is sure to be set."""
+    session.with_checkpoints(spark)
     return df
 
 
