@@ -141,6 +141,66 @@ def wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw[1:], np.dtype(f"u{raw[0]}")).astype(np.int64)
 
 
+def text_size(docs: DataFrame) -> tuple[int, int]:
+    """Bytes of all texts, and rows; reads that column alone."""
+    found = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("rows")).first()
+    return found["size"], found["rows"]
+
+
+#: Text that is looked at for frequent anchors; and the part of its rows that one must stand in.
+ANCHOR_BYTES, ANCHOR_SHARE = 16 << 20, 1 / 200
+ANCHOR_BITS = 20
+
+
+def frequent_anchors(docs: DataFrame, anchors, size: int, rows: int) -> np.ndarray | None:
+    """A bitmap of anchors that would make hot buckets, or nothing if there are none.
+
+    anchors gives row and minimiser of each window of a batch. Which anchors are put back is a free choice that changes no
+    result, only what bucket a window goes to; so it may come from about ANCHOR_BYTES of the rows. The driver gets at most
+    the minimisers of an average row, divided by ANCHOR_SHARE.
+    """
+    part = min(1.0, ANCHOR_BYTES / max(size, 1))
+    drawn = keyed(docs).where((F.pmod(F.xxhash64(F.lit("anchors"), "doc_id", "fp"), F.lit(1 << 30)) / float(1 << 30) < part) & (F.col("text") != ""))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in steps(batch, size=1 << 21):
+                row, h = anchors(piece)
+                slot = (h & np.uint64((1 << ANCHOR_BITS) - 1)).astype(np.int64)
+                pairs = np.unique(row.astype(np.int64) << ANCHOR_BITS | slot)
+                slot, n = np.unique(pairs & (1 << ANCHOR_BITS) - 1, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"slot": pa.array(slot[n > 1]), "n": pa.array(n[n > 1], pa.int64())})
+
+    counts = drawn.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= max(8.0, rows * part * ANCHOR_SHARE)).select("slot").collect()
+    if not found:
+        return None
+    out = np.zeros(1 << ANCHOR_BITS, bool)
+    out[[r["slot"] for r in found]] = True
+    return out
+
+
+def put_back(h: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
+    """Hashes of anchors, those of frequent ones above all others."""
+    if frequent is None:
+        return h
+    top = np.uint64(1 << 63)
+    return np.where(frequent[(h & np.uint64((1 << ANCHOR_BITS) - 1)).astype(np.int64)], h | top, h & ~top)
+
+
+def equal_runs(flat: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether run a[i] and run b[i], of sizes[i] values each, hold the same values."""
+    same = flat[ragged(a, sizes)] == flat[ragged(b, sizes)]
+    ends = np.cumsum(sizes)
+    total = np.concatenate([[0], np.cumsum(same)])
+    return total[ends] - total[ends - sizes] == sizes
+
+
+#: Rows of packed strings by bucket, or of marks that are ready; and of marks.
+PACKED = "bucket int, payload binary, doc_id long, fp long, spans binary"
+MARKS = "doc_id long, fp long, spans binary"
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
     """Rows of consecutive equal keys; the input is sorted by key."""
     last, rows = None, []

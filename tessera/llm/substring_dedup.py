@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -12,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import (
-    GOLDEN, bytes_hash, grouped, keyed, mark_rows, mix, narrow, pack, ragged, read_spans,
-    by_bucket, shuffle_partitions, sliding_min, steps, unpack, wide, with_marks,
+    GOLDEN, bytes_hash, by_bucket, equal_runs, frequent_anchors, grouped, keyed, mark_rows, MARKS, mix, narrow, pack, PACKED, put_back, ragged,
+    read_spans, shuffle_partitions, sliding_min, steps, text_size, unpack, wide, with_marks,
 )
 
-PACKED = "bucket int, payload binary, doc_id long, fp long, spans binary"
-MARKS = "doc_id long, fp long, spans binary"
+#: Bytes of text for which there is a bucket.
+BUCKET_BYTES = 8 << 20
+#: Bytes of strings that a map task keeps because they stood more than once; beyond them it starts anew.
+KEPT_BYTES = 16 << 20
 
 
 def word_ids(texts: list[str], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,21 +37,40 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
 
 
-def equal_runs(flat: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether run a[i] and run b[i], of sizes[i] values each, hold the same values."""
-    same = flat[ragged(a, sizes)] == flat[ragged(b, sizes)]
-    ends = np.cumsum(sizes)
-    total = np.concatenate([[0], np.cumsum(same)])
-    return total[ends] - total[ends - sizes] == sizes
+def minimisers(h: np.ndarray, width: int, sub: int, frequent: np.ndarray | None) -> np.ndarray:
+    """The least hash of sub consecutive words in each window, from hashes of words."""
+    grams = h[: len(h) - sub + 1].copy()
+    for j in range(1, sub):
+        grams = grams * GOLDEN + h[j : len(h) - sub + 1 + j]
+    return sliding_min(put_back(mix(grams), frequent), width - sub + 1)
 
 
-def super_kmers(width: int, sub: int, buckets: int):
+def anchors_of(width: int, sub: int):
+    """For common.frequent_anchors(): the minimisers of each row."""
+
+    def of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        known: dict[bytes, int] = defaultdict(count().__next__)
+        flat, sizes = word_ids(part.column("text").to_pylist(), known)
+        if len(flat) < width:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        least = minimisers(bytes_hash(list(known))[flat], width, sub, None)
+        inside = row[: len(least)] == row[width - 1 :]
+        return row[: len(least)][inside], least[inside]
+
+    return of
+
+
+def super_kmers(width: int, sub: int, buckets: int, frequent: np.ndarray | None):
     """Map side: consecutive windows that share a minimiser become one packed string of their bucket.
 
-    Of equal strings in one step only that of the smallest doc_id is sent; the others are marked here.
+    Of equal strings in a step, and of those that the task has sent before, only that of the smallest doc_id is sent; the
+    others are marked here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, tuple[bytes, int]] = {}  # strings that stood more than once, and the smallest doc_id sent
+        sent_bytes = 0
         names = ("bucket", "payload", "doc_id", "fp", "spans")
         kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
         rows = lambda **cols: pa.RecordBatch.from_arrays([pa.array(cols.get(n) if cols.get(n) is not None else [None] * cols["n"], k) for n, k in zip(names, kinds, strict=True)], names=list(names))
@@ -68,10 +88,7 @@ def super_kmers(width: int, sub: int, buckets: int):
                 raw = "\n".join(texts).encode()
                 del known, texts
                 begin, end = word_bounds(raw)
-                grams = h[: len(h) - sub + 1].copy()
-                for j in range(1, sub):
-                    grams = grams * GOLDEN + h[j : len(h) - sub + 1 + j]
-                least = sliding_min(mix(grams), width - sub + 1)
+                least = minimisers(h, width, sub, frequent)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 first = np.cumsum(sizes) - sizes
                 n = len(least)
@@ -95,20 +112,37 @@ def super_kmers(width: int, sub: int, buckets: int):
                 same = equal_runs(flat, start[twin], start[kept], length[twin])
                 twin, kept = twin[same], kept[same]
                 later = ids[row[start[twin]]] > ids[row[start[kept]]]
+                again = np.unique(kept)
                 twin = twin[later]
+                stay = np.ones(len(start), bool)
+                stay[twin] = False
+                # strings that the task has sent: all of a greater doc_id go, and those of the same one need not be sent again
+                known = np.fromiter(sent, np.uint64, len(sent))
+                old = np.flatnonzero(stay & np.isin(digest, known)) if len(known) else []
+                for i in old:
+                    text, least_doc = sent[int(digest[i])]
+                    if text == raw[begin[start[i]] : end[start[i] + length[i] - 1]] and least_doc <= ids[row[start[i]]]:
+                        stay[i] = False
+                        if least_doc < ids[row[start[i]]]:
+                            twin = np.append(twin, i)
+                for i in again.tolist():
+                    if stay[i]:
+                        text = raw[begin[start[i]] : end[start[i] + length[i] - 1]]
+                        sent_bytes += len(text) if int(digest[i]) not in sent else 0
+                        sent[int(digest[i])] = (text, int(ids[row[start[i]]]))
+                if sent_bytes > KEPT_BYTES:
+                    sent, sent_bytes = {}, 0
                 if len(twin):
                     at = start[twin] - first[row[start[twin]]]
                     marks = mark_rows(ids[row[start[twin]]], fps[row[start[twin]]], at, at + length[twin])
                     yield rows(n=marks.num_rows, bucket=(mix(marks.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=marks.column("doc_id"), fp=marks.column("fp"), spans=marks.column("spans"))
-                stay = np.ones(len(start), bool)
-                stay[twin] = False
                 start, length = start[stay], length[stay]
                 bucket = (mix(least[start] + GOLDEN) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 start, length, bucket = start[order], length[order], bucket[order]
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 out_b, out_p = [], []
-                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
+                for a, b in zip([0, *cut.tolist()] if len(bucket) else [], [*cut.tolist(), len(bucket)], strict=False):
                     s, m = start[a:b], length[a:b]
                     strings = [raw[x:y] for x, y in zip(begin[s].tolist(), end[s + m - 1].tolist(), strict=True)]
                     docs, doc = np.unique(row[s], return_inverse=True)
@@ -198,7 +232,9 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, width: int = 13, sub: int = 3, buckets: int | None = None) -> DataFrame:
     """doc_id, fp, spans of the words that a window covers which also starts in a document with a smaller doc_id."""
     n = shuffle_partitions(docs.sparkSession)
-    packed = keyed(docs).mapInArrow(super_kmers(width, sub, buckets or 2 * n), PACKED)
+    size, rows = text_size(docs)
+    frequent = frequent_anchors(docs, anchors_of(width, sub), size, rows)
+    packed = keyed(docs).mapInArrow(super_kmers(width, sub, buckets or max(2 * n, -(-size // BUCKET_BYTES)), frequent), PACKED)
     return by_bucket(packed, n).mapInArrow(count_windows(width), MARKS)
 
 
@@ -207,10 +243,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, sub: int = 3, buckets: int
 
     A word goes if a window of width words covers it whose words also start in a row with a smaller doc_id. A null text
     is empty. A row without doc_id neither loses words nor makes others lose them. Rows with one doc_id do not count
-    against each other. buckets is the number of minimiser buckets; one bucket's strings are in memory at a time.
+    against each other. buckets is the number of minimiser buckets, which follows the bytes of text; one bucket's strings
+    are in memory at a time.
     """
     return with_marks(keyed(docs), repeated_windows(docs, width, sub, buckets)).mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import (
-    GOLDEN, by_bucket, grouped, keyed, mark_rows, mix, narrow, pack, ragged, read_spans, shuffle_partitions,
-    sliding_min, steps, unpack, wide, with_marks,
+    GOLDEN, by_bucket, equal_runs, frequent_anchors, grouped, keyed, mark_rows, MARKS, mix, narrow, pack, PACKED, put_back, ragged, read_spans,
+    shuffle_partitions, sliding_min, steps, text_size, unpack, wide, with_marks,
 )
-from tessera.llm.substring_dedup import MARKS, PACKED, equal_runs
 
 
 def difference_cover(period: int) -> np.ndarray:
@@ -42,50 +41,114 @@ class Cover:
         return (self.base[(j - i) % self.period] - i) % self.period
 
 
-def keys_at(text: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """The eight bytes at each position, as numbers that sort as the bytes do."""
-    out = np.zeros(len(pos), np.uint64)
-    for k in range(8):
-        out = out << np.uint64(8) | text[pos + k].astype(np.uint64)
-    return out
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position, as numbers that sort as the bytes do; a view of text."""
+    return np.ndarray((len(text) - 7,), ">u8", buffer=text, strides=(1,))
 
 
-def refine(text: np.ndarray, pos: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """pos sorted by the first depth bytes, and where each group of equal ones starts; only ties are sorted on."""
-    group = np.zeros(len(pos), np.int64)
-    for at in range(0, depth, 8):
-        size = np.bincount(group, minlength=1) if len(group) else np.zeros(0, np.int64)
-        tied = np.flatnonzero(size[group] > 1) if len(group) else np.zeros(0, np.int64)
+def key_at(view: np.ndarray, pos: np.ndarray, at: int, depth: int) -> np.ndarray:
+    """The eight bytes that stand at behind each position, those beyond depth left out."""
+    key = view[pos + at].astype(np.uint64)
+    return key >> np.uint64(8 * (8 - depth + at)) if depth - at < 8 else key
+
+
+def refine(view: np.ndarray, pos: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """pos sorted by the first depth bytes, and the number of each group of equal ones; only ties are sorted on."""
+    key = key_at(view, pos, 0, depth)
+    order = np.argsort(key, kind="stable")
+    pos, key = pos[order], key[order]
+    new = np.ones(len(pos), bool)
+    new[1:] = key[1:] != key[:-1]
+    for at in range(8, depth, 8):
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))
         if not len(tied):
             break
-        key = keys_at(text, pos[tied] + at)
-        if depth - at < 8:
-            key = key >> np.uint64(8 * (8 - depth + at))
-        order = np.lexsort((key, group[tied]))
-        pos[tied] = pos[tied][order]
-        new = np.concatenate([[True], group[1:] != group[:-1]])
-        key = key[order]
-        inner = np.concatenate([[False], key[1:] != key[:-1]])
-        new[tied] |= inner
-        group = np.cumsum(new) - 1
-    return pos, group
-
-
-def sample_ranks(text: np.ndarray, limit: int, cover: Cover, depth: int) -> np.ndarray:
-    """Ranks, by the first depth bytes, of the positions below limit that the cover samples; 0 elsewhere."""
-    pos = np.flatnonzero(cover.member[np.arange(limit) % cover.period])
-    pos, group = refine(text, pos, depth)
-    rank = np.zeros(limit + cover.period + 1, np.int32)
-    rank[pos] = group + 1
-    return rank
-
-
-def sort_block(text: np.ndarray, pos: np.ndarray, rank: np.ndarray, cover: Cover) -> np.ndarray:
+        group = np.cumsum(new[tied])
+        key = key_at(view, pos[tied], at, depth)
+        order = np.lexsort((key, group))
+        pos[tied], key = pos[tied][order], key[order]
+        new[tied[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+    return pos, np.cumsum(new) - 1
+
+
+def compared(view: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """-1, 0 or 1 as the first depth bytes at a are less than, equal to or greater than those at b."""
+    out, live = np.zeros(len(a), np.int8), np.arange(len(a))
+    for at in range(0, depth, 8):
+        x, y = key_at(view, a[live], at, depth), key_at(view, b[live], at, depth)
+        differ = x != y
+        out[live[differ]] = np.where(x[differ] < y[differ], -1, 1)
+        live = live[~differ]
+        if not len(live):
+            break
+    return out
+
+
+def part_of(view: np.ndarray, pos: np.ndarray, splitters: np.ndarray, depth: int) -> np.ndarray:
+    """How many of the sorted splitters are not greater than each suffix, by the first depth bytes."""
+    key, keys = key_at(view, pos, 0, depth), key_at(view, splitters, 0, depth)
+    low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+    live = np.flatnonzero(low < high)
+    while len(live):
+        middle = (low[live] + high[live]) // 2
+        less = compared(view, pos[live], splitters[middle], depth) < 0
+        high[live[less]], low[live[~less]] = middle[less], middle[~less] + 1
+        live = live[low[live] < high[live]]
+    return low
+
+
+#: Positions that are drawn for each block; one of so many becomes a splitter.
+DRAWN = 16
+
+
+def blocks(view: np.ndarray, pos: np.ndarray, depth: int, block: int) -> Iterator[np.ndarray]:
+    """pos in blocks of about block suffixes each, all of one block before those of the next by their first depth bytes.
+
+    The blocks are cut at splitters drawn from pos. Suffixes equal in depth bytes share a block.
+    """
+    if len(pos) <= block:
+        yield pos
+        return
+    drawn, group = refine(view, pos[:: max(1, block // DRAWN)], depth)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    splitters = drawn[first[np.searchsorted(first, np.arange(DRAWN // 2, len(drawn), DRAWN), side="right") - 1]]
+    splitters = splitters[np.flatnonzero(np.diff(splitters, prepend=-1))]
+    kind = np.uint16 if len(splitters) < 1 << 16 else np.uint32
+    part = np.concatenate([part_of(view, pos[a : a + block], splitters, depth).astype(kind) for a in range(0, len(pos), block)])
+    for b in range(len(splitters) + 1):
+        mine = pos[part == b]
+        if len(mine):
+            yield mine
+
+
+class SampleRanks:
+    """Ranks, by their first depth bytes, of the positions below limit that the cover samples; no others take room."""
+
+    def __init__(self, view: np.ndarray, limit: int, cover: Cover, depth: int, block: int):
+        self.period, self.many = cover.period, len(cover.residues)
+        self.column = np.zeros(cover.period, np.int64)
+        self.column[cover.residues] = np.arange(self.many)
+        self.rank = np.zeros((limit // cover.period + 2) * self.many, np.int32)
+        sample = (np.arange(0, limit, cover.period)[:, None] + cover.residues).ravel()
+        before = 0
+        for piece in blocks(view, sample[sample < limit], depth, block):
+            piece, group = refine(view, piece, depth)
+            self.rank[self.index(piece)] = group + before
+            before += int(group[-1]) + 1
+
+    def index(self, pos: np.ndarray) -> np.ndarray:
+        return pos // self.period * self.many + self.column[pos % self.period]
+
+    def at(self, pos: np.ndarray) -> np.ndarray:
+        return self.rank[self.index(pos)]
+
+
+def sort_block(view: np.ndarray, pos: np.ndarray, ranks: SampleRanks, cover: Cover) -> np.ndarray:
     """The suffixes of one block in order: by period bytes, then by the cover ranks that both sides of a tie reach.
 
     Ties are three-way partitioned around a pivot of each group, all groups at once.
     """
-    pos, group = refine(text, pos, cover.period)
+    pos, group = refine(view, pos, cover.period)
     while len(group):
         size = np.bincount(group)
         start = np.cumsum(size) - size
@@ -95,7 +158,7 @@ def sort_block(text: np.ndarray, pos: np.ndarray, rank: np.ndarray, cover: Cover
         g = group[live]
         pivot = pos[start[g] + size[g] // 2]
         d = cover.shift(pos[live], pivot)
-        side = np.sign(rank[pos[live] + d] - rank[pivot + d])
+        side = np.sign(ranks.at(pos[live] + d) - ranks.at(pivot + d))
         order = np.lexsort((pos[live], side, g))
         pos[live], side, g = pos[live][order], side[order], g[order]
         # the middle part is settled: each of its members becomes a group of its own
@@ -107,31 +170,166 @@ def sort_block(text: np.ndarray, pos: np.ndarray, rank: np.ndarray, cover: Cover
 
 
 def blockwise(text: np.ndarray, pos: np.ndarray, depth: int, period: int, block: int) -> Iterator[np.ndarray]:
-    """Suffixes pos in order of their first depth bytes, one block of about block suffixes after the other.
+    """Suffixes pos in order of their first depth bytes, one block after the other.
 
-    text ends with depth + period bytes more than the last position needs. Blocks are cut at two leading bytes; a larger
-    block has those bytes in common throughout.
+    text ends with depth + 2 * period + 8 bytes more than the last position needs. Besides text and pos, two bytes a
+    suffix and the ranks of the cover sample are in memory, and what sorting one block takes.
     """
-    cover = Cover(period)
-    rank = sample_ranks(text, int(pos.max()) + period + 1, cover, depth)
-    lead = text[pos].astype(np.int64) << 8 | text[pos + 1]
-    many = np.cumsum(np.bincount(lead, minlength=1 << 16))
-    part = (np.maximum(many - 1, 0) // block)[lead]
-    order = np.argsort(part, kind="stable")
-    for piece in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        yield sort_block(text, pos[piece], rank, cover)
+    if not len(pos):
+        return
+    cover, view = Cover(period), eights(text)
+    ranks = SampleRanks(view, int(pos.max()) + period + 1, cover, depth, block)
+    for piece in blocks(view, pos, depth, block):
+        yield sort_block(view, piece, ranks, cover)
+
 
+class Strings:
+    """Different strings, one after the other in flat, and the owners of each: the places (doc, fp, at) where it stands.
 
-def byte_runs(length: int, anchor: int, buckets: int):
+    of is the string of each owner; owners are sorted by string, doc, fp and place, each once.
+    """
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray, of: np.ndarray, doc: np.ndarray, fp: np.ndarray, at: np.ndarray):
+        self.flat, self.size = flat, size
+        self.first = np.cumsum(size) - size
+        order = np.lexsort((at, fp, doc, of))
+        of, doc, fp, at = of[order], doc[order], fp[order], at[order]
+        row = (of[1:] == of[:-1]) & (doc[1:] == doc[:-1]) & (fp[1:] == fp[:-1])
+        fresh = np.concatenate([[True], ~(row & (at[1:] == at[:-1]))]) if len(of) else np.zeros(0, bool)
+        self.of, self.doc, self.fp, self.at = of[fresh], doc[fresh], fp[fresh], at[fresh]
+        # a leader is the first place of its row, in the least document; whatever leads is all that other strings need to know
+        new = np.concatenate([[True], self.of[1:] != self.of[:-1]]) if len(self.of) else np.zeros(0, bool)
+        least = self.doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(new) else self.doc
+        same_row = np.concatenate([[False], ~new[1:] & (self.doc[1:] == self.doc[:-1]) & (self.fp[1:] == self.fp[:-1])]) if len(new) else new
+        self.leads = (self.doc == least) & ~same_row
+
+    def repeats(self, length: int, period: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """doc, fp, start and end of the bytes that a length-byte string covers which also stands earlier.
+
+        Everything found comes from neighbours in the sorted order of all length-byte strings. Owners that do not lead
+        lose each of them, as the leader stands earlier; leaders lose those that a group of equal ones has earlier.
+        """
+        text = np.concatenate([self.flat, np.zeros(length + 2 * period + 8, np.uint8)])
+        view = eights(text)
+        pos = ragged(self.first, self.size - length + 1).astype(np.int32 if len(text) < 1 << 31 else np.int64)
+        many = np.bincount(self.of, minlength=len(self.size))
+        leader = np.flatnonzero(self.leads)
+        leaders = np.bincount(self.of[leader], minlength=len(self.size))
+        leader_at = np.cumsum(leaders) - leaders
+        sorted_too = np.zeros(len(text), bool)  # places of strings with owners that do not lead, as the sort meets them
+        out: list[tuple[np.ndarray, ...]] = []
+        for order in blockwise(text, pos, length, period, block):
+            same = compared(view, order[:-1], order[1:], length) == 0
+            near = np.zeros(len(order), bool)
+            near[1:] |= same
+            near[:-1] |= same
+            run = np.searchsorted(self.first, order, side="right") - 1
+            sorted_too[order[many[run] > leaders[run]]] = True
+            p, r = order[near], run[near]
+            if not len(p):
+                continue
+            group = np.cumsum(~np.concatenate([[False], same]))[near]
+            n = leaders[r]
+            who = leader[ragged(leader_at[r], n)]
+            group, where = np.repeat(group, n), np.repeat(p - self.first[r], n) + self.at[who]
+            doc, fp = self.doc[who], self.fp[who]
+            rank = np.lexsort((where, fp, doc, group))
+            group, doc, fp, where = group[rank], doc[rank], fp[rank], where[rank]
+            head = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), np.arange(len(group)), 0))
+            mine = np.maximum.accumulate(np.where(np.concatenate([[True], (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])]), np.arange(len(group)), 0))
+            # a smaller doc_id, or the same row at an earlier place
+            hit = (doc > doc[head]) | (where > where[mine])
+            out.append((doc[hit], fp[hit], where[hit], where[hit] + length))
+        met = np.flatnonzero(sorted_too)
+        if len(met):
+            run = np.searchsorted(self.first, met, side="right") - 1
+            new = np.concatenate([[True], (met[1:] != met[:-1] + 1) | (run[1:] != run[:-1])])
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(met)) - 1
+            run, low, high = run[a], met[a] - self.first[run[a]], met[b] - self.first[run[a]] + length
+            others = np.flatnonzero(~self.leads)
+            n = np.bincount(self.of[others], minlength=len(self.size))
+            who = others[ragged((np.cumsum(n) - n)[run], n[run])]
+            out.append((self.doc[who], self.fp[who], self.at[who] + np.repeat(low, n[run]), self.at[who] + np.repeat(high, n[run])))
+        none = np.zeros(0, np.int64)
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (none, none, none, none)
+
+
+def classes(flat: np.ndarray, start: np.ndarray, size: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """For each string the first that equals it; strings of one digest that differ are told apart byte by byte."""
+    order = np.argsort(digest, kind="stable")
+    head = np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    other = np.flatnonzero(leader != np.arange(len(leader)))
+    same = size[other] == size[leader[other]]
+    same[same] = equal_runs(flat, start[other[same]], start[leader[other[same]]], size[other[same]])
+    leader[other[~same]] = other[~same]
+    return leader
+
+
+#: Bytes of strings that a map task keeps because they stood more than once; beyond them it starts anew.
+KEPT_BYTES = 16 << 20
+
+
+class Kept:
+    """Strings that a task has met more than once and sent, each with the owner it sent, so that it need not send them again."""
+
+    def __init__(self):
+        self.known: dict[int, tuple[bytes, int, int, int]] = {}
+        self.bytes = 0
+        self.digests = np.zeros(0, np.uint64)
+
+    def found(self, digest: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.digests, digest)
+        return np.flatnonzero(self.digests[np.minimum(at, len(self.digests) - 1)] == digest) if len(self.digests) else np.zeros(0, np.int64)
+
+    def add(self, rows: list[tuple[int, bytes, int, int, int]]) -> None:
+        for digest, raw, doc, fp, at in rows:
+            if digest not in self.known:
+                self.bytes += len(raw)
+            self.known[digest] = (raw, doc, fp, at)
+        if self.bytes > KEPT_BYTES:
+            self.known, self.bytes = {}, 0
+        if rows:
+            self.digests = np.sort(np.fromiter(self.known, np.uint64, len(self.known)))
+
+
+def minimisers(flat: np.ndarray, length: int, anchor: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all anchors, a power of two of bytes each, and the least hash in each string of length bytes."""
+    h, span, power = flat.astype(np.uint64) * GOLDEN + np.uint64(0x7F4A7C15), 1, GOLDEN
+    while span < anchor:
+        h = h[:-span] * power + h[span:]
+        power, span = np.uint64(int(power) * int(power) % (1 << 64)), span * 2
+    h = put_back(mix(h), frequent)
+    return h, sliding_min(h, length - anchor + 1)
+
+
+def anchors_of(length: int, anchor: int):
+    """For common.frequent_anchors(): the minimisers of each row."""
+
+    def of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        raw = [x.encode() for x in part.column("text").to_pylist()]
+        flat, sizes = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        if len(flat) < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        least = minimisers(flat, length, anchor, None)[1]
+        inside = row[: len(least)] == row[length - 1 :]
+        return row[: len(least)][inside], least[inside]
+
+    return of
+
+
+def byte_runs(length: int, anchor: int, period: int, block: int, buckets: int, frequent: np.ndarray | None):
     """Map side: consecutive length-byte strings that share a minimiser of anchor bytes travel as one packed string.
 
-    Of equal packed strings in one step only the first is sent; the others are marked here.
+    Packed strings that stand more than once in a step, or in an earlier step of the task, are sorted here as in a bucket:
+    that marks all but their leaders, and leaders alone are sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("bucket", "payload", "doc_id", "fp", "spans")
-        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        rows = lambda **cols: pa.RecordBatch.from_arrays([pa.array(cols.get(n) if cols.get(n) is not None else [None] * cols["n"], k) for n, k in zip(names, kinds, strict=True)], names=list(names))
+        kept = Kept()
         for batch in batches:
             for part in steps(batch, size=1 << 21):
                 raw = [x.encode() for x in part.column("text").to_pylist()]
@@ -142,14 +340,8 @@ def byte_runs(length: int, anchor: int, buckets: int):
                 fps = np.asarray(part.column("fp"))
                 if len(flat) < length:
                     continue
-                h, span = flat.astype(np.uint64) * GOLDEN + np.uint64(0x7F4A7C15), 1
-                power = GOLDEN
-                while span < anchor:  # anchor is a power of two
-                    h = h[:-span] * power + h[span:]
-                    power, span = np.uint64(int(power) * int(power) % (1 << 64)), span * 2
-                h = mix(h)
+                h, least = minimisers(flat, length, anchor, frequent)
                 width = length - anchor + 1
-                least = sliding_min(h, width)
                 row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
                 first = np.cumsum(sizes) - sizes
                 n = len(least)
@@ -167,127 +359,115 @@ def byte_runs(length: int, anchor: int, buckets: int):
                 again[chosen[:-1][h[chosen][1:] == h[chosen][:-1]] + 1] = 1
                 again = np.cumsum(again)
                 twice = again[start + size - anchor + 1] > again[start]
-                del top, chosen, again
-                # equal strings of this step: the first by document and place stays
-                digest = mix(least[start] + size.astype(np.uint64) * GOLDEN) ^ keys_at(flat, start) ^ mix(keys_at(flat, start + size - 8))
-                order = np.lexsort((start, fps[row[start]], ids[row[start]], digest))
-                head = np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
-                leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-                other = np.flatnonzero((order != leader) & (size[order] == size[leader]))
-                twin, kept = order[other], leader[other]
-                if len(twin):
-                    same = equal_runs(flat, start[twin], start[kept], size[twin])
-                    twin, kept = twin[same], kept[same]
-                    # rows that share a doc_id are told apart by nothing that orders them: neither marks the other
-                    twin = twin[(ids[row[start[twin]]] != ids[row[start[kept]]]) | (row[start[twin]] == row[start[kept]])]
-                if len(twin):
-                    at = start[twin] - first[row[start[twin]]]
-                    marks = mark_rows(ids[row[start[twin]]], fps[row[start[twin]]], at, at + size[twin])
-                    yield rows(n=marks.num_rows, bucket=(mix(marks.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=marks.column("doc_id"), fp=marks.column("fp"), spans=marks.column("spans"))
+                least = least[start]
+                del top, chosen, again, h, windows
+                view = eights(flat)
+                digest = mix(least + size.astype(np.uint64) * GOLDEN) ^ view[start].astype(np.uint64) ^ mix(view[start + size - 8].astype(np.uint64))
+                leader = classes(flat, start, size, digest)
+                rows = row[start]
+                doc, fp, at = ids[rows], fps[rows], start - first[rows]
                 stay = np.ones(len(start), bool)
-                stay[twin] = False
-                start, size, twice = start[stay], size[stay], twice[stay]
-                scrambled = mix(least[start] + GOLDEN)
+                # what stands more than once here, or did before in this task
+                alone = np.bincount(leader, minlength=len(leader)) == 1
+                heads = np.flatnonzero(leader == np.arange(len(leader)))
+                known = heads[kept.found(digest[heads])]
+                old = [(i, *kept.known[int(digest[i])][1:]) for i in known.tolist() if kept.known[int(digest[i])][0] == flat[start[i] : start[i] + size[i]].tobytes()]
+                again = ~alone[leader]
+                if old:
+                    again |= np.isin(leader, [x[0] for x in old])
+                mine = np.flatnonzero(again)
+                if len(mine):
+                    head, of = np.unique(leader[mine], return_inverse=True)
+                    extra = [np.array(c, k) for c, k in zip(zip(*old, strict=True), (np.int64,) * 4, strict=True)] if old else [np.zeros(0, np.int64)] * 4
+                    strings = Strings(
+                        flat[ragged(start[head], size[head])], size[head], np.concatenate([of, np.searchsorted(head, extra[0])]),
+                        np.concatenate([doc[mine], extra[1]]), np.concatenate([fp[mine], extra[2]]), np.concatenate([at[mine], extra[3]]),
+                    )
+                    marks = strings.repeats(length, period, block)
+                    if len(marks[0]):
+                        yield from marked(*marks, buckets)
+                    lead = np.flatnonzero(strings.leads)
+                    names = set(zip(strings.of[lead].tolist(), strings.doc[lead].tolist(), strings.fp[lead].tolist(), strings.at[lead].tolist(), strict=True))
+                    sent = {(int(np.searchsorted(head, x[0])), *x[1:]) for x in old}
+                    stay[mine] = [x in names and x not in sent for x in zip(of.tolist(), doc[mine].tolist(), fp[mine].tolist(), at[mine].tolist(), strict=True)]
+                    raws = {k: flat[start[i] : start[i] + size[i]].tobytes() for k, i in enumerate(head.tolist())}
+                    kept.add([(int(digest[head[k]]), raws[k], d, f, a) for k, d, f, a in names])
+                start, size, twice, least, rows, at = start[stay], size[stay], twice[stay], least[stay], rows[stay], at[stay]
+                scrambled = mix(least + GOLDEN)
                 bucket = (scrambled % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                start, size, bucket, twice, tag = start[order], size[order], bucket[order], twice[order], (scrambled[order] >> np.uint64(32)).astype(np.uint32)
+                start, size, bucket, twice, rows, at, tag = start[order], size[order], bucket[order], twice[order], rows[order], at[order], (scrambled[order] >> np.uint64(32)).astype(np.uint32)
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 out_b, out_p = [], []
-                for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
+                for a, b in zip([0, *cut.tolist()] if len(bucket) else [], [*cut.tolist(), len(bucket)], strict=False):
                     s, m = start[a:b], size[a:b]
-                    docs, doc = np.unique(row[s], return_inverse=True)
+                    docs, which = np.unique(rows[a:b], return_inverse=True)
                     out_b.append(int(bucket[a]))
-                    out_p.append(pack(flat[ragged(s, m)], narrow(m), tag[a:b], ids[docs].astype(np.int64), fps[docs].astype(np.int64), narrow(doc), narrow(s - first[row[s]]), twice[a:b]))
-                yield rows(n=len(out_b), bucket=out_b, payload=out_p)
+                    out_p.append(pack(flat[ragged(s, m)], narrow(m), tag[a:b], ids[docs].astype(np.int64), fps[docs].astype(np.int64), narrow(which), narrow(at[a:b]), twice[a:b]))
+                if out_b:
+                    none = [None] * len(out_b)
+                    yield packed_rows(out_b, out_p, none, none, none)
 
     return run
 
 
-def repeats_in(flat: np.ndarray, size: np.ndarray, ids: np.ndarray, fps: np.ndarray, at: np.ndarray, length: int, period: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Run number and offset of each length-byte string that also stands earlier."""
-    first = np.cumsum(size) - size
-    room = length + 2 * period + 8
-    text = np.concatenate([flat, np.zeros(room, np.uint8)])
-    pos = ragged(first, size - length + 1)
-    run_of = np.zeros(len(text), np.int32)
-    run_of[: len(flat)] = np.repeat(np.arange(len(size)), size)
-    out: list[np.ndarray] = []
-    for order in blockwise(text, pos, length, period, block):
-        same = np.ones(max(len(order) - 1, 0), bool)
-        for k in range(0, length, 4):  # exact comparison of neighbours; most differ at once
-            check = np.flatnonzero(same)
-            if not len(check):
-                break
-            for j in range(k, min(k + 4, length)):
-                same[check] &= text[order[check] + j] == text[order[check + 1] + j]
-        near = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        p = order[near]
-        if not len(p):
-            continue
-        group = np.cumsum(~np.concatenate([[False], same])[near])
-        r = run_of[p]
-        where = at[r] + p - first[r]
-        rank = np.lexsort((where, fps[r], ids[r], group))
-        g, doc, fp, where, p = group[rank], ids[r][rank], fps[r][rank], where[rank], p[rank]
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), np.arange(len(g)), 0))
-        mine = np.maximum.accumulate(np.where(np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])]), np.arange(len(g)), 0))
-        # a smaller doc_id, or the same row at an earlier place
-        out.append(p[(doc > doc[head]) | (where > where[mine])])
-    hit = np.concatenate(out) if out else np.zeros(0, np.int64)
-    return run_of[hit], hit - first[run_of[hit]]
+def packed_rows(bucket, payload, doc_id, fp, spans) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(payload, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(fp, pa.int64()), pa.array(spans, pa.binary())], names=["bucket", "payload", "doc_id", "fp", "spans"])
+
+
+def marked(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Marks that are ready, dealt out by document to travel with the packed strings."""
+    rows = mark_rows(doc, fp, start, end)
+    to = (mix(rows.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    yield packed_rows(to, [None] * rows.num_rows, rows.column("doc_id"), rows.column("fp"), rows.column("spans"))
+
+
+def ready_marks(rows: list[dict]) -> pa.RecordBatch | None:
+    ready = [r for r in rows if r["payload"] is None]
+    if ready:
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"] for r in ready], pa.int64()), "fp": pa.array([r["fp"] for r in ready], pa.int64()), "spans": pa.array([r["spans"] for r in ready], pa.binary())})
+    return None
 
 
 def sort_suffixes(length: int, period: int, block: int):
-    """Bucket side. Strings whose minimiser no other has cannot repeat; equal ones count once; the rest is suffix-sorted."""
+    """Bucket side. Strings whose minimiser no other has cannot repeat; the rest is suffix-sorted, equal strings once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "bucket"):
-            if ready := [r for r in rows if r["payload"] is None]:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"] for r in ready], pa.int64()), "fp": pa.array([r["fp"] for r in ready], pa.int64()), "spans": pa.array([r["spans"] for r in ready], pa.binary())})
-            blobs = [unpack(r["payload"]) for r in rows if r["payload"] is not None]
+            if (ready := ready_marks(rows)) is not None:
+                yield ready
+            blobs = [unpack(r.pop("payload")) for r in rows if r["payload"] is not None]
             if not blobs:
                 continue
             tags = np.concatenate([np.frombuffer(b[2], np.uint32) for b in blobs])
-            size = np.concatenate([wide(b[1]) for b in blobs])
             _, back, many = np.unique(tags, return_inverse=True, return_counts=True)
-            twice = np.concatenate([np.frombuffer(b[7], bool) for b in blobs])
-            keep = (many[back] > 1) | twice
+            keep = (many[back] > 1) | np.concatenate([np.frombuffer(b[7], bool) for b in blobs])
             if not keep.any():
                 continue
-            ids, fps, at, texts, at_blob = [], [], [], [], 0
-            for b in blobs:
+            ids, fps, at, texts, sizes, done = [], [], [], [], [], 0
+            for k, b in enumerate(blobs):
                 m = wide(b[1])
-                mine = np.flatnonzero(keep[at_blob : at_blob + len(m)])
-                at_blob += len(m)
+                mine = np.flatnonzero(keep[done : done + len(m)])
+                done += len(m)
                 if len(mine):
                     doc = wide(b[5])[mine]
                     ids.append(np.frombuffer(b[3], np.int64)[doc])
                     fps.append(np.frombuffer(b[4], np.int64)[doc])
                     at.append(wide(b[6])[mine])
+                    sizes.append(m[mine])
                     texts.append(np.frombuffer(b[0], np.uint8)[ragged((np.cumsum(m) - m)[mine], m[mine])])
-            ids, fps, at, flat = map(np.concatenate, (ids, fps, at, texts))
-            size, tags, twice = size[keep], tags[keep], twice[keep]
+                blobs[k] = None
+            ids, fps, at, size, flat = map(np.concatenate, (ids, fps, at, sizes, texts))
             del blobs, texts
-            # equal strings: the first stays for the sort
-            raw, first = flat.tobytes(), np.cumsum(size) - size
-            order = np.lexsort((at, fps, ids))
-            seen: dict[bytes, int] = {}
-            stay, twins = [], []
-            for i, a, b in zip(order.tolist(), first[order].tolist(), (first + size)[order].tolist(), strict=True):
-                j = seen.setdefault(raw[a:b], i)
-                (stay if i == j or ids[i] == ids[j] and (fps[i] != fps[j] or at[i] == at[j]) else twins).append(i)
-            del seen, raw
-            if twins:
-                t = np.array(twins)
-                yield mark_rows(ids[t], fps[t], at[t], at[t] + size[t])
-            stay = np.array(stay)
-            _, back, many = np.unique(tags[stay], return_inverse=True, return_counts=True)
-            stay = stay[(many[back] > 1) | twice[stay]]
-            if len(stay):
-                r, off = repeats_in(flat[ragged(first[stay], size[stay])], size[stay], ids[stay], fps[stay], at[stay], length, period, block)
-                if len(r):
-                    s = at[stay][r] + off
-                    yield mark_rows(ids[stay][r], fps[stay][r], s, s + length)
+            start, view = np.cumsum(size) - size, eights(flat)
+            digest = mix(tags[keep] + size.astype(np.uint64) * GOLDEN) ^ view[start].astype(np.uint64) ^ mix(view[start + size - 8].astype(np.uint64))
+            head, of = np.unique(classes(flat, start, size, digest), return_inverse=True)
+            if len(head) < len(size):
+                flat = flat[ragged(start[head], size[head])]
+            del view
+            marks = Strings(flat, size[head], of, ids, fps, at).repeats(length, period, block)
+            if len(marks[0]):
+                yield mark_rows(*marks)
 
     return run
 
@@ -311,19 +491,25 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
 
-def repeated_bytes(docs: DataFrame, length: int = 100, anchor: int = 16, period: int = 32, block: int = 1 << 20, buckets: int | None = None) -> DataFrame:
+#: Bytes of text for which there is a bucket.
+BUCKET_BYTES = 8 << 20
+
+
+def repeated_bytes(docs: DataFrame, length: int = 100, anchor: int = 16, period: int = 32, block: int = 1 << 19, buckets: int | None = None) -> DataFrame:
     """doc_id, fp, spans of the bytes that a length-byte string covers which also stands earlier."""
     n = shuffle_partitions(docs.sparkSession)
-    packed = keyed(docs).mapInArrow(byte_runs(length, anchor, buckets or n), PACKED)
+    size, rows = text_size(docs)
+    frequent = frequent_anchors(docs, anchors_of(length, anchor), size, rows)
+    packed = keyed(docs).mapInArrow(byte_runs(length, anchor, period, block, buckets or max(n, -(-size // BUCKET_BYTES)), frequent), PACKED)
     return by_bucket(packed, n).mapInArrow(sort_suffixes(length, period, block), MARKS)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 16, period: int = 32, block: int = 1 << 20, buckets: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, anchor: int = 16, period: int = 32, block: int = 1 << 19, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every row.
 
     A byte goes if a string of length bytes covers it that also starts earlier: in a row with a smaller doc_id, or in the
     same row. A null text is empty. A row without doc_id is left as it is and makes no other lose bytes. Different rows
     with one doc_id do not count against each other. period is that of the difference cover, at most length; block is
-    the number of suffixes sorted at a time.
+    about the number of suffixes sorted at a time; buckets follows the bytes of text.
     """
     return with_marks(keyed(docs), repeated_bytes(docs, length, anchor, period, block, buckets)).mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

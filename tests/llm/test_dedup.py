@@ -1,14 +1,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import suffix_dedup as sd
-from tessera.llm.common import merged, pack, sliding_min, unpack
+from tessera.llm.common import frequent_anchors, merged, pack, sliding_min, text_size, unpack
 from tessera.llm.jaccard_join import LEAF, ngram_jaccard_join, one_of_each_class
-from tessera.llm.substring_dedup import substring_dedup, word_bounds
+from tessera.llm.substring_dedup import anchors_of, substring_dedup, word_bounds
 from tests.llm.conftest import ODD
 
 
@@ -38,10 +39,15 @@ def brute_bytes(rows, length=100):
                 gone[k : k + length] = True
             elif i is not None:
                 seen[b[k : k + length]] = i
-        out.append((i, len(b), int(gone.sum()), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        out.append((i, len(b), int(gone.sum()), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return out
 
 
+def byte_rows(df, **options):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sd.suffix_dedup(df, **options).collect()), key=sort_key)
+
+
 def sort_key(row):
     return (row[0] is None, row[0] or 0, *map(str, row[1:]))
 
@@ -61,19 +67,101 @@ def test_substring_dedup_odd_rows(make):
 def test_suffix_dedup_matches_brute_force(docs):
     some = docs.orderBy("doc_id").limit(80)
     rows = [(r["doc_id"], r["text"]) for r in some.collect()]
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in sd.suffix_dedup(some, block=5000).collect()]
-    assert sorted(got, key=sort_key) == sorted(brute_bytes(rows), key=sort_key)
+    assert byte_rows(some, block=5000, buckets=7) == sorted(brute_bytes(rows), key=sort_key)
+
+
+def patchwork(rnd, pieces, n):
+    """Rows of many shared pieces, whole copies and runs of one letter; doc_ids in no order."""
+    rows = []
+    for i in rnd.sample(range(1000), n):
+        kind = rnd.randrange(6)
+        if kind == 0 and rows:
+            rows.append((i, rnd.choice(rows)[1]))
+        elif kind == 1:
+            rows.append((i, "ab"[rnd.randrange(2)] * rnd.randrange(90, 300)))
+        else:
+            rows.append((i, "".join(rnd.choice(pieces)[rnd.randrange(40) :] for _ in range(rnd.randrange(1, 9)))))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_dedup_of_patchwork(spark, seed):
+    """Shared passages over many rows, in many steps, small blocks and buckets, with and without anchors put back."""
+    rnd = random.Random(seed)
+    pieces = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(60, 260))) for _ in range(12)]
+    rows = patchwork(rnd, pieces, 150)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert byte_rows(df, block=64 << seed, buckets=1 + 4 * seed) == sorted(brute_bytes(rows), key=sort_key)
+
+
+def test_every_removal_comes_from_the_sort(docs, monkeypatch):
+    """Without the sorted order nothing is found to repeat, neither in the steps nor in the buckets."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "fp": pa.array([0] * len(rows), pa.int64()), "text": pa.array([t for _, t in rows])})
+
+    def removed():
+        packed = list(sd.byte_runs(100, 16, 32, 1 << 19, 1, None)(iter([batch])))
+        packed.sort(key=lambda b: b.column("payload").null_count)
+        return sum(len(b.to_pylist()) for b in sd.sort_suffixes(100, 32, 1 << 19)(iter(packed)))
+
+    assert removed() > 50
+    monkeypatch.setattr(sd, "sort_block", lambda view, pos, ranks, cover: pos[:0])
+    assert removed() == 0
+
+
+def test_strings_met_before_in_a_task():
+    """A string that stands in every step is sent once, unless a smaller document has it."""
+    text = "".join(random.Random(1).choices("abcdefgh ", k=400))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([a, a + 1], pa.int64()), "fp": pa.array([0, 0], pa.int64()), "text": pa.array([text, text])}) for a in (10, 20, 5, 30)]
+    packed = list(sd.byte_runs(100, 16, 32, 1 << 19, 1, None)(iter(batches)))
+    sent = [np.frombuffer(unpack(p)[3], np.int64).tolist() for b in packed for p in b.column("payload").to_pylist() if p is not None]
+    assert sent == [[10], [5]]
+    gone = {d for b in packed for d, p in zip(b.column("doc_id").to_pylist(), b.column("payload").to_pylist(), strict=True) if p is None}
+    assert gone == {11, 20, 21, 10, 6, 30, 31}
+
+
+def test_frequent_anchors(spark, make):
+    """Anchors of a passage that all rows share are put back, and no result changes."""
+    rnd = random.Random(3)
+    shared = " ".join(f"w{rnd.randrange(50)}" for _ in range(30))
+    rows = [(i, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(30)) + " " + shared + " " + " ".join(f"u{rnd.randrange(10**6)}" for _ in range(30))) for i in range(300)]
+    df = make(rows).repartition(2)
+    size, n = text_size(df)
+    for anchors in (sd.anchors_of(100, 16), anchors_of(13, 3)):
+        found = frequent_anchors(df, anchors, size, n)
+        assert found is not None and 0 < found.sum() < 1000
+    assert byte_rows(df) == sorted(brute_bytes(rows), key=sort_key)
+    assert sorted((tuple(r) for r in substring_dedup(df).collect()), key=sort_key) == sorted(brute_words(rows), key=sort_key)
 
 
 def test_suffix_dedup_odd_rows(make):
     rows = [r for r in ODD if r[0] != 5] + [(9, "ab" * 300), (10, "ab" * 200 + "c"), (11, "a" * 150)]
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in sd.suffix_dedup(make(rows)).collect()]
-    assert sorted(got, key=sort_key) == sorted(brute_bytes(rows), key=sort_key)
+    assert byte_rows(make(rows)) == sorted(brute_bytes(rows), key=sort_key)
     twice = sd.suffix_dedup(make([(5, "y" * 99 + "z" * 50), (5, "y" * 99 + "z" * 50)])).collect()
     assert [r["n_removed"] for r in twice] == [0, 0]
+    # rows that share a doc_id do not count against each other, but a smaller doc_id does, and each row against itself
+    line = "".join(random.Random(8).choices("abcdefgh", k=120))
+    got = byte_rows(make([(5, line), (5, line + "!"), (6, line), (7, line + line)]))
+    assert [(i, n) for i, _, n, _, _ in got] == [(5, 0), (5, 0), (6, 120), (7, 240)]
+    assert [(i, n, k) for i, _, n, k, _ in byte_rows(make([(5, line + "-" + line), (5, line)]))] == [(5, 0, 0), (5, 120, 1)]
     assert sd.suffix_dedup(make([])).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts of some megabytes: one that repeats throughout, and one that does not; the time stays in proportion."""
+    rnd = np.random.default_rng(4)
+    word = ["".join(chr(97 + x) for x in rnd.integers(0, 26, 7)) for _ in range(4000)]
+    fresh = " ".join(word[i] for i in rnd.integers(0, 4000, 300_000))
+    line = "the same line of words stands here over and over again and nothing else does so far\n"
+    again = (line * 30_000)[: 2 << 20]
+    df = spark.createDataFrame([(1, fresh), (2, again), (3, fresh[:1_000_000])], "doc_id long, text string")
+    size = {1: len(fresh), 2: len(again), 3: 1_000_000}
+    got = {r[0]: (r[1], r[2], r[3]) for r in byte_rows(df)}
+    assert got == {1: (size[1], 0, 0), 2: (size[2], size[2] - len(line), 1), 3: (size[3], size[3], 1)}
+    words = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup(df).collect()}
+    assert words[1][1] == 0 and words[2][1] == 0 and words[3][1] >= words[3][0] - 1
+
+
 @pytest.mark.parametrize("period", [3, 8, 31, 32])
 def test_difference_cover(period):
     cover = sd.Cover(period)
