@@ -55,19 +55,24 @@ def key_at(view: np.ndarray, pos: np.ndarray, at: int, depth: int) -> np.ndarray
 def refine(view: np.ndarray, pos: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """pos sorted by the first depth bytes, and the number of each group of equal ones; only ties are sorted on."""
     key = key_at(view, pos, 0, depth)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     pos, key = pos[order], key[order]
     new = np.ones(len(pos), bool)
     new[1:] = key[1:] != key[:-1]
-    for at in range(8, depth, 8):
+    at = 8
+    while at < depth:
         tied = np.flatnonzero(~new | np.append(~new[1:], False))
         if not len(tied):
             break
-        group = np.cumsum(new[tied])
-        key = key_at(view, pos[tied], at, depth)
-        order = np.lexsort((key, group))
-        pos[tied], key = pos[tied][order], key[order]
-        new[tied[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        group = np.cumsum(new[tied], dtype=np.uint64)
+        # group and as many of the next bytes as have room make one number to sort by
+        room = (64 - int(group[-1]).bit_length()) // 8
+        p = pos[tied]
+        key = (group << np.uint64(8 * room)) | key_at(view, p, at, depth) >> np.uint64(8 * max(0, min(8, depth - at) - room))
+        order = np.argsort(key)
+        pos[tied], key = p[order], key[order]
+        new[tied[1:]] = key[1:] != key[:-1]
+        at += room
     return pos, np.cumsum(new) - 1
 
 
@@ -149,23 +154,23 @@ def sort_block(view: np.ndarray, pos: np.ndarray, ranks: SampleRanks, cover: Cov
     Ties are three-way partitioned around a pivot of each group, all groups at once.
     """
     pos, group = refine(view, pos, cover.period)
-    while len(group):
-        size = np.bincount(group)
-        start = np.cumsum(size) - size
-        live = np.flatnonzero(size[group] > 1)
-        if not len(live):
-            break
-        g = group[live]
-        pivot = pos[start[g] + size[g] // 2]
-        d = cover.shift(pos[live], pivot)
-        side = np.sign(ranks.at(pos[live] + d) - ranks.at(pivot + d))
-        order = np.lexsort((pos[live], side, g))
-        pos[live], side, g = pos[live][order], side[order], g[order]
-        # the middle part is settled: each of its members becomes a group of its own
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (side[1:] != side[:-1]) | (side[1:] == 0)])
-        inner = np.concatenate([[True], group[1:] != group[:-1]])
-        inner[live] |= new
-        group = np.cumsum(inner) - 1
+    new = np.diff(group, prepend=-1) != 0
+    live = np.flatnonzero(~new | np.append(~new[1:], False))  # suffixes of groups of two or more
+    new = new[live]
+    while len(live):
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        p = pos[live]
+        pivot = p[start + np.diff(start, append=len(live)) // 2][group]
+        d = cover.shift(p, pivot)
+        side = np.sign(ranks.at(p + d) - ranks.at(pivot + d))
+        key = group * 3 + side
+        order = np.argsort(key, kind="stable")
+        pos[live], key, side = p[order], key[order], side[order]
+        new = np.diff(key, prepend=-2) != 0
+        # the middle part is settled, and so is what stands alone
+        keep = (side != 0) & ~(new & np.append(new[1:], True))
+        live, new = live[keep], new[keep]
     return pos
 
 
@@ -216,6 +221,7 @@ class Strings:
         leader = np.flatnonzero(self.leads)
         leaders = np.bincount(self.of[leader], minlength=len(self.size))
         leader_at = np.cumsum(leaders) - leaders
+        followed = np.repeat(many > leaders, self.size)
         sorted_too = np.zeros(len(text), bool)  # places of strings with owners that do not lead, as the sort meets them
         out: list[tuple[np.ndarray, ...]] = []
         for order in blockwise(text, pos, length, period, block):
@@ -223,11 +229,11 @@ class Strings:
             near = np.zeros(len(order), bool)
             near[1:] |= same
             near[:-1] |= same
-            run = np.searchsorted(self.first, order, side="right") - 1
-            sorted_too[order[many[run] > leaders[run]]] = True
-            p, r = order[near], run[near]
+            sorted_too[order[followed[order]]] = True
+            p = order[near]
             if not len(p):
                 continue
+            r = np.searchsorted(self.first, p, side="right") - 1
             group = np.cumsum(~np.concatenate([[False], same]))[near]
             n = leaders[r]
             who = leader[ragged(leader_at[r], n)]
@@ -331,7 +337,7 @@ def byte_runs(length: int, anchor: int, period: int, block: int, buckets: int, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Kept()
         for batch in batches:
-            for part in steps(batch, size=1 << 21):
+            for part in steps(batch):
                 raw = [x.encode() for x in part.column("text").to_pylist()]
                 sizes = np.fromiter(map(len, raw), np.int64, len(raw))
                 flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -492,7 +498,7 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Bytes of text for which there is a bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 
 
 def repeated_bytes(docs: DataFrame, length: int = 100, anchor: int = 16, period: int = 32, block: int = 1 << 19, buckets: int | None = None) -> DataFrame:
