@@ -1,9 +1,9 @@
 """License scans by diagonal voting.
 
 Rolling hashes of the documents' words are joined to the places of the same hashes in the templates. A shared passage
-leaves its hits on one diagonal (place in the document less place in the template). Hits are counted by diagonal,
+leaves its hits on one diagonal (place in the document less place in the template). Hits are gathered by diagonal,
 neighbouring diagonals are merged, so that an inserted or missing word does not split a passage, and the spans that result
-are compared with their template.
+are verified: only hits count whose template places follow each other in the order of the text, word for word.
 """
 
 from __future__ import annotations
@@ -54,20 +54,21 @@ def rolling(here: Column, k: int) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: dict[str, str], k: int) -> DataFrame:
-    """hash, label, tpos and n_grams: every k-gram place of the templates; as many rows as these have words."""
-    rows = [(name, i, len(text.split()) - k + 1, text.split()[i : i + k]) for name, text in templates.items() for i in range(len(text.split()) - k + 1)]
-    schema = "label string, tpos int, n_grams int, w array<string>"
-    return spark.createDataFrame(rows, schema).select(rolling(F.col("w"), k).alias("hash"), "label", "tpos", "n_grams", F.col("w").alias("gram"))
+    """hash and places of every k-gram of the templates: one row for each gram, at most as many as the templates have words."""
+    rows = [(name, i, len(text.split()), text.split()[i : i + k]) for name, text in templates.items() for i in range(len(text.split()) - k + 1)]
+    grams = spark.createDataFrame(rows, "label string, tpos int, n int, gram array<string>").select(rolling(F.col("gram"), k).alias("hash"), "label", "tpos", "n", "gram")
+    return grams.groupBy("hash").agg(F.collect_list(F.struct("label", "tpos", "n", "gram")).alias("templates"))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = 4, min_share: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and matches of every row.
 
     n_base counts the places where the words of a phrase stand one after the other; first_word and last_word are the least
-    and greatest of them. matches holds a struct (label, start, end, share) for each passage whose merged diagonals cover at
-    least min_share of a template's k-grams, with words from start to end; templates must have k words or more. labels has
-    the labels of phrases and of matches, score is the best share, 1 if a phrase stands there, else 0. A null text is
-    empty. Repeated rows each have their own result.
+    and greatest of them. matches holds a struct (label, start, end, share) for each passage, with words from start to end,
+    that has at least min_share of a template's words in order; templates must have k words or more. labels has the labels
+    of phrases and of matches, score is the best share, 1 if a phrase stands there, else 0. Passages of several templates,
+    and several of one, are all given. A null text is empty. Repeated rows each have their own result. A long text takes
+    time in proportion to its words, however many passages it has.
     """
     spark = docs.sparkSession
     grams = template_grams(spark, templates, k)
@@ -87,38 +88,52 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
     found = F.filter(F.array(*[F.when(stands(p.split()), F.lit(label)) for p, label in phrases.items()]), lambda x: x.isNotNull())
     at = keyed(docs).select("doc_id", "fp", F.explode(let(words_of(F.col("text")), places)).alias("p")).select("doc_id", "fp", "p.*")
     keyed_at = at.select("doc_id", "fp", "at", "n_words", found.alias("base"), F.slice("here", 1, k).alias("here"), rolling(F.col("here"), k).alias("hash"))
-    # the templates are a few hundred rows
-    hits = keyed_at.join(F.broadcast(grams), "hash", "left").where(F.col("n_words").isNotNull() | (F.size("base") > 0) | (F.col("gram") == F.col("here")))
-    hit = F.when(F.col("gram") == F.col("here"), F.struct("label", "tpos", "n_grams", F.col("at").alias("at")))
-    base = F.size("base") > 0
-    # sets, as a place with several templates comes as several rows
+    # the templates' grams are a few hundred rows
+    hits = keyed_at.join(F.broadcast(grams), "hash", "left")
+    same = F.transform(F.filter(F.coalesce("templates", F.array().cast("array<struct<label:string,tpos:int,n:int,gram:array<string>>>")), lambda t: t["gram"] == F.col("here")), lambda t: F.struct(t["label"].alias("label"), (F.col("at") - t["tpos"]).alias("d"), F.col("at").alias("at"), t["tpos"].alias("tpos"), t["n"].alias("n")))
+    hits = hits.select("doc_id", "fp", "at", "n_words", "base", same.alias("same")).where(F.col("n_words").isNotNull() | (F.size("base") > 0) | (F.size("same") > 0))
+    # sets, as a repeated row has the same places
     voted = hits.groupBy("doc_id", "fp").agg(
-        F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(base, F.struct("at", "base"))).alias("base"), F.collect_set(hit).alias("hits"),
+        F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"), F.collect_set(F.when(F.size("base") > 0, F.struct("at", "base"))).alias("base"),
+        F.collect_set(F.when(F.size("same") > 0, F.struct("at", "same"))).alias("hits"),
     )
     return finish(voted, k, min_share)
 
 
-def finish(voted: DataFrame, k: int, min_share: float) -> DataFrame:
-    """Diagonals of each document's hits, merged and verified. The hits of a document are at most its words times templates."""
-    labels = F.array_distinct(F.transform("hits", lambda h: h["label"]))
+def passages(hits: Column, k: int) -> Column:
+    """Spans of hits (label, d, at, tpos, n): neighbouring diagonals of a template are one, if their places are near too.
+
+    share is the part of the template's words in hits whose tpos ascends with at. Each step is linear in the hits.
+    """
+
+    def cut(v: Column) -> Column:
+        def new(x: Column, i: Column) -> Column:
+            before = F.get(v, i - 1)
+            return F.coalesce((before["label"] != x["label"]) | (x["d"] - before["d"] > NEAR) | (F.abs(x["at"] - before["at"]) > x["n"]), F.lit(True))
 
-    def passages(label: Column) -> Column:
-        mine = F.filter("hits", lambda h: h["label"] == label)
-        votes = F.array_sort(F.transform(mine, lambda h: F.struct((h["at"] - h["tpos"]).alias("d"), h["at"].alias("at"), h["tpos"].alias("tpos"), h["n_grams"].alias("n"))))
-        start = F.array().cast("array<struct<d:int,lo:int,hi:int,votes:array<int>,n:int>>")
+        starts = F.filter(F.transform(v, lambda x, i: F.when(new(x, i), i)), lambda i: i.isNotNull())
+        return let(starts, lambda s: F.transform(s, lambda a, j: F.slice(v, a + 1, F.coalesce(F.get(s, j + 1), F.size(v)) - a)))
 
-        def step(acc: Column, v: Column) -> Column:
-            last = F.get(acc, F.size(acc) - 1)
-            near = (F.size(acc) > 0) & (v["d"] - last["d"] <= NEAR) & (v["at"] - last["hi"] <= last["n"]) & (last["lo"] - v["at"] <= last["n"])
-            grown = F.struct(v["d"].alias("d"), F.least(last["lo"], v["at"]).alias("lo"), F.greatest(last["hi"], v["at"]).alias("hi"), F.array_union(last["votes"], F.array(v["tpos"])).alias("votes"), v["n"].alias("n"))
-            fresh = F.struct(v["d"].alias("d"), v["at"].alias("lo"), v["at"].alias("hi"), F.array(v["tpos"]).alias("votes"), v["n"].alias("n"))
-            return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
+    def verified(span: Column) -> Column:
+        placed = F.array_sort(F.transform(span, lambda h: F.struct(h["at"].alias("at"), h["tpos"].alias("tpos"))))
+        start = F.struct(F.lit(-k).alias("top"), F.lit(0).alias("words"))
 
-        merged = F.aggregate(votes, start, step)
-        return F.transform(merged, lambda m: F.struct(label.alias("label"), m["lo"].alias("start"), (m["hi"] + k).alias("end"), F.round(F.size(m["votes"]) / m["n"], 6).alias("share")))
+        def step(acc: Column, h: Column) -> Column:
+            more = h["tpos"] > acc["top"]
+            return F.struct(F.greatest(acc["top"], h["tpos"]).alias("top"), (acc["words"] + F.when(more, F.least(F.lit(k), h["tpos"] - acc["top"])).otherwise(0)).alias("words"))
 
-    matches = F.array_sort(F.filter(F.flatten(F.transform(labels, passages)), lambda m: m["share"] >= min_share))
+        return let(placed, lambda p: F.struct(
+            F.get(span, F.lit(0))["label"].alias("label"), F.get(p, F.lit(0))["at"].alias("start"), (F.element_at(p, -1)["at"] + k).alias("end"),
+            F.round(F.aggregate(p, start, step)["words"] / F.get(span, F.lit(0))["n"], 6).alias("share"),
+        ))
+
+    return F.when(F.size(hits) == 0, F.array().cast("array<struct<label:string,start:int,end:int,share:double>>")).otherwise(F.transform(let(F.array_sort(hits), cut), verified))
+
+
+def finish(voted: DataFrame, k: int, min_share: float) -> DataFrame:
+    """Diagonals of each document's hits, merged and verified. The hits of a document are at most its words times templates."""
+    hits = F.flatten(F.transform("hits", lambda h: h["same"]))
+    matches = F.array_sort(F.filter(passages(hits, k), lambda m: m["share"] >= min_share))
     base_labels = F.array_distinct(F.flatten(F.transform("base", lambda b: b["base"])))
     starts = F.flatten(F.transform("base", lambda b: F.transform(b["base"], lambda _: b["at"])))
     out = voted.select("doc_id", "copies", F.col("n_words").cast("long").alias("n_words"), starts.alias("starts"), base_labels.alias("base_labels"), matches.alias("matches"))

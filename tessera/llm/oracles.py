@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.license_scan import LOWER, NEAR, PHRASES, TEMPLATES, UPPER
 from tessera.llm.quality_rules import STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -76,9 +77,40 @@ sp AS (SELECT doc_id, {JOINED} AS spans FROM (SELECT * FROM base UNION ALL SELEC
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(t, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN sp ON sp.doc_id = d.doc_id"""
 
+LICENSES = f"""
+WITH t(label, words) AS (VALUES {", ".join(f"('{name}', string_split('{text}', ' '))" for name, text in TEMPLATES.items())}),
+g AS (SELECT label, len(words) AS n, j AS tpos, words[j + 1:j + 4] AS gram FROM (SELECT label, words, unnest(range(0, len(words) - 3)) AS j FROM t)),
+ph(label, words) AS (VALUES {", ".join(f"('{label}', string_split('{phrase}', ' '))" for phrase, label in PHRASES.items())}),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+pos AS (SELECT doc_id, p.pos AS pos, p.gram AS gram FROM (SELECT doc_id, unnest(list_transform(range(0, len(ws)), lambda i: {{'pos': i, 'gram': ws[i + 1:i + 4]}})) AS p FROM w)),
+b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM pos JOIN ph ON gram[1:len(words)] = words GROUP BY doc_id),
+h AS (SELECT doc_id, label, n, pos - tpos AS d, pos, tpos FROM pos JOIN g USING (gram)),
+m AS (SELECT *, CASE WHEN d - lag(d) OVER o <= {NEAR} AND abs(pos - lag(pos) OVER o) <= n THEN 0 ELSE 1 END AS fresh FROM h WINDOW o AS (PARTITION BY doc_id, label ORDER BY d, pos)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label ORDER BY d, pos ROWS UNBOUNDED PRECEDING) AS span FROM m),
+r AS (SELECT *, max(tpos) OVER (PARTITION BY doc_id, label, span ORDER BY pos, tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s),
+v AS (SELECT doc_id, label, round(sum(CASE WHEN top IS NULL THEN 4 WHEN tpos > top THEN least(4, tpos - top) ELSE 0 END) / any_value(n), 6) AS share FROM r GROUP BY doc_id, label, span),
+p AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM v WHERE share >= 0.6 GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(p.labels, []))), ',') AS labels, CASE WHEN b.labels IS NOT NULL THEN 1.0 ELSE coalesce(p.share, 0) END AS score
+FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN p ON p.doc_id = w.doc_id"""
+
+SUFFIXES = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, x, substr(h, 1000 * x + 1, 1198) AS part FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 - 99 + 499) // 500)) AS x FROM d WHERE len(h) >= 200)),
+w AS (SELECT doc_id, 500 * x + i AS i, md5(substr(part, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, x, part, unnest(range(0, least(500, len(part) // 2 - 99))) AS i FROM p)),
+g AS (SELECT doc_id, i AS s FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY m) AS first, row_number() OVER (PARTITION BY m, doc_id ORDER BY i) AS nth FROM w) WHERE first < doc_id OR nth > 1),
+f AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM g),
+r AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM f) GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id"""
+
 ORACLES = {
     "op2_secret_scan": SECRETS,
     "op3_substring_dedup": SUBSTRING,
+    "op5_license_scan": LICENSES,
     "op7_ngram_jaccard_join": JACCARD,
     "op8_quality_rules": QUALITY,
+    "op9_suffix_dedup": SUFFIXES,
 }

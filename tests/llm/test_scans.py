@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +73,74 @@ def test_license_base_matches_brute_force(docs):
     assert got == {r["doc_id"]: base_of(r["text"]) for r in docs.collect()}
 
 
+def brute_passages(text, k=4, near=3, least=0.6):
+    """All k-gram places of the text against all places of each template, without any filter."""
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = []
+    for label, t in TEMPLATES.items():
+        t = t.split()
+        hits = sorted((i - j, i, j) for j in range(len(t) - k + 1) for i in range(len(words) - k + 1) if words[i : i + k] == t[j : j + k])
+        spans = []
+        for h in hits:
+            if not spans or h[0] - spans[-1][-1][0] > near or abs(h[1] - spans[-1][-1][1]) > len(t):
+                spans.append([])
+            spans[-1].append(h)
+        for span in spans:
+            covered, top = set(), -1
+            for _, i, j in sorted(span, key=lambda h: h[1:]):
+                if j > top:
+                    covered |= set(range(j, j + k))
+                    top = j
+            share = round(len(covered) / len(t), 6)
+            if share >= least:
+                out.append((label, min(h[1] for h in span), max(h[1] for h in span) + k, share))
+    return sorted(out)
+
+
+def spans_of(row):
+    return [tuple(m) for m in row["matches"]]
+
+
+def test_license_passages_match_brute_force(docs, make):
+    """The real texts, and templates with words changed, moved, missing, doubled and in other orders."""
+    assert {r["doc_id"]: spans_of(r) for r in license_scan(docs).collect()} == {r["doc_id"]: brute_passages(r["text"]) for r in docs.collect()}
+    rnd, rows = random.Random(6), []
+    for i in range(120):
+        words = ["start"]
+        for _ in range(rnd.randrange(1, 4)):
+            t = rnd.choice(list(TEMPLATES.values())).split()
+            for _ in range(rnd.randrange(6)):
+                at = rnd.randrange(len(t))
+                t[at : at + rnd.randrange(2)] = [rnd.choice(["new", "the", "license"])] * rnd.randrange(3)
+            if rnd.random() < 0.2:
+                cut = rnd.randrange(len(t))
+                t = t[cut:] + t[:cut]
+            words += t + [rnd.choice(["cc", "by", "word"])] * rnd.randrange(4)
+        rows.append((i, " ".join(words).title()))
+    got = {r["doc_id"]: spans_of(r) for r in license_scan(make(rows)).collect()}
+    assert got == {i: brute_passages(t) for i, t in rows} and sum(map(len, got.values())) > 100
+
+
+def test_license_of_a_shuffled_template(make):
+    """All four-grams of a template are there, but not in its order: the parts are passages by themselves, if at all."""
+    t = TEMPLATES["mit"].split()
+    parts = [t[a : a + 8] for a in range(0, len(t), 8)]
+    out = license_scan(make([(1, " ".join(w for p in reversed(parts) for w in p))])).first()
+    assert out["labels"] == "" and out["score"] == 0.0
+
+
+def test_license_long_text(make):
+    """A text of thousands of passages, in time that is in proportion."""
+    took = {}
+    for n in (800, 3200):
+        text = (TEMPLATES["apache-2.0"] + " between ") * n
+        began = time.time()
+        row = license_scan(make([(1, text)])).first()
+        took[n] = time.time() - began
+        assert len(row["matches"]) == n and row["labels"] == "apache-2.0" and row["score"] == 1.0
+    assert took[3200] < 8 * took[800] + 2
+
+
 def test_license_diagonals(make):
     mit = TEMPLATES["mit"].split()
     near = " ".join(["lead", "in", *mit[:20], "inserted", *mit[20:], "tail"])
