@@ -27,6 +27,8 @@ WORD = re.compile(r"[^\W_]+")
 WALKS, HASHES, SAMPLED = 8, 24, 3
 #: Items of so many words or more are not embedded; nothing of them is left to chance.
 LONG = 60
+#: Items of so many words or more are compared edit by edit, as the table of all places would take too long.
+VERY_LONG = 1000
 #: Item text that is searched for at a time; a larger benchmark is taken in blocks of about this size.
 BLOCK_BYTES = 16 << 20
 #: Windows that are embedded at a time.
@@ -81,6 +83,66 @@ def fitting_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]
     return int(row[end] // big), int(row[end] % big), end
 
 
+def run_codes(words: np.ndarray, run: int) -> np.ndarray:
+    """A 64-bit value for each run of so many word numbers; equal runs have equal ones, and candidates are verified."""
+    words = words.astype(np.uint64)
+    code = words[: max(len(words) - run + 1, 0)].copy()
+    for j in range(1, run):
+        code = mix(code * GOLDEN + words[j : len(words) - run + 1 + j])
+    return code
+
+
+def long_fitting_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """fitting_distance() if it is at most most, in steps of one edit, each for all diagonals at once; else nothing.
+
+    On each diagonal the farthest place in the item is kept that so many edits reach, and where that path started. How far
+    two stretches agree is found by halving, from the hashes of their beginnings.
+    """
+    m, n = len(item), len(text)
+    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(m, n), GOLDEN))])
+
+    def beginnings(x: np.ndarray) -> np.ndarray:
+        # the hash of a stretch is (end - start) times a power that puts both sides at one scale
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x.astype(np.uint64) + np.uint64(1)) * power[: len(x)])])
+
+    a, b = beginnings(item), beginnings(text)
+
+    def agree(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many words from i in item and from j in text on are equal."""
+        low, high = np.zeros(len(i), np.int64), np.minimum(m - i, n - j)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            same = (a[i + middle] - a[i]) * power[np.maximum(j - i, 0)] == (b[j + middle] - b[j]) * power[np.maximum(i - j, 0)]
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
+    diagonal = np.arange(-min(most, m), n + 1)  # place in text less place in item
+    least = np.maximum(0, -diagonal)
+    reach = np.where(diagonal >= 0, 0, -1)  # below 0: not reached
+    start = np.maximum(diagonal, 0)
+    for edits in range(most + 1):
+        if edits:
+            bad = -(1 << 40)
+            before = np.where(reach < 0, bad, reach)
+            change = np.minimum(before + 1, np.minimum(m, n - diagonal))
+            skip = np.append(bad, before[:-1])  # a word of text that the item lacks: from the diagonal below
+            drop = np.minimum(np.append(before[1:] + 1, bad), m)
+            options = np.stack([before, change, skip, drop])
+            options[:, :] = np.where((options < least) | (options > np.minimum(m, n - diagonal)), bad, options)
+            pick = options.argmax(0)
+            starts = np.stack([start, start, np.append(0, start[:-1]), np.append(start[1:], 0)])
+            reach, start = options[pick, np.arange(len(diagonal))], starts[pick, np.arange(len(diagonal))]
+            reach = np.where(reach < 0, -1, reach)
+        live = np.flatnonzero((reach >= 0) & (reach < m) & (reach + diagonal < n))
+        live = live[item[reach[live]] == text[reach[live] + diagonal[live]]]  # most diagonals end at once
+        reach[live] += agree(reach[live], reach[live] + diagonal[live])
+        done = np.flatnonzero(reach == m)
+        if len(done):
+            end = int((diagonal[done] + m).min())
+            return edits, int(start[done[0]]), end
+    return None
+
+
 class Searcher:
     """The items' words, runs and hashes; as large as a few times the items."""
 
@@ -92,16 +154,17 @@ class Searcher:
         self.words = [np.array([self.number[w] for w in ws]) for _, ws in self.items]
         self.allowed = [int(len(w) * (1 - similarity) + 1e-9) for w in self.words]
         self.least: list[int] = []  # runs in common with any match, at least
-        seeds: dict[int, list[tuple[int, int, int]]] = {}
+        seeds: dict[int, list[np.ndarray]] = {}
         for k, (w, d) in enumerate(zip(self.words, self.allowed, strict=True)):
             run = next((q for q in (3, 2) if self.shared(len(w), d, q) >= 2), 1)
             self.least.append(max(self.shared(len(w), d, run), 1))
-            for p in range(len(w) - run + 1):
-                seeds.setdefault(run, []).append((self.code(w[p : p + run]), k, p))
+            code = run_codes(w, run)
+            seeds.setdefault(run, []).append(np.stack([code.view(np.int64), np.full(len(code), k), np.arange(len(code))]))
         self.seeds = {}
         for run, rows in seeds.items():
-            rows.sort()
-            self.seeds[run] = tuple(np.array(c) for c in zip(*rows, strict=True))
+            code, item, place = np.concatenate(rows, 1)
+            order = np.argsort(code, kind="stable")
+            self.seeds[run] = code[order], item[order], place[order]
         short = np.array([k for k, w in enumerate(self.words) if len(w) < LONG], np.int64)
         sizes = np.array([len(self.words[k]) for k in short], np.int64)
         padded = np.zeros((len(short), int(sizes.max(initial=1))), np.uint64)
@@ -117,12 +180,6 @@ class Searcher:
         """Runs of run words that words words keep whole under so many edits."""
         return words - run + 1 - run * edits
 
-    def code(self, run: np.ndarray) -> int:
-        out = 0
-        for w in run.tolist():
-            out = out * (len(self.number) + 1) + w
-        return out
-
     def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The windows that enough runs of one item in a text point to: start and size, and of long items item and start."""
         found = []
@@ -133,9 +190,7 @@ class Searcher:
             for j in range(1, run):
                 whole &= ids[j : len(ids) - run + 1 + j] > 0
             at = np.flatnonzero(whole)
-            code = ids[at].astype(np.int64)
-            for j in range(1, run):
-                code = code * (len(self.number) + 1) + ids[at + j]
+            code = run_codes(ids, run)[at].view(np.int64)
             lo, hi = np.searchsorted(codes, code), np.searchsorted(codes, code, side="right")
             n = hi - lo
             hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -185,7 +240,11 @@ class Searcher:
                 return
             tried.add(tile)
             left = max(0, s - 2 * d)
-            distance, x, y = fitting_distance(self.words[k], ids[t][left : s + m + 2 * d + 1])
+            stretch = ids[t][left : s + m + 2 * d + 1]
+            found = fitting_distance(self.words[k], stretch) if m < VERY_LONG else long_fitting_distance(self.words[k], stretch, d)
+            if found is None:
+                return
+            distance, x, y = found
             if distance <= d and ((t, k) not in best or (distance, left + x) < best[t, k][:2]):
                 best[t, k] = (distance, left + x, left + y)
 
@@ -226,7 +285,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -
 
     Words are runs of letters and digits, lower-cased. An item matches if its edit distance in words to some stretch of the
     text is at most 1 - similarity of its own words. Items without words, or with null id or text, match nothing; so do
-    null texts. Repeated rows each have their matches; items of one id with different texts are different items.
+    null texts. Repeated rows each have their matches; items of one id with different texts are different items. Of matches
+    that tie, the first end counts, and the first start for it; of items of VERY_LONG words or more, the start is that of one
+    such match.
     """
     spark = docs.sparkSession
     out = None
