@@ -8,8 +8,10 @@ runs find it. A node that splitting would not make smaller, since its sets are m
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import GOLDEN, bytes_hash, grouped, keyed, mix, shuffle_partitions, steps
 from tessera.llm.substring_dedup import word_ids
 
-#: Splits of a node; a pair at the threshold t shares none of them with probability (1 - t) ** RUNS at each level.
-RUNS = 8
+#: Of the pairs at the threshold, so large a part is found at least; those that are more alike are missed less often.
+RECALL = 0.99998
 #: Levels of the tree; what is still large below them is compared in blocks.
 LEVELS = 3
+#: Tokens of a signature, more if the runs of all levels need more.
 TOKENS = 48
 #: Sets that are compared by brute force at a time.
 LEAF = 512
@@ -31,6 +34,32 @@ LEAF = 512
 DENSE = 0.3
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How often nodes are split, how many tokens a signature has, and how many of them a pair to be verified shares at least."""
+
+    runs: int
+    tokens: int
+    agree: int
+
+
+def plan_for(threshold: float, recall: float) -> Plan:
+    """Half of the pairs that may be missed go to each of the two choices by chance.
+
+    A pair at the threshold t shares none of a level's sampled tokens with probability (1 - t) ** runs. Of all tokens of its
+    signatures it shares a binomial number.
+    """
+    lost = (1 - recall) / 2
+    runs = max(1, math.ceil(math.log(lost / LEVELS) / math.log(1 - threshold))) if threshold < 1 else 1
+    tokens = max(TOKENS, LEVELS * runs)
+    agree, below = 0, 0.0
+    while True:
+        below += math.comb(tokens, agree) * threshold**agree * (1 - threshold) ** (tokens - agree)
+        if below > lost:
+            return Plan(runs, tokens, agree)
+        agree += 1
+
+
 def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit values of each text's word n-grams, and how many each has. A shorter text is one n-gram."""
     known: dict[bytes, int] = defaultdict(count().__next__)
@@ -51,22 +80,22 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.fromiter(map(len, out), np.int64, len(out))
 
 
-def sketches(width: int):
+def sketches(width: int, tokens: int):
     """doc_id, fp, the 128-bit name of the shingle set (null if it is empty) and its signature."""
     rng = np.random.default_rng(20240607)
-    factor = rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    offset = rng.integers(1, 1 << 63, TOKENS, dtype=np.uint64)
+    factor = rng.integers(1, 1 << 63, tokens, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    offset = rng.integers(1, 1 << 63, tokens, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch):
                 values, sizes = shingle_sets(part.column("text").to_pylist(), width)
                 full = np.flatnonzero(sizes)
-                signature = np.zeros((len(sizes), TOKENS), np.uint32)
+                signature = np.zeros((len(sizes), tokens), np.uint32)
                 name = np.zeros((len(sizes), 2), np.uint64)
                 if len(full):
                     start = (np.cumsum(sizes) - sizes)[full]
-                    for t in range(TOKENS):
+                    for t in range(tokens):
                         x = values * factor[t] + offset[t]
                         x ^= x >> np.uint64(32)
                         x *= GOLDEN
@@ -83,31 +112,32 @@ def sketches(width: int):
     return run
 
 
-def token(level: int, run: Column) -> Column:
-    """The signature's token number level * RUNS + run."""
-    at = (F.lit(level * RUNS) + run) * 4 + 1
+def token(level: int, run: Column, runs: int) -> Column:
+    """The signature's token number level * runs + run."""
+    at = (F.lit(level * runs) + run) * 4 + 1
     return F.hex(F.substring("sig", at, F.lit(4)))
 
 
-def children(nodes: DataFrame, level: int) -> DataFrame:
+def children(nodes: DataFrame, level: int, runs: int) -> DataFrame:
     """Each row once for each run, in the child that shares the run's token. skip lists the tokens of earlier runs."""
-    rows = nodes.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
+    rows = nodes.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     return rows.select(
-        F.xxhash64("node", F.lit(level), "run", token(level, F.col("run"))).alias("node"),
-        F.concat("skip", F.when(F.col("run") > 0, F.sequence(F.lit(level * RUNS), F.lit(level * RUNS) + F.col("run") - 1)).otherwise(F.array().cast("array<int>"))).alias("skip"),
+        F.xxhash64("node", F.lit(level), "run", token(level, F.col("run"), runs)).alias("node"),
+        F.concat("skip", F.when(F.col("run") > 0, F.sequence(F.lit(level * runs), F.lit(level * runs) + F.col("run") - 1)).otherwise(F.array().cast("array<int>"))).alias("skip"),
         "h1", "h2", "copies", "sig",
     )
 
 
 def with_size(nodes: DataFrame) -> DataFrame:
-    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # written out, so that the join has a plain shuffle on both sides and a node of many rows can be split by Spark
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").checkpoint()
     return nodes.join(sizes, "node")
 
 
-def leaves(reps: DataFrame) -> DataFrame:
+def leaves(reps: DataFrame, runs: int) -> DataFrame:
     """Rows of the nodes to compare by brute force: leaf, own (pairs within a block count), block, skip, set, signature."""
     root = reps.select(F.lit(0).cast("long").alias("node"), F.array().cast("array<int>").alias("skip"), "h1", "h2", "copies", "sig")
-    level, out = with_size(children(root, 0)).checkpoint(), []
+    level, out = with_size(children(root, 0, runs)).checkpoint(), []
     for depth in range(1, LEVELS + 1):
         out.append(level.where(F.col("size") <= LEAF).select(F.col("node").alias("leaf"), F.lit(True).alias("own"), F.lit(0).cast("long").alias("block"), "skip", "h1", "h2", "copies", "sig"))
         large = level.where(F.col("size") > LEAF)
@@ -115,8 +145,8 @@ def leaves(reps: DataFrame) -> DataFrame:
             return union(out)
         if depth < LEVELS:
             # pairs that share a token of the next level, from two tokens' counts
-            alike = [large.groupBy("node", token(depth, F.lit(run)).alias("token")).agg(F.count(F.lit(1)).alias("n")) for run in (0, RUNS - 1)]
-            pairs = union(alike).groupBy("node").agg((F.sum(F.col("n").cast("double") * F.col("n")) / 2).alias("pairs"))
+            alike = [large.groupBy("node", token(depth, F.lit(run), runs).alias("token")).agg(F.count(F.lit(1)).alias("n")) for run in (0, runs - 1)]
+            pairs = union(alike).groupBy("node").agg((F.sum(F.col("n").cast("double") * F.col("n")) / 2).alias("pairs")).checkpoint()
             judged = large.join(pairs, "node").withColumn("dense", F.col("pairs") >= F.lit(DENSE) * F.col("size") * F.col("size"))
             dense, large = judged.where("dense"), judged.where("not dense")
         else:
@@ -126,7 +156,7 @@ def leaves(reps: DataFrame) -> DataFrame:
         out.append(dense.select(F.xxhash64("node", F.lit("block"), F.least("block", "other"), F.greatest("block", "other")).alias("leaf"), (F.col("block") == F.col("other")).alias("own"), "block", "skip", "h1", "h2", "copies", "sig"))
         if large is None:
             break
-        level = with_size(children(large, depth)).checkpoint()
+        level = with_size(children(large, depth, runs)).checkpoint()
     return union(out)
 
 
@@ -137,9 +167,9 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def close_pairs(rows: list[dict], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(rows: list[dict], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a leaf that no earlier run brings together and whose signatures do not rule out the threshold."""
-    sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(len(rows), TOKENS)
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint32).reshape(len(rows), plan.tokens)
     n = len(rows)
     agree = np.zeros((n, n), np.uint8)
     ok = np.triu(np.ones((n, n), bool), 1)
@@ -147,13 +177,12 @@ def close_pairs(rows: list[dict], threshold: float) -> tuple[np.ndarray, np.ndar
     if not rows[0]["own"]:
         ok &= block[:, None] != block[None, :]
     skip = set(rows[0]["skip"])
-    for t in range(TOKENS):
+    for t in range(plan.tokens):
         same = sig[:, t][:, None] == sig[:, t][None, :]
         agree += same
         if t in skip:
             ok &= ~same
-    slack = 5 * (threshold * (1 - threshold) / TOKENS) ** 0.5
-    return np.nonzero(ok & (agree >= TOKENS * (threshold - slack)))
+    return np.nonzero(ok & (agree >= plan.agree))
 
 
 def once(rows: list[dict]) -> list[dict]:
@@ -161,11 +190,11 @@ def once(rows: list[dict]) -> list[dict]:
     return list({(r["h1"], r["h2"]): r for r in rows}.values())
 
 
-def candidates(threshold: float):
+def candidates(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for leaf, rows in grouped(batches, "leaf"):
             rows = once(rows)
-            i, j = close_pairs(rows, threshold)
+            i, j = close_pairs(rows, plan)
             hit = np.union1d(i, j).tolist()
             if hit:
                 yield pa.RecordBatch.from_pydict({"leaf": pa.array([leaf] * len(hit), pa.int64()), "h1": pa.array([rows[k]["h1"] for k in hit], pa.int64()), "h2": pa.array([rows[k]["h2"] for k in hit], pa.int64())})
@@ -173,13 +202,13 @@ def candidates(threshold: float):
     return run
 
 
-def verified(threshold: float):
+def verified(threshold: float, plan: Plan):
     """For each set of a leaf: how many rows its partners stand for, and the least set of its component in this leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "leaf"):
             rows = once(rows)
-            left, right = close_pairs(rows, threshold)
+            left, right = close_pairs(rows, plan)
             if not len(left):
                 continue
             sets = [np.frombuffer(r["values"], np.uint64) for r in rows]
@@ -249,30 +278,31 @@ def set_values(width: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = RECALL) -> DataFrame:
     """doc_id, fp, class_id, class_fp and n_links of every row.
 
     Words are runs of anything but ASCII white space; texts are alike if the Jaccard similarity of their sets of width
     consecutive words is threshold or more (a text of fewer words is one n-gram). n_links counts the other rows alike to
     this one, copies and repeated rows included. Rows that links connect are one class; class_id is its least doc_id, and
     class_fp the fp of that row. A null or wordless text is in no class: class_id is its own doc_id, and n_links is 0. Rows
-    without doc_id take part, and name a class only if all its rows lack one. A pair is missed with probability
-    (1 - threshold) ** RUNS at each of LEVELS levels, at most.
+    without doc_id take part, and name a class only if all its rows lack one. Runs are repeated until a pair at the threshold
+    is found with probability recall at least; copies are never missed.
     """
+    plan = plan_for(threshold, recall)
     n = shuffle_partitions(docs.sparkSession)
     base = keyed(docs)
-    sketch = base.mapInArrow(sketches(width), "doc_id long, fp long, h1 long, h2 long, sig binary").checkpoint()
+    sketch = base.mapInArrow(sketches(width, plan.tokens), "doc_id long, fp long, h1 long, h2 long, sig binary").checkpoint()
     full = sketch.where("h1 is not null")
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     reps = full.groupBy("h1", "h2").agg(F.min(who).alias("who"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).checkpoint()
-    leaf = leaves(reps)
+    leaf = leaves(reps, plan.runs)
     arranged = lambda df: df.repartition(n, "leaf").sortWithinPartitions("leaf")
-    close = arranged(leaf).mapInArrow(candidates(threshold), "leaf long, h1 long, h2 long").checkpoint()
+    close = arranged(leaf).mapInArrow(candidates(plan), "leaf long, h1 long, h2 long").checkpoint()
     wanted = close.select("h1", "h2").distinct().join(reps.select("h1", "h2", "who"), ["h1", "h2"]).select("h1", "h2", "who.none", F.coalesce("who.doc_id", F.lit(0)).alias("id"), "who.fp")
     source = base.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp", "text")
     values = source.join(wanted, ["none", "id", "fp"]).select("h1", "h2", "text").mapInArrow(set_values(width), "h1 long, h2 long, values binary")
     ready = leaf.join(close, ["leaf", "h1", "h2"]).join(values, ["h1", "h2"])
-    found = arranged(ready).mapInArrow(verified(threshold), "h1 long, h2 long, links long, t1 long, t2 long").checkpoint()
+    found = arranged(ready).mapInArrow(verified(threshold, plan), "h1 long, h2 long, links long, t1 long, t2 long").checkpoint()
     edges = found.select(F.struct("h1", "h2").alias("u"), F.struct(F.col("t1").alias("h1"), F.col("t2").alias("h2")).alias("v"))
     roots = components(edges).select("node.h1", "node.h2", "root")
     links = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
@@ -284,9 +314,9 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5)
     return out.select("doc_id", "fp", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("fp")).otherwise(F.col("class_fp")).alias("class_fp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def one_of_each_class(docs: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = RECALL) -> DataFrame:
     """docs, all columns, with the row that names each class alone; of rows equal in doc_id and text one stays."""
-    joined = ngram_jaccard_join(docs, threshold, width)
+    joined = ngram_jaccard_join(docs, threshold, width, recall)
     kept = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp")))
     kept = kept.select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("fp").alias("__fp")).distinct()
     source = docs.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__fp": F.xxhash64(F.coalesce("text", F.lit("")))})
