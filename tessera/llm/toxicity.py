@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import BoostedTrees, Isotonic
-from tessera.llm.common import keyed, steps
+from tessera.llm.common import keyed, steps, with_checkpoints
 
 # Common insults of the languages served, and words that address someone.
 INSULTS = frozenset(
@@ -24,14 +25,17 @@ INSULTS = frozenset(
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton vous votre du dich dir dein ihr euch usted ustedes tú ti vosotros".split())
 WORD = re.compile(r"[^\W_]+")
-OBFUSCATED = re.compile(r"[^\W\d_]+[*@$!0134][*@$!0134\w]*[^\W\d_]|(?:\b[^\W\d_][ .\-*]){3,}[^\W\d_]\b")
+OBFUSCATED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[*@$!0134][*@$!0134\w]*[^\W\d_]")
+SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-*][^\W\d_]){3,}(?!\w)")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 CAPITALS = re.compile(r"\b[A-Z]{3,}\b")
 
 #: Labelled rows that are learned from, about so many of each label; which ones depends on doc_id and text alone.
 SAMPLE = 6000
-#: Learned lexicon: items at most, and letters of the word beginnings that count beside whole words.
-ITEMS, BEGINNINGS = 3000, range(3, 9)
+#: Learned lexicon: an item stands in so many toxic rows of the sample, and in such a part of them, and is so much likelier
+#: there (logarithm of the ratio). Beside whole words their beginnings of so many letters count.
+LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 1.0
+BEGINNINGS = range(3, 9)
 #: Words whose lexicon value a worker keeps.
 KEPT_WORDS = 300_000
 
@@ -75,26 +79,28 @@ def features(text: str, lexicon: Lexicon, own: int | None = None) -> list[float]
     words = WORD.findall(text.lower())
     n = max(len(words), 1)
     letters = max(sum(map(len, words)), 1)
-    values = [lexicon.value(w, own) for w in words]
-    fixed = [i for i, w in enumerate(words) if w in INSULTS]
-    strong = [i for i, v in enumerate(values) if v >= 1.5]
-    best = sorted({w: v for w, v in zip(words, values, strict=True) if v > 0}.values(), reverse=True)[:5] + [0.0] * 5
-    address = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    near = np.inf
-    close = 0
+    kinds = set(words)
+    worth = {w: v for w in kinds if (v := lexicon.value(w, own)) > 0}
+    values = [worth[w] for w in words if w in worth] if worth else []
+    harsh = {w for w, v in worth.items() if v >= 1.5}
+    bad, you = kinds & INSULTS, kinds & SECOND_PERSON
+    fixed = [i for i, w in enumerate(words) if w in bad] if bad else []
+    strong = [i for i, w in enumerate(words) if w in harsh] if harsh else []
+    best = sorted(worth.values(), reverse=True)[:5] + [0.0] * 5
+    address = [i for i, w in enumerate(words) if w in you] if you else []
+    near, close = np.inf, 0
     if address:
-        spots = np.array(address)
         for i in sorted({*fixed, *strong}):
-            k = int(np.searchsorted(spots, i))
-            d = min(abs(i - address[j]) for j in (k - 1, k) if 0 <= j < len(address))
+            k = bisect_left(address, i)
+            d = min(abs(i - j) for j in address[max(k - 1, 0) : k + 1])
             near, close = min(near, d), close + (d <= 5)
     capitals = sum(map(len, CAPITALS.findall(text)))
     return [
-        len(fixed) / n, float(len(set(words[i] for i in fixed))), sum(values) / n, best[0], sum(best[:3]), sum(best[:5]),
-        len(strong) / n, float(len({words[i] for i in strong})), float(len(strong)), float(len(fixed)),
+        len(fixed) / n, float(len(bad)), sum(values) / n, best[0], sum(best[:3]), sum(best[:5]),
+        len(strong) / n, float(len(harsh)), float(len(strong)), float(len(fixed)),
         0.0 if near == np.inf else 1 / (1 + near), close / n,
         capitals / letters, text.count("!") / n, text.count("?") / n,
-        len(OBFUSCATED.findall(text)) / n, len(STRETCHED.findall(text)) / n, float(np.log1p(len(words))),
+        (len(OBFUSCATED.findall(text)) + len(SPACED.findall(text))) / n, len(STRETCHED.findall(text)) / n, float(np.log1p(len(words))),
     ]
 
 
@@ -110,11 +116,11 @@ class ToxicityModel:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with each item, by label, of each batch."""
+    """Rows with each item, by label, of each batch; the empty item stands in every row."""
     for batch in batches:
         counts = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update({i for w in set(WORD.findall(text.lower())) for i in items_of(w)})
+            counts[toxic].update({"", *(i for w in set(WORD.findall(text.lower())) for i in items_of(w))})
         for toxic in (0, 1):
             yield pa.RecordBatch.from_pydict({"item": pa.array(list(counts[toxic]), pa.string()), "toxic": pa.array([toxic] * len(counts[toxic]), pa.int32()), "n": pa.array(list(counts[toxic].values()), pa.int64())})
 
@@ -137,10 +143,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = marks.where(draw < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
     taken = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    counts = taken.mapInArrow(counted, "item string, toxic int, n long").groupBy("item").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    toxic, other = min(sizes[1], sample), min(sizes[0], sample)
+    by_label = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0))
+    counts = taken.mapInArrow(counted, "item string, toxic int, n long").groupBy("item").agg(by_label(1).alias("a"), by_label(0).alias("b"))
+    counts = with_checkpoints(spark, counts.where(F.col("a") >= LEAST_ROWS)).checkpoint()
+    rows = counts.where("item = ''").first()
+    toxic, other = (rows["a"], rows["b"]) if rows else (0, 0)
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (other + 1.0))
-    found = counts.where((F.col("a") >= max(3, toxic // 200)) & (odds >= 1.0)).orderBy((odds * F.col("a")).desc(), "item").limit(ITEMS).collect()
+    # bounded by the sample
+    found = counts.where((F.col("item") != "") & (F.col("a") >= LEAST_SHARE * toxic) & (odds >= LEAST_ODDS)).collect()
     lexicon = Lexicon({r["item"]: (r["a"], r["b"]) for r in found}, toxic, other)
     shared = spark.sparkContext.broadcast(lexicon)
 
