@@ -14,17 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import GOLDEN, keyed, mix, steps
+from tessera.llm.common import GOLDEN, keyed, mix, steps, with_checkpoints
 
 #: Lengths of the n-grams, in letters or single breaks between words.
 GRAMS = (3, 5)
-#: Slots of the filter, and how many an n-gram has.
-SLOTS, HASHES = 1 << 21, 3
+#: Slots of the filter for each n-gram of the language that has most, and how many an n-gram takes.
+ROOM, HASHES = 32, 3
 #: About so many labelled rows of each language are learned from; which ones depends on doc_id alone.
 SAMPLE = 2000
-#: An n-gram belongs to a language if it has at least this part of the highest rate that any language has for it,
-#: and stands there at least so often.
-SHARE, LEAST = 0.2, 2
+#: An n-gram belongs to a language if it has at least this part of the highest rate that any language has for it.
+SHARE = 0.2
 UNDECIDED = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -58,6 +57,8 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = (low > 0) | np.concatenate([[True], low[:-1] > 0])
     keep[border] = True
     low, row, at_border = low[keep], row[keep], np.isin(np.flatnonzero(keep), border)
+    keep = (low > 0) | at_border | np.append(~at_border[1:], True)  # the break at the end of a text is its border
+    low, row, at_border = low[keep], row[keep], at_border[keep]
     has = np.zeros(len(texts), bool)
     has[row[low > 0]] = True
     part = np.cumsum(at_border)  # grams may end, but not go on, at a border
@@ -76,29 +77,34 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_h) if out_h else np.zeros(0, np.uint64), np.concatenate(out_r) if out_r else np.zeros(0, np.int64), has
 
 
-def slots(h: np.ndarray) -> list[np.ndarray]:
-    """The filter's slots of each hash, by double hashing."""
+def slots(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """The slots of each hash in a filter of size slots, by double hashing."""
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + np.uint64(k) * step) % np.uint64(SLOTS)).astype(np.int64) for k in range(HASHES)]
+    return [((h + np.uint64(k) * step) % np.uint64(size)).astype(np.int64) for k in range(HASHES)]
 
 
 class Filters:
-    """masks: SLOTS x words of 64 languages; langs: their names. Its size does not depend on the rows learned from."""
+    """masks: slots x words of 64 languages; langs: their names; false: the rate of false positives that each slice's fill predicts."""
 
     def __init__(self, langs: list[str], masks: np.ndarray, most: int):
         self.langs, self.masks, self.most = langs, masks, most
         fill = np.array([(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(langs))])
         self.false = fill**HASHES
 
+    def languages(self, h: np.ndarray, word: int = 0) -> np.ndarray:
+        """A mask of all languages that contain each n-gram, 64 of them from number 64 * word on."""
+        first, *rest = slots(h, len(self.masks))
+        found = self.masks[first, word]
+        for p in rest:
+            found = found & self.masks[p, word]
+        return found
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         h, row, has = gram_hashes(texts)
-        places = slots(h)
         count = np.bincount(row, minlength=len(texts)).astype(float)
         rate = np.zeros((len(texts), len(self.langs)))
         for w in range(self.masks.shape[1]):
-            found = self.masks[places[0], w]
-            for p in places[1:]:
-                found = found & self.masks[p, w]
+            found = self.languages(h, w)
             for i in range(w * 64, min(len(self.langs), w * 64 + 64)):
                 seen = np.bincount(row, found >> np.uint64(i % 64) & np.uint64(1), len(texts))
                 share = seen / np.maximum(count, 1)
@@ -128,12 +134,13 @@ def fit_filters(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters from the rows of labelled (doc_id, text, lang), of which about sample are taken for each language.
 
     Rows with null lang are left out. Counting and membership are computed by the executors; the driver gets the languages
-    and the filter's slots, SLOTS at most.
+    and the filter's slots. Their number follows the n-grams of the language that has most, which the sample bounds, so that
+    no slice fills up however many languages there are.
     """
     sizes = {r["lang"]: r["n"] for r in labelled.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Filters([], np.zeros((SLOTS, 1), np.uint64), 0)
+        return Filters([], np.zeros((1, 1), np.uint64), 0)
     spark = labelled.sparkSession
     index = spark.createDataFrame([(x, i, min(1.0, sample / sizes[x])) for i, x in enumerate(langs)], "lang string, i int, part double")
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
@@ -141,19 +148,22 @@ def fit_filters(labelled: DataFrame, sample: int = SAMPLE) -> Filters:
     counts = rows.mapInArrow(counted, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(F.broadcast(total), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("rate"))
-    best = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("all"))
-    member = best.select("gram", F.inline(F.filter("all", lambda x: (x["rate"] >= F.col("top") * SHARE) & (x["n"] >= LEAST)))).select("gram", "lang")
+    best = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("all"))
+    member = best.select("gram", F.inline(F.filter("all", lambda x: x["rate"] >= F.col("top") * SHARE))).select("gram", "lang")
+    member = with_checkpoints(spark, member).checkpoint()
+    most = member.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    size = 1 << max(16, (ROOM * most - 1).bit_length())
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.asarray(batch.column("gram")).view(np.uint64)
             lang = np.asarray(batch.column("lang"))
             bit = np.left_shift(np.uint64(1), (lang % 64).astype(np.uint64)).view(np.int64)
-            for p in slots(h):
+            for p in slots(h, size):
                 yield pa.RecordBatch.from_pydict({"slot": pa.array(p, pa.int64()), "word": pa.array(lang // 64, pa.int32()), "mask": pa.array(bit, pa.int64())})
 
     filled = member.mapInArrow(placed, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    masks = np.zeros((SLOTS, (len(langs) + 63) // 64), np.uint64)
+    masks = np.zeros((size, (len(langs) + 63) // 64), np.uint64)
     masks[filled["slot"].to_numpy(np.int64), filled["word"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
     return Filters(langs, masks, max(range(len(langs)), key=lambda i: sizes[langs[i]]))
 
@@ -162,7 +172,8 @@ def identify_language(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, fp, lang_pred and score (0 to 1) of every row, from its whole text alone.
 
     lang_pred is und, with score 0, if text is null or has no letter, or if nothing was learned; it is the most frequent
-    learned language, with score 0, if no n-gram is known. score is the winner's part of all languages' corrected rates.
+    learned language, with score 0, if no n-gram is known. Languages that tie go by name, the first one wins. score is the
+    winner's part of all languages' corrected rates. Repeated rows each have their own result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
