@@ -46,15 +46,18 @@ def words_of(text: Column) -> Column:
 def repeat_words(words: Column, window: int) -> Column:
     """How many words lie in windows of window words that stand twice or more.
 
-    Windows are told apart by a 64-bit hash of their words. Their sorted (hash, place) pairs show which repeat; the sorted
-    places of those give the covered words. A text without repeats stops at the comparison of the distinct count.
+    Sorted (hash of the words, place) pairs bring equal windows together; neighbours of one hash are compared word by word,
+    and a second hash keeps different windows of one hash apart. The sorted places of repeated windows give the covered
+    words. A text without repeats stops at the comparison of the distinct count.
     """
     n = F.size(words)
     hashes = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(window)]))
 
     def covered(h: Column) -> Column:
-        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        same = lambda s, a, b: F.coalesce(F.get(s, a)["h"] == F.get(s, b)["h"], F.lit(False))
+        second = lambda i: F.hash(*[F.get(words, i + j) for j in range(window)])
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), second(i).alias("g"), i.alias("i"))))
+        window_at = lambda i: F.slice(words, i + 1, window)
+        same = lambda s, a, b: F.when(F.get(s, a)["h"] == F.get(s, b)["h"], window_at(F.get(s, a)["i"]) == window_at(F.get(s, b)["i"])).otherwise(F.lit(False))
         twice = lambda s: F.sort_array(F.transform(F.filter(F.transform(s, lambda x, i: F.struct(x["i"].alias("i"), (same(s, i, i - 1) | same(s, i, i + 1)).alias("r"))), lambda x: x["r"]), lambda x: x["i"]))
         widths = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.coalesce(F.get(p, i + 1), x + window) - x, F.lit(window))), F.lit(0), lambda a, x: a + x)
         return let(let(placed, twice), widths)
