@@ -28,8 +28,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def with_checkpoints(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df, after a checkpoint folder is sure to be set."""
-    session.with_checkpoints(spark)
-    return df
+    return session.with_checkpoints(df)
 
 
 def keyed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -197,8 +196,8 @@ def equal_runs(flat: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
 
 
 #: Rows of packed strings by bucket, or of marks that are ready; and of marks.
-PACKED = "bucket int, payload binary, doc_id long, fp long, spans binary"
-MARKS = "doc_id long, fp long, spans binary"
+PACKED = "bucket int, payload binary, doc_id long, fp long, start long, end long"
+MARKS = "doc_id long, fp long, start long, end long"
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
@@ -232,24 +231,59 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Each row of keyed docs with all its packed interval rows, as an array.
-
-    marks has doc_id, fp and spans (binary pairs of 64-bit start and end).
-    """
-    gathered = marks.groupBy("doc_id", "fp").agg(F.collect_list("spans").alias("spans"))
+    """Each row of keyed docs with all its intervals, an array of (start, end), or null."""
+    gathered = marks.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return docs.join(gathered, ["doc_id", "fp"], "left").select("doc_id", "text", "spans")
 
 
-def read_spans(spans: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.frombuffer(b"".join(spans or ()), np.int64).reshape(-1, 2)
-    return merged(pairs[:, 0], pairs[:, 1])
+def spans_by_row(spans: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each row the union of its intervals, as disjoint sorted ones."""
+    flat = spans.flatten()  # without the places of null rows
+    starts, ends = (np.asarray(flat.field(k), np.int64) for k in (0, 1))
+    sizes = np.asarray(pc.list_value_length(spans).fill_null(0))
+    at = 0
+    for n in sizes.tolist():
+        yield merged(starts[at : at + n], ends[at : at + n])
+        at += n
 
 
 def mark_rows(doc_id: np.ndarray, fp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    """Intervals as one row for each document."""
+    """Intervals, those of one document that overlap or touch merged."""
     order = np.lexsort((starts, fp, doc_id))
     doc_id, fp, starts, ends = doc_id[order], fp[order], starts[order], ends[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc_id[1:] != doc_id[:-1]) | (fp[1:] != fp[:-1])])) if len(doc_id) else np.zeros(0, np.int64)
-    pairs = np.stack([starts, ends], 1).astype(np.int64)
-    spans = [np.stack(merged(p[:, 0], p[:, 1]), 1).tobytes() for p in np.split(pairs, new[1:])] if len(new) else []
-    return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id[new], pa.int64()), "fp": pa.array(fp[new], pa.int64()), "spans": pa.array(spans, pa.binary())})
+    row = np.cumsum(np.concatenate([[False], (doc_id[1:] != doc_id[:-1]) | (fp[1:] != fp[:-1])])) if len(doc_id) else np.zeros(0, np.int64)
+    wide_ = int(ends.max(initial=0)) + 2
+    starts, ends = merged(starts + row * wide_, ends + row * wide_)
+    first = np.searchsorted(row * wide_, starts // wide_ * wide_) if len(starts) else np.zeros(0, np.int64)
+    low = starts // wide_ * wide_
+    return pa.RecordBatch.from_arrays([pa.array(doc_id[first], pa.int64()), pa.array(fp[first], pa.int64()), pa.array(starts - low, pa.int64()), pa.array(ends - low, pa.int64())], names=["doc_id", "fp", "start", "end"])
+
+
+def packed_rows(bucket, payload) -> pa.RecordBatch:
+    none = [None] * len(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(payload, pa.binary()), *(pa.array(none, pa.int64()) for _ in range(4))], names=["bucket", "payload", "doc_id", "fp", "start", "end"])
+
+
+def ready_rows(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Marks that are ready, dealt out by document to travel with the packed strings."""
+    rows = mark_rows(doc, fp, start, end)
+    to = (mix(rows.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([None] * rows.num_rows, pa.binary()), *rows.columns], names=["bucket", "payload", *rows.schema.names])
+
+
+def by_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, list[bytes]]]:
+    """Marks that are ready, as they come, and the payloads of each bucket; the input is sorted by bucket."""
+    last, held = None, []
+    for batch in batches:
+        ready = batch.column("payload").is_null()
+        if pc.any(ready).as_py():
+            yield batch.filter(ready).select(["doc_id", "fp", "start", "end"]), []
+            batch = batch.filter(pc.invert(ready))
+        for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            if bucket != last:
+                if held:
+                    yield None, held
+                last, held = bucket, []
+            held.append(payload)
+    if held:
+        yield None, held

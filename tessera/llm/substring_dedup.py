@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import (
-    GOLDEN, bytes_hash, by_bucket, equal_runs, frequent_anchors, grouped, keyed, mark_rows, MARKS, mix, narrow, pack, PACKED, put_back, ragged,
-    read_spans, shuffle_partitions, sliding_min, steps, text_size, unpack, wide, with_marks,
+    GOLDEN, MARKS, PACKED, by_bucket, by_buckets, bytes_hash, equal_runs, frequent_anchors, keyed, mark_rows, mix, narrow, pack, packed_rows, put_back,
+    ragged, ready_rows, shuffle_partitions, sliding_min, spans_by_row, steps, text_size, unpack, wide, with_marks,
 )
 
 #: Bytes of text for which there is a bucket.
@@ -71,9 +71,6 @@ def super_kmers(width: int, sub: int, buckets: int, frequent: np.ndarray | None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[int, tuple[bytes, int]] = {}  # strings that stood more than once, and the smallest doc_id sent
         sent_bytes = 0
-        names = ("bucket", "payload", "doc_id", "fp", "spans")
-        kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-        rows = lambda **cols: pa.RecordBatch.from_arrays([pa.array(cols.get(n) if cols.get(n) is not None else [None] * cols["n"], k) for n, k in zip(names, kinds, strict=True)], names=list(names))
         for batch in batches:
             for part in steps(batch):
                 known: dict[bytes, int] = defaultdict(count().__next__)
@@ -134,8 +131,7 @@ def super_kmers(width: int, sub: int, buckets: int, frequent: np.ndarray | None)
                     sent, sent_bytes = {}, 0
                 if len(twin):
                     at = start[twin] - first[row[start[twin]]]
-                    marks = mark_rows(ids[row[start[twin]]], fps[row[start[twin]]], at, at + length[twin])
-                    yield rows(n=marks.num_rows, bucket=(mix(marks.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), doc_id=marks.column("doc_id"), fp=marks.column("fp"), spans=marks.column("spans"))
+                    yield ready_rows(ids[row[start[twin]]], fps[row[start[twin]]], at, at + length[twin], buckets)
                 start, length = start[stay], length[stay]
                 bucket = (mix(least[start] + GOLDEN) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -148,7 +144,8 @@ def super_kmers(width: int, sub: int, buckets: int, frequent: np.ndarray | None)
                     docs, doc = np.unique(row[s], return_inverse=True)
                     out_b.append(int(bucket[a]))
                     out_p.append(pack(b"\n".join(strings), narrow(m), ids[docs].astype(np.int64), fps[docs].astype(np.int64), narrow(doc), narrow(s - first[row[s]])))
-                yield rows(n=len(out_b), bucket=out_b, payload=out_p)
+                if out_b:
+                    yield packed_rows(out_b, out_p)
 
     return run
 
@@ -157,20 +154,19 @@ def count_windows(width: int):
     """Bucket side: sorts a bucket's windows, compares neighbours word by word and marks all but the smallest doc_id's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, "bucket"):
-            if ready := [r for r in rows if r["payload"] is None]:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"] for r in ready], pa.int64()), "fp": pa.array([r["fp"] for r in ready], pa.int64()), "spans": pa.array([r["spans"] for r in ready], pa.binary())})
+        for ready, payloads in by_buckets(batches):
+            if ready is not None:
+                yield ready
+                continue
             known: dict[bytes, int] = defaultdict(count().__next__)
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for r in reversed([r for r in rows if r["payload"] is not None]):
-                words, length, ids, fps, doc, at = unpack(r.pop("payload"))
+            while payloads:
+                words, length, ids, fps, doc, at = unpack(payloads.pop())
                 doc = wide(doc)
                 for c, x in zip(cols, (np.fromiter(map(known.__getitem__, bytes(words).split()), np.int32), wide(length), np.frombuffer(ids, np.int64)[doc], np.frombuffer(fps, np.int64)[doc], wide(at)), strict=True):
                     c.append(x)
-            if not cols[0]:
-                continue
             flat, length, ids, fps, at = map(np.concatenate, cols)
-            del cols, rows
+            del cols
             first = np.cumsum(length) - length
             windows = length - width + 1
             pos = ragged(first, windows)
@@ -215,10 +211,9 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch):
             n, gone, kept = [], [], []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            for text, (starts, ends) in zip(part.column("text").to_pylist(), spans_by_row(part.column("spans")), strict=True):
                 words = text.encode().split()
                 n.append(len(words))
-                starts, ends = read_spans(spans)
                 left, at = [], 0
                 for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     left += words[at:s]
@@ -234,7 +229,7 @@ def repeated_windows(docs: DataFrame, width: int = 13, sub: int = 3, buckets: in
     n = shuffle_partitions(docs.sparkSession)
     size, rows = text_size(docs)
     frequent = frequent_anchors(docs, anchors_of(width, sub), size, rows)
-    packed = keyed(docs).mapInArrow(super_kmers(width, sub, buckets or max(2 * n, -(-size // BUCKET_BYTES)), frequent), PACKED)
+    packed = keyed(docs).mapInArrow(super_kmers(width, sub, buckets or n * max(1, round(size / n / BUCKET_BYTES)), frequent), PACKED)
     return by_bucket(packed, n).mapInArrow(count_windows(width), MARKS)
 
 

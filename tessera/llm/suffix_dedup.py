@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import (
-    GOLDEN, by_bucket, equal_runs, frequent_anchors, grouped, keyed, mark_rows, MARKS, mix, narrow, pack, PACKED, put_back, ragged, read_spans,
-    shuffle_partitions, sliding_min, steps, text_size, unpack, wide, with_marks,
+    GOLDEN, MARKS, PACKED, by_bucket, by_buckets, equal_runs, frequent_anchors, keyed, mark_rows, mix, narrow, pack, packed_rows, put_back, ragged,
+    ready_rows, shuffle_partitions, sliding_min, spans_by_row, steps, text_size, unpack, wide, with_marks,
 )
 
 
@@ -391,7 +391,7 @@ def byte_runs(length: int, anchor: int, period: int, block: int, buckets: int, f
                     )
                     marks = strings.repeats(length, period, block)
                     if len(marks[0]):
-                        yield from marked(*marks, buckets)
+                        yield ready_rows(*marks, buckets)
                     lead = np.flatnonzero(strings.leads)
                     names = set(zip(strings.of[lead].tolist(), strings.doc[lead].tolist(), strings.fp[lead].tolist(), strings.at[lead].tolist(), strict=True))
                     sent = {(int(np.searchsorted(head, x[0])), *x[1:]) for x in old}
@@ -411,40 +411,20 @@ def byte_runs(length: int, anchor: int, period: int, block: int, buckets: int, f
                     out_b.append(int(bucket[a]))
                     out_p.append(pack(flat[ragged(s, m)], narrow(m), tag[a:b], ids[docs].astype(np.int64), fps[docs].astype(np.int64), narrow(which), narrow(at[a:b]), twice[a:b]))
                 if out_b:
-                    none = [None] * len(out_b)
-                    yield packed_rows(out_b, out_p, none, none, none)
+                    yield packed_rows(out_b, out_p)
 
     return run
 
 
-def packed_rows(bucket, payload, doc_id, fp, spans) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(payload, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(fp, pa.int64()), pa.array(spans, pa.binary())], names=["bucket", "payload", "doc_id", "fp", "spans"])
-
-
-def marked(doc: np.ndarray, fp: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Marks that are ready, dealt out by document to travel with the packed strings."""
-    rows = mark_rows(doc, fp, start, end)
-    to = (mix(rows.column("doc_id").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    yield packed_rows(to, [None] * rows.num_rows, rows.column("doc_id"), rows.column("fp"), rows.column("spans"))
-
-
-def ready_marks(rows: list[dict]) -> pa.RecordBatch | None:
-    ready = [r for r in rows if r["payload"] is None]
-    if ready:
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array([r["doc_id"] for r in ready], pa.int64()), "fp": pa.array([r["fp"] for r in ready], pa.int64()), "spans": pa.array([r["spans"] for r in ready], pa.binary())})
-    return None
-
-
 def sort_suffixes(length: int, period: int, block: int):
     """Bucket side. Strings whose minimiser no other has cannot repeat; the rest is suffix-sorted, equal strings once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, "bucket"):
-            if (ready := ready_marks(rows)) is not None:
+        for ready, payloads in by_buckets(batches):
+            if ready is not None:
                 yield ready
-            blobs = [unpack(r.pop("payload")) for r in rows if r["payload"] is not None]
-            if not blobs:
                 continue
+            blobs = [unpack(x) for x in payloads]
             tags = np.concatenate([np.frombuffer(b[2], np.uint32) for b in blobs])
             _, back, many = np.unique(tags, return_inverse=True, return_counts=True)
             keep = (many[back] > 1) | np.concatenate([np.frombuffer(b[7], bool) for b in blobs])
@@ -482,9 +462,8 @@ def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in steps(batch):
             n, gone, runs, kept = [], [], [], []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            for text, (starts, ends) in zip(part.column("text").to_pylist(), spans_by_row(part.column("spans")), strict=True):
                 raw = text.encode()
-                starts, ends = read_spans(spans)
                 left, at = [], 0
                 for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     left.append(raw[at:s])
@@ -506,7 +485,7 @@ def repeated_bytes(docs: DataFrame, length: int = 100, anchor: int = 16, period:
     n = shuffle_partitions(docs.sparkSession)
     size, rows = text_size(docs)
     frequent = frequent_anchors(docs, anchors_of(length, anchor), size, rows)
-    packed = keyed(docs).mapInArrow(byte_runs(length, anchor, period, block, buckets or max(n, -(-size // BUCKET_BYTES)), frequent), PACKED)
+    packed = keyed(docs).mapInArrow(byte_runs(length, anchor, period, block, buckets or n * max(1, round(size / n / BUCKET_BYTES)), frequent), PACKED)
     return by_bucket(packed, n).mapInArrow(sort_suffixes(length, period, block), MARKS)
 
 

@@ -1,5 +1,8 @@
 import array
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,11 +11,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import BoostedTrees, Isotonic
-from tessera.llm.common import held_out, training_fold
-from tessera.llm.decontaminate import Searcher, drop_contaminated, find_items, fitting_distance, words_of
-from tessera.llm.language_id import fit_filters, identify_language
+from tessera.llm.common import held_out, training_fold, with_checkpoints
+from tessera.llm.decontaminate import Searcher, drop_contaminated, find_items, fitting_distance, long_fitting_distance, words_of
+from tessera.llm.language_id import GRAMS, SHARE, fit_filters, gram_hashes, identify_language
 from tessera.llm.piece_bpe import Encoder, Vocabulary, encode_decode
-from tessera.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
+from tessera.llm.toxicity import BEGINNINGS, INSULTS, OBFUSCATED, SECOND_PERSON, SPACED, STRETCHED, Lexicon, drop_toxic, features, fit_toxicity, score_toxicity
 from tests.llm.conftest import ODD
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -67,6 +70,60 @@ def test_language(spark, docs, make):
     assert identify_language(make([]), filters).count() == 0
 
 
+def brute_grams(text):
+    """n-grams of a text by plain string operations: letters lower-cased, runs of anything else one break, breaks at both ends."""
+    flat = re.sub(r"\x00+", "\x00", "\x00" + "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\x00" for c in text) + "\x00")
+    return [(n, flat[i : i + n]) for n in GRAMS for i in range(len(flat) - n + 1)]
+
+
+def test_filters_against_exact_sets(spark, docs):
+    """The languages that the filter gives for each n-gram contain all that have it, and others at about the predicted rate."""
+    labelled = docs.select("doc_id", "text", "lang").where("lang is not null")
+    rows = [(r["lang"], r["text"]) for r in labelled.collect()]
+    filters = fit_filters(labelled, sample=10**9)
+    counts = {lang: Counter(g for k, t in rows if k == lang for g in brute_grams(t)) for lang in filters.langs}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    every = sorted(set().union(*counts.values()))
+    # the hash of each n-gram, from a text that has it
+    known = {}
+    for _, t in rows:
+        h, _, _ = gram_hashes([t])
+        known.update(zip(brute_grams(t), h.tolist(), strict=True))
+    masks = filters.languages(np.array([known[g] for g in every], np.uint64))
+    false = np.zeros(len(filters.langs))
+    for i, lang in enumerate(filters.langs):
+        top = np.array([max(counts[k][g] / total[k] for k in filters.langs) for g in every])
+        own = np.array([counts[lang][g] for g in every])
+        member = (own > 0) & (own / total[lang] >= SHARE * top - 1e-15)
+        found = (masks >> np.uint64(i) & np.uint64(1)).astype(bool)
+        assert found[member].all()
+        false[i] = found[~member].mean()
+    assert len(every) > 5000 and np.all(false < 3 * filters.false + 0.005)
+
+
+def test_predictions_against_exact_sets(spark, docs):
+    """What the filter predicts is what exact sets of n-grams predict, for nearly every text."""
+    labelled = docs.select("doc_id", "text", "lang").where("lang is not null")
+    filters = fit_filters(labelled, sample=10**9)
+    rows = [(r["lang"], r["text"]) for r in labelled.collect()]
+    counts = {lang: Counter(g for k, t in rows if k == lang for g in brute_grams(t)) for lang in filters.langs}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    sets = {lang: {g for g, n in counts[lang].items() if n / total[lang] >= SHARE * max(counts[k][g] / total[k] for k in filters.langs) - 1e-15} for lang in filters.langs}
+    pred, _ = filters.predict([t for _, t in rows])
+    same = 0
+    for (_, t), p in zip(rows, pred, strict=True):
+        grams = brute_grams(t)
+        same += p == max(filters.langs, key=lambda k: sum(g in sets[k] for g in grams))
+    assert same >= 0.99 * len(rows)
+
+
+def test_languages_that_tie(spark):
+    """Two languages with the same texts: the first by name."""
+    df = spark.createDataFrame([(1, "some words here", "xb"), (2, "some words here", "xa"), (3, "andere worte", "xc")], "doc_id long, text string, lang string")
+    got = [r["lang_pred"] for r in identify_language(df, fit_filters(df)).orderBy("doc_id").collect()]
+    assert got == ["xa", "xa", "xc"]
+
+
 def test_many_languages(spark):
     rows = [(i, f"{chr(97 + i // 26)}{chr(97 + i % 26)}q" * 5, f"l{i:02d}") for i in range(70)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -108,6 +165,70 @@ def test_toxicity(spark, make):
     assert {r["score"] for r in score_toxicity(docs.limit(3), lone).collect()} == {0.0}
 
 
+def brute_features(text, lexicon):
+    """The same features, word by word."""
+    words, low = re.findall(r"[^\W_]+", text.lower()), []
+    for w in words:
+        own = [w, *[w[:k] + "-" for k in BEGINNINGS if k <= len(w)]]
+        low.append(max([0.0] + [math.log((lexicon.counts[x][0] + 0.5) / (lexicon.toxic + 1)) - math.log((lexicon.counts[x][1] + 0.5) / (lexicon.other + 1)) for x in own if x in lexicon.counts]))
+    n, letters = max(len(words), 1), max(len("".join(words)), 1)
+    bad, hard = [w in INSULTS for w in words], [v >= 1.5 for v in low]
+    top = sorted((max(v for w, v in zip(words, low, strict=True) if w == x) for x in set(words)), reverse=True)
+    top = [v for v in top if v > 0] + [0.0] * 5
+    spots = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    gaps = [min(abs(i - j) for j in spots) for i in range(len(words)) if (bad[i] or hard[i]) and spots]
+    capitals = sum(len(x) for x in re.findall(r"\b[A-Z]{3,}\b", text))
+    masked = len(OBFUSCATED.findall(text)) + len(SPACED.findall(text))
+    return [
+        sum(bad) / n, len({w for w, b in zip(words, bad, strict=True) if b}), sum(low) / n, top[0], sum(top[:3]), sum(top[:5]), sum(hard) / n, len({w for w, b in zip(words, hard, strict=True) if b}), sum(hard), sum(bad),
+        1 / (1 + min(gaps)) if gaps else 0.0, sum(g <= 5 for g in gaps) / n, capitals / letters, text.count("!") / n, text.count("?") / n, masked / n, len(STRETCHED.findall(text)) / n, math.log1p(len(words)),
+    ]
+
+
+def test_features_match_brute_force(docs):
+    words = sorted({w for r in docs.select("text").collect() for w in re.findall(r"[^\W_]+", (r["text"] or "").lower())})
+    rnd = random.Random(9)
+    lexicon = Lexicon({**{w: (rnd.randrange(3, 30), rnd.randrange(9)) for w in rnd.sample(words, 300)}, **{w[:4] + "-": (20, 3) for w in rnd.sample(words, 50)}}, 40, 60)
+    texts = [r["text"] or "" for r in docs.select("text").collect()] + ["", "!!", "You STUPID 1d10t, y o u are a f o o l!!! Sooo bad", "i d i o t you", "idiot", "x" * 100_000]
+    for t in texts:
+        assert features(t, lexicon) == pytest.approx(brute_features(t, lexicon), abs=1e-9)
+
+
+@pytest.mark.parametrize(("said", "masked", "spaced"), [("you id1ot", 1, 0), ("a$$hole b@d", 2, 0), ("y o u r e", 0, 1), ("plain words 1234", 0, 0), ("a b c", 0, 0), ("i.d.i.o.t!", 0, 1)])
+def test_obfuscation(said, masked, spaced):
+    assert (len(OBFUSCATED.findall(said)), len(SPACED.findall(said))) == (masked, spaced)
+
+
+def area(scores, labels):
+    """The area under the curve: how often a toxic row scores above another, ties by half."""
+    a, b = np.array([s for s, y in zip(scores, labels, strict=True) if y]), np.array([s for s, y in zip(scores, labels, strict=True) if not y])
+    return float(((a[:, None] > b[None, :]) + 0.5 * (a[:, None] == b[None, :])).mean())
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """The given labels at the next larger size: rows that were not learned from, for each of the five folds in turn left out."""
+    sf = "/root/testdata/sf0.01"
+    docs = with_checkpoints(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    scores, truth = [], []
+    for out in (0, 2):
+        model = fit_toxicity(docs, labels.where(training_fold(5, out)))
+        rows = score_toxicity(docs.where(held_out(5, out)), model).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+        scores += [r["score"] for r in rows]
+        truth += [r["toxic"] for r in rows]
+    assert sum(truth) >= 10 and area(scores, truth) > 0.9
+
+
+def test_drop_toxic_odd_rows(spark, make):
+    rows = [(i, "you stupid idiot, you worthless scum" if i % 3 == 0 else "a fine day in the green park with friends") for i in range(200)]
+    model = fit_toxicity(make(rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    odd = [*ODD, (40, rows[0][1]), (40, rows[0][1]), (41, rows[1][1]), (41, rows[1][1]), (42, rows[1][1] + " " + "word " * 200_000)]
+    kept = drop_toxic(make(odd), model)
+    assert kept.columns == make(odd).columns
+    assert sorted((r["doc_id"] or -1, len(r["text"] or "")) for r in kept.collect()) == sorted((i or -1, len(t or "")) for i, t in odd if i != 40)
+    assert drop_toxic(make([]), model).count() == 0
+
+
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog while seven wizards brew a strong potion"), (2, "short item"), (3, None), (4, " "), (5, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen")]
 
 
@@ -176,6 +297,30 @@ def test_search_recall_by_length_and_edits(size, kinds):
     assert found == len(items) if size >= 60 else found >= 0.99 * len(items)
 
 
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.lists(st.integers(1, 4), max_size=16), st.integers(0, 5))
+@settings(max_examples=200, deadline=None)
+def test_long_fitting_distance(item, text, most):
+    item, text = np.array(item), np.array(text, dtype=np.int64)
+    d, _, end = fitting_distance(item, text)
+    got = long_fitting_distance(item, text, most)
+    if d > most:
+        assert got is None
+    else:
+        assert (got[0], got[2]) == (d, end) and fitting_distance(item, text[got[1] : got[2]])[0] == d
+
+
+def test_long_items_and_texts(spark, make):
+    """An item of 50,000 words with edits here and there, among many short ones, in a text of some megabytes."""
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(30_000)}" for _ in range(50_000)]
+    items = spark.createDataFrame([(0, " ".join(words)), *((i, " ".join(f"s{rnd.randrange(500)}" for _ in range(20))) for i in range(1, 2000))], "item_id long, text string")
+    near = [f"x{i}" if i % 400 == 50 else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(["before"] * 3000 + near + ["after"] * 3000)), (2, "other words " * 300_000), (3, " ".join(words[:25_000]))]
+    got = [(r["doc_id"], r["item_id"], r["distance"], r["start_word"], r["end_word"]) for r in find_items(make(rows), items).collect()]
+    assert got == [(1, 0, 125, 3000, 53_000)]
+    assert sorted(r["doc_id"] for r in drop_contaminated(make(rows), items).collect()) == [2, 3]
+
+
 def test_find_items_matches_brute_force(spark, docs, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]) for r in find_items(docs, bench).collect()}
