@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import bigrams, filter_key
+from tessera.functions.text import bigrams, filter_key, nfc
 from tessera.operators.dense import dot
-from tessera.operators.lexical import PLACES, bm25_ranking, local_scores, top, z_score
+from tessera.operators.lexical import PLACES, asked_terms, local_scores, saturation, top, z_score
+from tessera.session import broadcast_if_small, with_checkpoints
 
 RRF_K, CAP = 60, 2
 EXPAND_DOCS, EXPAND_CHUNKS, COMPARE_DOCS = 2, 5, 3
@@ -27,12 +29,24 @@ def rrf(rankings: list[DataFrame], k: int = RRF_K, limit: int | None = None) ->
 
 
 def metadata_filter(chunks: DataFrame, filters: dict[str, str], metadata: str = "metadata") -> DataFrame:
-    """Chunks whose metadata equal every filter; a missing key fails."""
+    """Chunks whose metadata equal every filter, both sides in NFC; a missing key fails."""
     for key, value in filters.items():
-        chunks = chunks.where(F.try_element_at(F.col(metadata), F.lit(key)) == value)
+        chunks = chunks.where(nfc(F.try_element_at(F.col(metadata), F.lit(key))) == unicodedata.normalize("NFC", value))
     return chunks
 
 
+def resolved(filters: dict[str, str], chunks: DataFrame, metadata: str = "metadata") -> dict[str, str]:
+    """filters with their values resolved against those that chunks have; the driver gets one row for each filter."""
+    if not filters:
+        return {}
+    spark = chunks.sparkSession
+    keys = F.explode(F.array(*map(F.lit, filters)))
+    known = chunks.select(keys.alias("key"), metadata).select("key", nfc(F.try_element_at(F.col(metadata), F.col("key"))).alias("value")).where("value is not null").distinct()
+    wanted = spark.createDataFrame([(0, k, unicodedata.normalize("NFC", v)) for k, v in filters.items()], "q_id int, key string, value string")
+    found = resolve_filters(wanted, known)
+    return {r["key"]: r["value"] for r in found.collect()}
+
+
 def resolve_filters(filters: DataFrame, values: DataFrame) -> DataFrame:
     """filters (q_id, key, value) with value replaced by the only known value (key, value) whose key contains its own.
 
@@ -64,30 +78,34 @@ def first_docs(candidates: DataFrame, n: int) -> DataFrame:
     return firsts.withColumn("doc_rank", F.row_number().over(Window.partitionBy("q_id").orderBy("first_rank"))).where(F.col("doc_rank") <= n)
 
 
-def within_documents(texts: DataFrame, members: DataFrame, index: DataFrame) -> DataFrame:
-    """BM25 of each (q_id, doc_id, question) among the document's own chunks (doc_id, chunk_no), with the index's weights.
+def within_documents(texts: DataFrame, chunks: DataFrame, statistics: DataFrame) -> DataFrame:
+    """BM25 of each (q_id, doc_id, question) among the document's own chunks (doc_id, chunk_no, text).
 
-    The grams of the questions are joined to postings and then to members, so only asked grams are read.
+    statistics is that of lexical.question_statistics() over all chunks, for the bigrams of these questions.
     """
-    grams = texts.select("q_id", "doc_id", F.explode(F.array_distinct(bigrams(F.col("question")))).alias("gram"))
-    own = index.join(members.select("doc_id", "chunk_no"), "chunk_no")
-    scored = own.join(grams, ["doc_id", "gram"]).groupBy("q_id", "doc_id", "chunk_no").agg(F.sum("weight").alias("score")).where("score > 0")
+    rows = chunks.select("doc_id", "chunk_no", "text").join(texts.select("q_id", "doc_id", "question"), "doc_id")
+    terms = asked_terms(rows).join(broadcast_if_small(statistics, 24), "gram")
+    weight = F.col("idf") * saturation(F.col("tf"), F.col("len"), F.col("mean"))
+    scored = terms.groupBy("q_id", "doc_id", "chunk_no").agg(F.sum(weight).alias("score")).where("score > 0")
     order = Window.partitionBy("q_id", "doc_id").orderBy(F.round("score", PLACES).desc(), "chunk_no")
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def expand_candidates(candidates: DataFrame, questions: DataFrame, members: DataFrame, index: DataFrame, projects: DataFrame, count: int = EXPAND_CHUNKS, docs: int = EXPAND_DOCS) -> DataFrame:
+def expand_candidates(candidates: DataFrame, questions: DataFrame, chunks: DataFrame, statistics: DataFrame, projects: DataFrame, count: int = EXPAND_CHUNKS, docs: int = EXPAND_DOCS, aspects: bool = False) -> DataFrame:
     """Candidates (q_id, chunk_no, doc_id, rank), then up to count unseen chunks of each of the first docs documents.
 
-    The added chunks are the document's best for the question less its project words; expanded marks them. An expansion
-    text in questions (column aspect), where not null, takes the residual question's place.
+    The added chunks (of chunks: doc_id, chunk_no, text) are the document's best for the question less its project words;
+    expanded marks them. With aspects, a question of several sentences is replaced by the one that has least in common with
+    the document's first candidate.
     """
-    first = first_docs(candidates, docs).join(questions, "q_id").join(projects.select("doc_id", "project"), "doc_id", "left")
+    first = first_docs(candidates, docs).join(questions.select("q_id", "question"), "q_id").join(projects.select("doc_id", "project"), "doc_id", "left")
     rest = residual_question(F.col("question"), F.coalesce("project", F.lit("")))
-    if "aspect" in questions.columns:
-        rest = F.coalesce("aspect", rest)
+    if aspects:
+        met = candidates.select("q_id", "doc_id", F.col("rank").alias("first_rank"), "chunk_no").join(chunks.select("chunk_no", F.col("text").alias("met")), "chunk_no").drop("chunk_no")
+        first = first.join(met, ["q_id", "doc_id", "first_rank"], "left")
+        rest = F.coalesce(aspect_sentence(F.col("question"), F.coalesce("met", F.lit(""))), rest)
     asked = first.select("q_id", "doc_id", "doc_rank", rest.alias("question"))
-    best = within_documents(asked, members, index).join(candidates.select("q_id", "chunk_no"), ["q_id", "chunk_no"], "left_anti")
+    best = within_documents(asked, chunks, statistics).join(candidates.select("q_id", "chunk_no"), ["q_id", "chunk_no"], "left_anti")
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("q_id", "doc_id").orderBy("rank"))).where(F.col("n") <= count)
     last = candidates.groupBy("q_id").agg(F.max("rank").alias("last"))
     added = best.join(asked.select("q_id", "doc_id", "doc_rank"), ["q_id", "doc_id"]).join(last, "q_id")
@@ -167,13 +185,17 @@ def name_grams(names: DataFrame, share: float = 0.05) -> DataFrame:
     return grams.join(df.select("gram"), "gram")
 
 
-def named_docs(questions: DataFrame, ranked: DataFrame, own: DataFrame) -> DataFrame:
-    """q_id, doc_id, named_rank, strict: candidate documents whose own name bigrams a question has, in candidate order."""
-    docs = ranked.groupBy("q_id", "doc_id").agg(F.min("rank").alias("rank"))
-    asked = questions.select("q_id", F.array_distinct(bigrams(F.col("question"))).alias("asked"))
-    counted = docs.join(own, "doc_id").join(asked, "q_id").groupBy("q_id", "doc_id").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("size"), F.count_if(F.array_contains("asked", F.col("gram"))).alias("hit"))
+def named_docs(questions: DataFrame, ranked: DataFrame | None, own: DataFrame) -> DataFrame:
+    """q_id, doc_id, named_rank, strict: candidate documents whose own name bigrams a question has, in candidate order.
+
+    Questions and names meet by the bigrams that they share. Without ranked, all documents are candidates, in order of doc_id.
+    """
+    asked = questions.select("q_id", F.explode(F.array_distinct(bigrams(F.col("question")))).alias("gram"))
+    hits = own.join(asked, "gram").groupBy("q_id", "doc_id").agg(F.count(F.lit(1)).alias("hit")).where("hit >= 3")
+    counted = hits.join(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("size")), "doc_id")
+    counted = counted.withColumn("rank", F.col("doc_id")) if ranked is None else counted.join(ranked.groupBy("q_id", "doc_id").agg(F.min("rank").alias("rank")), ["q_id", "doc_id"])
     strict = F.col("hit") / F.col("size") >= 0.5
-    named = counted.where((F.col("hit") >= 3) & (strict | (F.col("hit") >= 5))).withColumn("strict", strict)
+    named = counted.where(strict | (F.col("hit") >= 5)).withColumn("strict", strict)
     return named.withColumn("named_rank", F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))).select("q_id", "doc_id", "named_rank", "strict")
 
 
@@ -191,8 +213,11 @@ def aspect_sentence(question: Column, matched: Column) -> Column:
 
 
 def aspect_slot(ranked: DataFrame, questions: DataFrame) -> DataFrame:
-    """Where a question has an aspect, the first document's candidates go to the front, reranked by it."""
-    top_hit = ranked.where("rank = 1").select("q_id", F.col("doc_id").alias("top_doc"), F.col("text").alias("top_text"))
+    """Where a question has an aspect, the first document's candidates go to the front, reranked by it.
+
+    text is what is reranked; the aspect is told apart from the chunk itself, in body where that column is there.
+    """
+    top_hit = ranked.where("rank = 1").select("q_id", F.col("doc_id").alias("top_doc"), F.col("body" if "body" in ranked.columns else "text").alias("top_text"))
     aspects = questions.join(top_hit, "q_id").select("q_id", "top_doc", aspect_sentence(F.col("question"), F.col("top_text")).alias("question")).where("question is not null")
     same = ranked.join(aspects, "q_id").where(F.col("doc_id") == F.col("top_doc"))
     moved = lexical_rerank(same.select("q_id", "chunk_no", "text", "score", "rank"), aspects).select("q_id", "chunk_no", F.col("rank").alias("front"))
@@ -273,17 +298,21 @@ def cosines_within(texts: DataFrame, members: DataFrame, vectors: DataFrame) ->
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def reselection_queues(docs: DataFrame, members: DataFrame, index: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], full: bool = False) -> tuple[DataFrame, DataFrame]:
+def reselection_queues(docs: DataFrame, chunks: DataFrame, statistics: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], full: bool = False) -> tuple[DataFrame, DataFrame]:
     """The queues of documents (q_id, doc_id, question, project), and the cosines of their chunks with the question itself.
 
-    BM25 and cosine of the residual question are fused, with full those of the question too.
+    chunks has doc_id, chunk_no and text of all eligible chunks, of which those of the documents are read. BM25 and cosine
+    of the residual question are fused, with full those of the question too.
     """
+    docs = docs.select("q_id", "doc_id", "question", "project")
+    own = chunks.select("doc_id", "chunk_no", "text").join(broadcast_if_small(docs.select("doc_id").distinct(), 64), "doc_id", "left_semi")
+    own = with_checkpoints(own).checkpoint()  # the chunks of a few documents for each question
     rest = docs.select("q_id", "doc_id", residual_question(F.col("question"), F.coalesce("project", F.lit(""))).alias("question"))
-    rest, whole = (x.select("q_id", "doc_id", "question", embed(F.col("question")).alias("embedding")).persist() for x in (rest, docs))
-    cosines = cosines_within(whole, members, vectors).persist()
-    rankings = [within_documents(rest, members, index), cosines_within(rest, members, vectors)]
+    rest, whole = (x.select("q_id", "doc_id", "question", embed(F.col("question")).alias("embedding")).checkpoint() for x in (rest, docs))
+    cosines = cosines_within(whole, own, vectors)
+    rankings = [within_documents(rest, own, statistics), cosines_within(rest, own, vectors)]
     if full:
-        rankings += [within_documents(whole, members, index), cosines]
+        rankings += [within_documents(whole, own, statistics), cosines]
     return document_queues(rankings), cosines.select("q_id", "doc_id", "chunk_no", "score")
 
 
@@ -296,8 +325,3 @@ def retrieval_signals(hits: DataFrame) -> DataFrame:
         F.countDistinct("doc_id").alias("docs"), F.avg(F.col("is_top").cast("double")).alias("top_doc_share"), F.max("score").alias("best_score"),
         (F.min_by("rerank_score", "rank") - other).alias("rerank_gap"),
     )
-
-
-def hybrid_candidates(questions: DataFrame, chunks: DataFrame, dense: list[DataFrame], pool: int = 50, bm25_k: int = 100, k: int = RRF_K) -> DataFrame:
-    """Fused pool of dense rankings and the BM25 ranking of the same questions."""
-    return rrf([*dense, bm25_ranking(questions, chunks, bm25_k)], k, pool)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import values as vals
-from tessera.operators import answers, chunking, dense, evaluation, ingest, lexical, retrieval
+from tessera.operators import answers, chunking, dense, evaluation, ingest, lexical, passages, retrieval
 from tessera.operators import sections as sec
+from tessera.session import broadcast_if_small, with_checkpoints
 
 #: Chunk numbers of a document lie in a range of their own, in order.
 STRIDE = 1 << 24
@@ -221,8 +222,7 @@ def bigram_tf(spark, sf):
 
 @query(f"WITH g AS (SELECT doc_id, {grams_sql('text')} AS gr FROM documents) SELECT gram, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(gr) AS gram FROM g) GROUP BY gram")
 def bigram_df(spark, sf):
-    rows = documents(spark, sf).select(F.col("doc_id").alias("chunk_no"), "text")
-    return lexical.term_frequencies(rows).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    return lexical.document_frequencies(documents(spark, sf))
 
 
 @query(f"WITH {POSTINGS} SELECT gram, cno AS chunk_no, round(w, 6) AS weight FROM post")
@@ -259,7 +259,9 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(rerank, 9)
 
 def candidates(spark, sf, n=50):
     rows = chunks(spark, sf)
-    return lexical.bm25_ranking(questions(spark, sf), rows, n).join(rows.select("chunk_no", "doc_id", "text"), "chunk_no")
+    ranked = with_checkpoints(lexical.bm25_ranking(questions(spark, sf), rows, n)).checkpoint()
+    # n rows a question; the chunks are read once more for their texts
+    return rows.select("chunk_no", "doc_id", "text").join(broadcast_if_small(ranked, 32), "chunk_no").checkpoint()
 
 
 @query(f"WITH {LOCAL} SELECT q_id, cno AS chunk_no, round(lexical, 6) AS lexical FROM loc")
@@ -295,7 +297,8 @@ def dense_topk_filtered(spark, sf):
 
 @query(f"WITH {DENSE} SELECT q_id, round(max(score), 6) AS best_score FROM dn WHERE cno <> q_id GROUP BY q_id HAVING round(max(score), 9) >= 0.3")
 def min_score_gate(spark, sf):
-    scores = dense.dense_scores(vector_queries(spark, sf), vectors(spark, sf)).where("chunk_no <> q_id")
+    # each question is a vector of the table itself, so the best of the others is among the first two
+    scores = dense.dense_ranking(vector_queries(spark, sf), vectors(spark, sf), 2).where("chunk_no <> q_id")
     return dense.min_score_gate(scores, 0.3).select("q_id", places("best_score").alias("best_score"))
 
 
@@ -374,7 +377,7 @@ def projects(spark, sf):
 def expand_candidates(spark, sf):
     rows = chunks(spark, sf)
     q = questions(spark, sf)
-    out = retrieval.expand_candidates(candidates(spark, sf, 20), q, rows, lexical.postings(rows, lexical.question_grams(q)), projects(spark, sf))
+    out = retrieval.expand_candidates(candidates(spark, sf, 20), q, rows, lexical.question_statistics(rows, q), projects(spark, sf))
     return out.select("q_id", "chunk_no", "doc_id", F.col("rank").cast("long").alias("rank"), "expanded")
 
 
@@ -403,9 +406,7 @@ def named(spark, sf):
     """Every item is a candidate document whose name is its first characters."""
     q = questions(spark, sf)
     names = q.select(F.col("q_id").alias("doc_id"), F.substring("question", 1, 24).alias("name"))
-    # the candidates of a question are all items: a stated, small set
-    ranked = q.select("q_id").crossJoin(F.broadcast(names.select("doc_id"))).select("q_id", "doc_id", F.col("doc_id").alias("rank"))
-    return retrieval.named_docs(q, ranked, retrieval.name_grams(names))
+    return retrieval.named_docs(q, None, retrieval.name_grams(names))
 
 
 @query(f"WITH {NAMED} SELECT q_id, doc_id, named_rank, strict FROM nr")
@@ -453,12 +454,11 @@ def hashed_bigrams(texts: list[str]) -> list[list[float]]:
 @query()
 def within_doc_reselect(spark, sf):
     q, rows = questions(spark, sf), chunks(spark, sf)
-    hits = retrieval.cap_per_doc(candidates(spark, sf), 2, 5).persist()  # five rows a question, read by each queue
-    index = lexical.postings(rows, lexical.question_grams(q))
+    hits = retrieval.cap_per_doc(candidates(spark, sf), 2, 5).checkpoint()  # five rows a question, read by each queue
     docs = hits.select("q_id", "doc_id").distinct().join(q, "q_id")
     embed = dense.embedder(hashed_bigrams)
-    own = rows.join(docs.select("doc_id"), "doc_id", "left_semi")
-    queues, _ = retrieval.reselection_queues(docs.join(projects(spark, sf), "doc_id"), own, index, own.select("chunk_no", embed(F.col("text")).alias("embedding")), embed, True)
+    own = rows.join(broadcast_if_small(docs.select("doc_id").distinct(), 16), "doc_id", "left_semi")
+    queues, _ = retrieval.reselection_queues(docs.join(projects(spark, sf), "doc_id"), own, lexical.question_statistics(rows, q), own.select("chunk_no", embed(F.col("text")).alias("embedding")), embed, True)
     return retrieval.reselect_within_docs(hits.withColumn("rank", F.col("hit_no")), queues).select("q_id", "doc_id", "chunk_no", F.col("rank").cast("long").alias("rank"), F.col("within_doc_rank").cast("long").alias("within_doc_rank"))
 
 
@@ -552,8 +552,7 @@ rec AS (SELECT b.item_id AS "index", g.item_id IS NOT NULL AS answerable, CASE W
 def records(spark, sf):
     q = questions(spark, sf)
     docs = documents(spark, sf)
-    # an item is short, so the passage search is one pass over the documents for a stated, small set of items
-    gold = docs.crossJoin(F.broadcast(q)).where(F.contains("text", "question")).groupBy("q_id").agg(F.collect_set("doc_id").alias("expected"))
+    gold = passages.containing(docs, q).groupBy("q_id").agg(F.collect_set("doc_id").alias("expected"))
     hits = candidates(spark, sf, 5).groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("sources"))
     rows = q.join(gold, "q_id", "left").join(hits, "q_id", "left").withColumn("answerable", F.col("expected").isNotNull())
     item = F.col("q_id")

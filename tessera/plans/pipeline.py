@@ -19,7 +19,7 @@ from tessera.functions.text import clean, document_key, nfc
 from tessera.operators import answers, chunking, dense, evaluation, ingest, lexical, retrieval
 from tessera.operators import sections as sec
 from tessera.plans.profile import Profile, pool_size
-from tessera.session import with_checkpoints
+from tessera.session import broadcast_if_small, with_checkpoints
 from tessera.sources import files
 from tessera.sources.binary_documents import read_texts
 from tessera.sources.tables import drop_contents, number_tables
@@ -47,13 +47,15 @@ def parse(spark: SparkSession, manifest: str, folder: str, limit: int | None = N
 
 @dataclass
 class Index:
+    """Chunks, their vectors, and the bigrams of the texts that BM25 searches: tables that are read many times, see save()."""
+
     chunks: DataFrame
     vectors: DataFrame
-    postings: DataFrame
+    grams: DataFrame
 
 
 def build(documents: DataFrame, profile: Profile, embed: Callable[[list[str]], list[list[float]]]) -> Index:
-    """Chunks with global numbers and the tables that they overlap, their vectors, and BM25 postings of the chunks behind their project names.
+    """Chunks with global numbers and the tables that they overlap, their vectors, and the bigrams of the chunks behind their project names.
 
     documents has pos, an integer that orders the documents; chunk numbers follow it.
     """
@@ -74,58 +76,83 @@ def build(documents: DataFrame, profile: Profile, embed: Callable[[list[str]], l
     else:
         vectors = chunks.select("chunk_no", vector(shown).alias("embedding"))
     indexed = chunks.withColumn("text", answers.with_project(F.col("text"), F.col("metadata"))) if profile.bm25_prefix else chunks
-    return Index(chunks, vectors, lexical.postings(indexed.select("chunk_no", "text")))
+    return Index(chunks, vectors, lexical.gram_table(indexed.select("chunk_no", "text")))
+
+
+def save(index: Index, path: str, config: dict[str, object]) -> Index:
+    """Writes an index and reads it back; config is written last, with counts and dimension, when all of it agrees."""
+    spark = index.chunks.sparkSession
+    files.write_index({"chunks": index.chunks, "vectors": index.vectors, "grams": index.grams}, path, config)
+    return load(spark, path)[0]
+
+
+def load(spark: SparkSession, path: str) -> tuple[Index, dict]:
+    tables, config = files.read_index(spark, path)
+    return Index(tables["chunks"], tables["vectors"], tables["grams"]), config
 
 
 def project_of(metadata: Column) -> Column:
     return F.concat_ws(" ", *[F.try_element_at(metadata, F.lit(k)) for k in answers.NAME_FIELDS])
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, a few rows for each question, written out so that the steps that read it do not compute it again."""
+    return with_checkpoints(df).checkpoint()
+
+
 def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callable[[list[str]], list[list[float]]], rerank: Callable | None = None, filters: dict[str, str] | None = None, rewrites: DataFrame | None = None) -> DataFrame:
     """Hits (q_id, rank, chunk_no, doc_id, chunk_id, text, metadata, section_path, tables, score, rrf_score, rerank_score) of questions.
 
-    Frames that several steps read are persisted; each has some pool of rows for a question. The order is: eligibility, rankings, gate, fusion, pool, expansion, rerank, slots, cap, top k, reselection, neighbour.
-    Reselection adds within_doc_rank; a chunk that was no hit before has its cosine with the question as its only score.
+    The order is: filters resolved, eligibility, rankings, gate, fusion, pool, expansion, rerank, slots, cap, top k, reselection,
+    neighbour. filters may name a value in part, if one value alone has that part. With rewrites (q_id, rewrite) the question
+    that reranks is all texts searched for, joined; expansion and slots go by the question itself. Reselection adds
+    within_doc_rank; a chunk that was no hit before has its cosine with the question as its only score.
     """
+    if questions.where(F.trim(F.coalesce("question", F.lit(""))) == "").limit(1).count():
+        raise ValueError("a question is blank")
     chunks = index.chunks
-    eligible = retrieval.metadata_filter(chunks, filters or {})
-    asked = answers.query_variants(questions, rewrites, profile.rewrite) if rewrites is not None else answers.query_variants(questions, questions, "off")
+    filters = retrieval.resolved(filters or {}, chunks)
+    body = retrieval.metadata_filter(chunks, filters).select("chunk_no", "doc_id", "chunk_id", "text", "metadata", "section_path", "tables")
+    eligible = body.select("chunk_no") if filters else None
+    rewritten = rewrites is not None and profile.rewrite != "off"
+    asked = answers.query_variants(questions, rewrites if rewritten else questions, profile.rewrite if rewritten else "off")
     vector = dense.embedder(embed)
-    queries = asked.select("q_id", "variant", "question", vector("question").alias("embedding")).persist()
+    queries = held(asked.select("q_id", "variant", "question", vector("question").alias("embedding")))
     first = queries.where("variant = 0")
-    own = index.vectors.join(eligible.select("chunk_no"), "chunk_no", "left_semi")
-    cosine = dense.dense_scores(first.select("q_id", "embedding"), own).persist()
-    open_ = dense.min_score_gate(cosine, profile.min_score).select("q_id")
+    own = index.vectors.join(eligible, "chunk_no", "left_semi") if filters else index.vectors
     pool, rankings = pool_size(profile), []
-    for v in (0, 1) if rewrites is not None and profile.rewrite == "both" else (0,):
+    for v in (0, 1) if rewritten and profile.rewrite == "both" else (0,):
         part = queries.where(F.col("variant") == v)
-        rankings.append(dense.dense_ranking(part.select("q_id", "embedding"), own, profile.vector_k or pool))
+        rankings.append(held(dense.dense_ranking(part.select("q_id", "embedding"), own, profile.vector_k or pool)))
         if profile.hybrid:
-            rankings.append(lexical.bm25_ranking(part, chunks, profile.bm25_k, eligible.select("chunk_no"), index.postings))
-    fused = retrieval.rrf(rankings, profile.rrf_k or retrieval.RRF_K, pool if profile.rerank != "none" else None).join(open_, "q_id", "left_semi").persist()
-    body = chunks.select("chunk_no", "doc_id", "chunk_id", "text", "metadata", "section_path", "tables")
-    found = fused.join(body.select("chunk_no", "doc_id"), "chunk_no")
+            rankings.append(held(lexical.bm25_ranking(part, index.grams, profile.bm25_k, eligible)))
+    open_ = dense.min_score_gate(rankings[0], profile.min_score).select("q_id")
+    fused = held(retrieval.rrf(rankings, profile.rrf_k or retrieval.RRF_K, pool if profile.rerank != "none" else None).join(open_, "q_id", "left_semi"))
+    found = body.select("chunk_no", "doc_id").join(broadcast_if_small(fused, 40), "chunk_no")
     lifted = None
     names = chunks.groupBy("doc_id").agg(F.min_by("metadata", "chunk_no").alias("metadata"))
+    projects = names.select("doc_id", project_of(F.col("metadata")).alias("project"))
+    plain = lexical.question_statistics(chunks.select("chunk_no", "text"), questions) if profile.expand and profile.rerank != "none" or profile.within_doc != "off" else None
     if profile.rerank != "none":
         if profile.expand:
-            members = eligible.select("doc_id", "chunk_no")
-            projects = names.select("doc_id", project_of(F.col("metadata")).alias("project"))
-            plain = lexical.postings(chunks.select("chunk_no", "text"), lexical.question_grams(questions))
-            found = retrieval.expand_candidates(found, questions, members, plain, projects, profile.expand)
+            found = held(retrieval.expand_candidates(held(found), questions, body.select("doc_id", "chunk_no", "text"), plain, projects, profile.expand, aspects=profile.slots))
         passage = answers.with_project(F.col("text"), F.col("metadata"), F.col("section_path") if profile.rerank_section else None)
-        shown = found.select("q_id", "chunk_no", "doc_id", "rank").join(body.select("chunk_no", passage.alias("text")), "chunk_no").join(cosine, ["q_id", "chunk_no"])
+        scored = dense.cosines(found.select("q_id", "chunk_no"), first, own)
+        texts = body.select("chunk_no", F.col("text").alias("body"), passage.alias("text"))
+        shown = texts.join(broadcast_if_small(found.select("q_id", "chunk_no", "doc_id", "rank"), 40), "chunk_no").join(scored, ["q_id", "chunk_no"])
+        by = queries.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("variant", "question"))), lambda x: x["question"]), " ").alias("question"))
         use_model = profile.rerank == "model" and rerank is not None
-        ranked = (retrieval.model_rerank(shown, questions, rerank) if use_model else retrieval.lexical_rerank(shown, questions)).persist()
+        ranked = held(retrieval.model_rerank(shown, by, rerank) if use_model else retrieval.lexical_rerank(held(shown), by))
         if profile.slots:
-            ranked = retrieval.aspect_slot(ranked, questions).persist()
+            ranked = held(retrieval.aspect_slot(ranked, questions))
         grams = retrieval.name_grams(names.select("doc_id", F.coalesce(F.try_element_at("metadata", F.lit("사업명")), F.lit("")).alias("name")))
-        named = retrieval.named_docs(questions, ranked, grams).persist()
+        named = held(retrieval.named_docs(questions, ranked, grams))
         if profile.slots:
-            few = named.where(F.col("named_rank") <= retrieval.COMPARE_DOCS)
-            text = body.select("chunk_no", "doc_id", passage.alias("text")).join(eligible.select("chunk_no"), "chunk_no", "left_semi")
-            whole = few.select("q_id", "doc_id").join(text, "doc_id").join(cosine, ["q_id", "chunk_no"])
-            ranked = retrieval.compare_slot(ranked, named, whole.select("q_id", "chunk_no", "doc_id", "text", "score"), questions).join(body.select("chunk_no", "doc_id"), "chunk_no")
+            few = named.where(F.col("named_rank") <= retrieval.COMPARE_DOCS).select("q_id", "doc_id")
+            whole = held(body.select("chunk_no", "doc_id", passage.alias("text")).join(broadcast_if_small(few, 64), "doc_id"))
+            whole = whole.join(dense.cosines(whole.select("q_id", "chunk_no"), first, own), ["q_id", "chunk_no"])
+            ranked = retrieval.compare_slot(ranked, named, whole.select("q_id", "chunk_no", "doc_id", "text", "score"), questions)
+            ranked = body.select("chunk_no", "doc_id").join(broadcast_if_small(held(ranked), 40), "chunk_no")
         if profile.uncap_named:
             lifted = retrieval.uncapped_questions(named)
         found = ranked
@@ -134,16 +161,15 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
     if profile.dedup:
         signatures = retrieval.document_signatures(chunks)
         top = retrieval.select_without_repeats(found.join(body.select("chunk_no", "text"), "chunk_no"), signatures, profile.max_per_doc, profile.top_k, lifted).select("q_id", "chunk_no", "doc_id", F.col("hit_no").alias("rank"))
+        top = top.join(found.select("q_id", "chunk_no", *keep), ["q_id", "chunk_no"]) if keep else top
     else:
         top = retrieval.cap_per_doc(found, profile.max_per_doc, profile.top_k, lifted).drop("rank").withColumnRenamed("hit_no", "rank")
-    hits = top.join(cosine, ["q_id", "chunk_no"], "left").join(fused.select("q_id", "chunk_no", "rrf_score"), ["q_id", "chunk_no"], "left").withColumn("neighbor", F.lit(False))
+    top = held(top)
+    hits = top.join(dense.cosines(top, first, own), ["q_id", "chunk_no"], "left").join(fused.select("q_id", "chunk_no", "rrf_score"), ["q_id", "chunk_no"], "left").withColumn("neighbor", F.lit(False))
     if profile.within_doc != "off":
-        with_checkpoints(hits.sparkSession)
-        hits = hits.checkpoint()  # a few rows a question; the plans of the queues repeat theirs
-        projects = names.select("doc_id", project_of(F.col("metadata")).alias("project"))
+        hits = held(hits)
         docs = hits.select("q_id", "doc_id").distinct().join(questions.select("q_id", "question"), "q_id").join(projects, "doc_id")
-        plain = lexical.postings(chunks.select("chunk_no", "text"), lexical.question_grams(questions))
-        queues, fresh = retrieval.reselection_queues(docs, eligible.select("doc_id", "chunk_no"), plain, own, vector, profile.within_doc == "residual+full")
+        queues, fresh = retrieval.reselection_queues(docs, body, plain, own, vector, profile.within_doc == "residual+full")
         if profile.dedup:
             picked = retrieval.reselect_without_repeats(hits, queues.join(body.select("chunk_no", "text"), "chunk_no"))
         else:
@@ -155,11 +181,15 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
         last = top.groupBy("q_id").agg(F.max("rank").alias("last"))
         added = retrieval.next_chunk(hits, chunks).join(last, "q_id").withColumn("rank", F.col("last") + 1).drop("last")
         hits = hits.unionByName(added, allowMissingColumns=True)
-    return hits.join(body.drop("doc_id"), "chunk_no")
+    columns = chunks.select(body.columns).drop("doc_id")
+    return columns.join(broadcast_if_small(held(hits), 128), "chunk_no")
 
 
 def ask(questions: DataFrame, hits: DataFrame, profile: Profile, generate: Callable[[list[str]], list[tuple[str, bool]]]) -> DataFrame:
-    """q_id, question, answer, status, sources; a question without hits is answered without the model."""
+    """q_id, question, answer, status, sources; a question without hits is answered without the model.
+
+    Profiles with signals have a struct of them besides, null for questions without hits.
+    """
     tables = F.col("tables") if "tables" in hits.columns else F.array().cast(chunking.TABLES)
     headers = F.transform(tables, lambda t: F.struct(t["table_id"].alias("table_id"), t["header_text"].alias("header_text")))
     sources = answers.number_citations(hits).withColumn("table_headers", headers)
@@ -167,6 +197,10 @@ def ask(questions: DataFrame, hits: DataFrame, profile: Profile, generate: Calla
     said = answers.generate(prompts, generate)
     listed = sources.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("citation", "doc_id", "chunk_id", "score", "text"))).alias("sources"))
     rows = questions.select("q_id", "question").join(said.select("q_id", "text", "truncated", "error"), "q_id", "left").join(listed, "q_id", "left").withColumn("n_sources", F.size("sources"))
+    if profile.signals:
+        hits = hits if "rerank_score" in hits.columns else hits.withColumn("rerank_score", F.lit(None).cast("double"))
+        signs = retrieval.retrieval_signals(hits)
+        rows = rows.join(signs.select("q_id", F.struct(*[c for c in signs.columns if c != "q_id"]).alias("signals")), "q_id", "left")
     return answers.finish_answers(rows).withColumn("status", F.when(F.col("error").isNotNull(), "api_error").otherwise(F.col("status")))
 
 

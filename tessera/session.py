@@ -8,7 +8,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SENT: set[str] = set()
 
@@ -27,12 +28,13 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """spark, after a checkpoint folder is sure to be set.
+def with_checkpoints(df: DataFrame) -> DataFrame:
+    """df, after a checkpoint folder is sure to be set.
 
     It is the one that the cluster names in spark.checkpoint.dir. A local master has a temporary one where none is named,
     which goes with the process; on a cluster that is an error, as executors would not share it.
     """
+    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,4 +44,16 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
             folder = tempfile.mkdtemp(prefix="tessera-checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return spark
+    return df
+
+
+#: Bytes up to which a side of a join is broadcast.
+SMALL = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df with a hint to broadcast it if its rows, of about so many bytes each, are few; else as it is, for Spark to shuffle.
+
+    Counts the rows, so df should be cheap to read twice.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL else df

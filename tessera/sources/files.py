@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import nfc
+from tessera.operators.dense import check_vectors
 from tessera.operators.ingest import NAME
 
 DOCUMENTS = T.StructType([
@@ -46,21 +47,30 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_index(chunks: DataFrame, vectors: DataFrame, config: DataFrame, path: str) -> None:
-    """Chunks and vectors first; the config is the mark that the index is whole."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    config.coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
+def write_index(tables: dict[str, DataFrame], path: str, config: dict[str, object]) -> None:
+    """The tables of an index (chunks, vectors and others); the config is written last, as the mark that the index is whole.
 
+    It gets the number of chunks and the dimension of the vectors, after each vector is found to have it and a finite length.
+    """
+    spark = tables["chunks"].sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    bad = check_vectors(vectors).select("chunk_no").limit(1).collect()
+    if bad:
+        raise ValueError(f"the vector of chunk {bad[0]['chunk_no']} has another dimension, or no finite length")
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dimension")).first()
+    spark.createDataFrame([{**config, "chunk_count": size["n"], "dimension": size["dimension"] or 0}]).coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    """Chunks, vectors and config; counts and dimension must agree."""
-    chunks, vectors = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors")
+
+def read_index(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    """The tables of an index and its config; counts and dimension must agree."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "vectors", "grams")}
     config = spark.read.parquet(f"{path}/config").first().asDict()
-    seen = vectors.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
-    if not (chunks.count() == seen["n"] == config["chunk_count"] and seen["lo"] == seen["hi"] == config["dimension"]):
+    seen = tables["vectors"].agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min(F.size("embedding")), F.lit(0)).alias("lo"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("hi")).first()
+    if not (tables["chunks"].count() == tables["grams"].count() == seen["n"] == config["chunk_count"] and seen["lo"] == seen["hi"] == config["dimension"]):
         raise ValueError("chunks, vectors and config of the index do not agree")
-    return chunks, vectors, config
+    return tables, config
 
 
 def latest_by_key(rows: DataFrame, key: str = "key", order: str = "at") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bigrams_py
-from tessera.operators import evaluation
+from tessera.operators import evaluation, lexical
 from tessera.plans import pipeline, profile
 from tessera.streaming.ingest import stream_chunks
 
@@ -25,7 +25,7 @@ def embed(texts):
 
 
 def stored(index):
-    return pipeline.Index(index.chunks.cache(), index.vectors.cache(), index.postings.cache())
+    return pipeline.Index(index.chunks.cache(), index.vectors.cache(), index.grams.cache())
 
 
 @pytest.fixture(scope="module")
@@ -126,17 +126,17 @@ def test_table_headers(spark):
 def expected_queue(index, question, project, full):
     """The fused queue of a document by plain Python, over the whole index's BM25 weights and vectors."""
     weights, rest = {}, " ".join(w for w in question.split() if sum(g in bigrams_py(project) for g in bigrams_py(w)) < 0.5 * len(bigrams_py(w))) or question
-    for r in index.postings.collect():
+    for r in lexical.postings(index.chunks.select("chunk_no", "text")).collect():
         weights[r["chunk_no"], r["gram"]] = r["weight"]
     vectors = {r["chunk_no"]: r["embedding"] for r in index.vectors.collect()}
     numbers = sorted(r["chunk_no"] for r in index.chunks.where(F.col("metadata")["사업명"] == "도서관 시스템 구축").collect())
     fused = {}
     for text in (rest, question) if full else (rest,):
         v = embed([text])[0]
-        lexical = {n: sum(weights.get((n, g), 0.0) for g in set(bigrams_py(text))) for n in numbers}
+        words = {n: sum(weights.get((n, g), 0.0) for g in set(bigrams_py(text))) for n in numbers}
         cosine = {n: sum(a * b for a, b in zip(v, vectors[n], strict=True)) for n in numbers}
-        for ranked in ([n for n in numbers if lexical[n] > 0], numbers):
-            score = lexical if ranked is not numbers else cosine
+        for ranked in ([n for n in numbers if words[n] > 0], numbers):
+            score = words if ranked is not numbers else cosine
             for i, n in enumerate(sorted(ranked, key=lambda n: (-round(score[n], 9), n)), 1):
                 fused[n] = fused.get(n, 0.0) + 1 / (60 + i)
     return sorted(fused, key=lambda n: -round(fused[n], 12))

@@ -2,6 +2,7 @@ import struct
 
 import pytest
 
+from tessera.operators import lexical
 from tessera.plans import profile, tracking
 from tessera.sources import binary_documents as bd
 from tessera.sources import files, tables
@@ -61,7 +62,7 @@ def test_contents_go():
 def test_manifest(spark, tmp_path):
     (tmp_path / "m.csv").write_text("﻿파일명,사업명\na.hwp,가\n,\n", encoding="utf-8")
     rows = files.read_manifest(spark, str(tmp_path / "m.csv")).orderBy("pos").collect()
-    assert [r["filename"] for r in rows] == ["a.hwp", ""] or [r["filename"] for r in rows] == ["a.hwp"]
+    assert [r["filename"] for r in rows] == ["a.hwp", ""]
     (tmp_path / "n.csv").write_text("x\n1\n")
     with pytest.raises(ValueError):
         files.read_manifest(spark, str(tmp_path / "n.csv"))
@@ -78,12 +79,16 @@ def test_files_and_errors(spark, tmp_path):
 def test_index_round_trip(spark, tmp_path):
     chunks = spark.createDataFrame([(0, "a"), (1, "b")], "chunk_no long, text string")
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "chunk_no long, embedding array<float>")
-    good, bad = ({"chunk_count": n, "dimension": 2} for n in (2, 3))
-    files.write_index(chunks, vectors, spark.createDataFrame([good]), str(tmp_path / "i"))
-    assert files.read_index(spark, str(tmp_path / "i"))[2] == good
-    files.write_index(chunks, vectors, spark.createDataFrame([bad]), str(tmp_path / "j"))
-    with pytest.raises(ValueError):
-        files.read_index(spark, str(tmp_path / "j"))
+    files.write_index({"chunks": chunks, "vectors": vectors, "grams": lexical.gram_table(chunks)}, str(tmp_path / "i"), {"strategy": "fixed"})
+    tables_, config = files.read_index(spark, str(tmp_path / "i"))
+    assert config == {"strategy": "fixed", "chunk_count": 2, "dimension": 2} and tables_["grams"].count() == 2
+    for bad in ([(0, [1.0, 0.0]), (1, [0.0, 1.0, 0.0])], [(0, [1.0, 0.0]), (1, [0.0, 0.0])]):
+        wrong = spark.createDataFrame(bad, "chunk_no long, embedding array<float>")
+        with pytest.raises(ValueError, match="chunk"):
+            files.write_index({"chunks": chunks, "vectors": wrong, "grams": lexical.gram_table(chunks)}, str(tmp_path / "j"), {})
+    files.write_index({"chunks": chunks, "vectors": vectors.limit(1), "grams": lexical.gram_table(chunks)}, str(tmp_path / "k"), {})
+    with pytest.raises(ValueError, match="agree"):
+        files.read_index(spark, str(tmp_path / "k"))
 
 
 def test_profiles():
