@@ -109,27 +109,52 @@ def walked(spark, sf, strategy, version=3):
     return chunking.chunk_documents(docs, strategy, version=version).select("doc_id", "chunk_id", "start_char", "end_char", F.sha2("text", 256).alias("sha"))
 
 
-@query()
+# The walk over a text, one chunk after the other: line ends, paragraph ends (two line ends with blanks between) and sentence
+# ends are numbered lists, and each step takes the last one that lies in the later half of its chunk. The documents have no
+# headings and no tables, so the structured walks take the same steps, and the overview strategies are fixed windows.
+BOUNDARY = """
+WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+ln AS (SELECT doc_id, i, p, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, unnest(range(1, len(ps))) AS i, unnest(ps[1:len(ps) - 1]) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM t))),
+lk AS (SELECT doc_id, e, regexp_matches(p, '^[ \\t]*\\r?$') AS linked, lag(e) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM ln),
+nl AS (SELECT doc_id, list(e) AS ends, coalesce(list({'e': e, 'b': before}) FILTER (WHERE linked AND before IS NOT NULL), []) AS paras FROM lk GROUP BY doc_id),
+sp AS (SELECT doc_id, i, m, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p
+       FROM (SELECT doc_id, regexp_extract_all(text, '[.!?。！？]\\s+') AS ms, regexp_split_to_array(text, '[.!?。！？]\\s+') AS ps FROM t))),
+sn AS (SELECT doc_id, list({'e': e, 's': e - length(m)}) AS sents FROM sp GROUP BY doc_id),
+b AS (SELECT t.doc_id, n, coalesce(ends, []) AS ends, coalesce(paras, []) AS paras, coalesce(sents, []) AS sents FROM t LEFT JOIN nl ON nl.doc_id = t.doc_id LEFT JOIN sn ON sn.doc_id = t.doc_id),
+w(doc_id, no, s, e) AS (
+  SELECT doc_id, -1, 0, 0 FROM b
+  UNION ALL
+  SELECT doc_id, no + 1, a, CASE WHEN a + 1000 >= n THEN n ELSE coalesce(
+    list_max(list_transform(list_filter(paras, lambda x: x.b - 1 >= a AND x.e <= a + 1000 AND x.e >= a + 500), lambda x: x.e)),
+    list_max(list_filter(ends, lambda x: x <= a + 1000 AND x >= a + 500)),
+    list_max(list_transform(list_filter(sents, lambda x: x.s >= a AND x.s + 1 < a + 1000 AND least(x.e, a + 1000) >= a + 500), lambda x: least(x.e, a + 1000))), a + 1000) END
+  FROM (SELECT w.doc_id, no, n, ends, paras, sents, CASE WHEN no < 0 THEN 0 ELSE greatest(s + 1, e - 150) END AS a FROM w JOIN b ON b.doc_id = w.doc_id WHERE no < 0 OR e < n))
+SELECT w.doc_id, w.doc_id || ':' || no AS chunk_id, CAST(s AS INTEGER) AS start_char, CAST(e AS INTEGER) AS end_char, sha256(substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT))) AS sha
+FROM w JOIN t ON t.doc_id = w.doc_id WHERE no >= 0 AND regexp_matches(substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)), '\\S')"""
+WINDOWS = f"WITH {CHUNKS} SELECT doc_id, doc_id || ':' || no AS chunk_id, CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, sha256(text) AS sha FROM ch"
+
+
+@query(BOUNDARY)
 def chunk_boundary(spark, sf):
     return walked(spark, sf, "boundary")
 
 
-@query()
+@query(BOUNDARY)
 def chunk_structured_v2(spark, sf):
     return walked(spark, sf, "structured", 2)
 
 
-@query()
+@query(BOUNDARY)
 def chunk_structured_v3(spark, sf):
     return walked(spark, sf, "structured", 3)
 
 
-@query()
+@query(WINDOWS)
 def chunk_overview(spark, sf):
     return walked(spark, sf, "overview")
 
 
-@query()
+@query(WINDOWS)
 def chunk_overview_stable(spark, sf):
     return walked(spark, sf, "overview_stable")
 
@@ -373,7 +398,23 @@ def projects(spark, sf):
     return documents(spark, sf).select("doc_id", F.concat_ws(" ", "source", "lang").alias("project"))
 
 
-@query()
+GRAMS_OF_WORD = grams_sql("w")
+EXPAND = f"""WITH {POSTINGS}, cd AS (SELECT q_id, cno, ch.doc_id, rank FROM rk JOIN ch USING (cno) WHERE rank <= 20),
+fd AS (SELECT * FROM (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY min(rank)) AS doc_rank FROM cd GROUP BY q_id, doc_id) WHERE doc_rank <= 2),
+pr AS (SELECT doc_id, list_distinct({grams_sql("concat_ws(' ', source, lang)")}) AS own FROM documents),
+rw AS (SELECT q_id, doc_id, doc_rank, text AS question, own, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w FROM fd JOIN pr USING (doc_id) JOIN benchmark ON item_id = q_id),
+rs AS (SELECT q_id, doc_id, doc_rank, question, w, {GRAMS_OF_WORD} AS g, own FROM rw),
+rq AS (SELECT q_id, doc_id, doc_rank, any_value(question) AS question, list_distinct(flatten(coalesce(list(g) FILTER (WHERE len(list_filter(g, lambda x: list_contains(own, x))) < 0.5 * greatest(len(g), 1)), []))) AS rest,
+       count(*) FILTER (WHERE len(list_filter(g, lambda x: list_contains(own, x))) < 0.5 * greatest(len(g), 1)) AS kept FROM rs GROUP BY q_id, doc_id, doc_rank),
+ag AS (SELECT q_id, doc_id, doc_rank, unnest(CASE WHEN kept = 0 THEN list_distinct({grams_sql("question")}) ELSE rest END) AS gram FROM rq),
+ws AS (SELECT ag.q_id, ag.doc_id, doc_rank, post.cno, sum(w) AS score FROM ag JOIN post USING (gram) JOIN ch ON ch.cno = post.cno AND ch.doc_id = ag.doc_id GROUP BY ALL),
+wr AS (SELECT *, row_number() OVER (PARTITION BY q_id, doc_id ORDER BY round(score, 9) DESC, cno) AS n FROM ws WHERE score > 0 AND NOT EXISTS (SELECT 1 FROM cd WHERE cd.q_id = ws.q_id AND cd.cno = ws.cno)),
+ls AS (SELECT q_id, max(rank) AS last FROM cd GROUP BY q_id)
+SELECT q_id, cno AS chunk_no, doc_id, rank, false AS expanded FROM cd UNION ALL
+SELECT wr.q_id, cno, doc_id, last + (doc_rank - 1) * 5 + n, true FROM wr JOIN ls USING (q_id) WHERE n <= 5"""
+
+
+@query(EXPAND)
 def expand_candidates(spark, sf):
     rows = chunks(spark, sf)
     q = questions(spark, sf)
@@ -387,7 +428,19 @@ def cap_per_doc(spark, sf):
     return retrieval.cap_per_doc(candidates(spark, sf), 2, 5).select("q_id", "chunk_no", "doc_id", F.col("rank").cast("long").alias("rank"), F.col("hit_no").cast("long").alias("hit_no"))
 
 
-@query()
+SELECT_ONCE = f"""WITH RECURSIVE {POSTINGS}, dg AS (SELECT doc_id, sha256(string_agg(sha256(text), ',' ORDER BY cno)) AS sig FROM ch GROUP BY doc_id),
+sm AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS same FROM dg),
+cd AS (SELECT q_id, cno, ch.doc_id, same, sha256(ch.text) AS h, rank FROM rk JOIN ch USING (cno) JOIN sm ON sm.doc_id = ch.doc_id WHERE rank <= 50),
+wk(q_id, rank, cno, doc_id, taken, docs, good) AS (
+  SELECT DISTINCT q_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]), false FROM cd
+  UNION ALL
+  SELECT c.q_id, c.rank, c.cno, c.doc_id, CASE WHEN ok THEN list_append(taken, h) ELSE taken END, CASE WHEN ok THEN list_append(docs, same) ELSE docs END, ok
+  FROM (SELECT cd.*, taken, docs, NOT list_contains(taken, h) AND len(list_filter(docs, lambda x: x = cd.same)) < 2 AS ok FROM wk JOIN cd ON cd.q_id = wk.q_id AND cd.rank = wk.rank + 1) c),
+kp AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank) AS hit_no FROM wk WHERE good)
+SELECT q_id, cno AS chunk_no, doc_id, CAST(rank AS INTEGER) AS rank, CAST(hit_no AS INTEGER) AS hit_no FROM kp WHERE hit_no <= 5"""
+
+
+@query(SELECT_ONCE)
 def select_dedup(spark, sf):
     rows = chunks(spark, sf)
     return retrieval.select_without_repeats(candidates(spark, sf), retrieval.document_signatures(rows), 2, 5)
@@ -419,13 +472,44 @@ def uncap_named(spark, sf):
     return retrieval.uncapped_questions(named(spark, sf))
 
 
-@query()
+def local_sql(pool: str, asked: str, keys: str) -> str:
+    """CTEs fz (keys, cno, before, turn): pool (keys, cno, text, score, before) reranked with its own statistics by the bigrams asked (keys, gram)."""
+    by = ", ".join(f"p.{k} = l.{k}" for k in keys.split(", ")).replace(", ", " AND ")
+    z = lambda c: f"CASE WHEN round(stddev_pop({c}) OVER g, 12) = 0 THEN 0 ELSE ({c} - avg({c}) OVER g) / stddev_pop({c}) OVER g END"
+    return f"""pg AS (SELECT {keys}, cno, score, before, {grams_sql("text")} AS gr FROM ({pool})),
+ps AS (SELECT {keys}, count(*) AS n, CASE WHEN avg(len(gr)) = 0 THEN 1 ELSE avg(len(gr)) END AS mean FROM pg GROUP BY {keys}),
+pt AS (SELECT {keys}, cno, gram, any_value(len) AS len, count(*) AS tf FROM (SELECT {keys}, cno, len(gr) AS len, unnest(gr) AS gram FROM pg) JOIN ({asked}) USING ({keys}, gram) GROUP BY {keys}, cno, gram),
+pw AS (SELECT {keys}, cno, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS lex FROM (SELECT *, count(*) OVER (PARTITION BY {keys}, gram) AS df FROM pt) JOIN ps USING ({keys}) GROUP BY {keys}, cno),
+pl AS (SELECT p.* EXCLUDE (gr), coalesce(lex, 0) AS lex FROM pg p LEFT JOIN pw l ON {by} AND p.cno = l.cno),
+pz AS (SELECT *, {z("score")} + {z("lex")} AS rerank FROM pl WINDOW g AS (PARTITION BY {keys})),
+fz AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(rerank, 9) DESC, before) AS turn FROM pz)"""
+
+
+ASPECT = f"""WITH {POSTINGS}, cd AS (SELECT q_id, cno, ch.doc_id, ch.text, score, rank FROM rk JOIN ch USING (cno) WHERE rank <= 50),
+tp AS (SELECT q_id, doc_id AS top_doc, list_distinct({grams_sql("text")}) AS own FROM cd WHERE rank = 1),
+sq AS (SELECT q_id, top_doc, own, list_filter(list_transform(string_split(regexp_replace(regexp_replace(b.text, '([?？.!])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM tp JOIN benchmark b ON item_id = q_id),
+su AS (SELECT q_id, top_doc, own, i, parts[i] AS s FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM sq WHERE len(parts) >= 2)),
+sv AS (SELECT q_id, top_doc, s, row_number() OVER (PARTITION BY q_id ORDER BY len(list_filter(g, lambda x: list_contains(own, x))) / greatest(len(g), 1), i) AS nth FROM (SELECT *, {grams_sql("s")} AS g FROM su)),
+ap AS (SELECT q_id, top_doc, s FROM sv WHERE nth = 1),
+{local_sql("SELECT cd.q_id, cno, text, score, rank AS before FROM cd JOIN ap ON ap.q_id = cd.q_id AND cd.doc_id = ap.top_doc", f"SELECT DISTINCT q_id, unnest({grams_sql('s')}) AS gram FROM ap", "q_id")}
+SELECT cd.q_id, cd.cno AS chunk_no, CAST(row_number() OVER (PARTITION BY cd.q_id ORDER BY turn NULLS LAST, rank) AS INTEGER) AS rank FROM cd LEFT JOIN fz ON fz.q_id = cd.q_id AND fz.cno = cd.cno"""
+
+
+@query(ASPECT)
 def aspect_slot(spark, sf):
     q = questions(spark, sf)
     return retrieval.aspect_slot(candidates(spark, sf), q).select("q_id", "chunk_no", "rank")
 
 
-@query()
+COMPARE = f"""WITH {POSTINGS}, cd AS (SELECT q_id, cno, ch.doc_id, score, rank FROM rk JOIN ch USING (cno) WHERE rank <= 20),
+fd AS (SELECT * FROM (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY min(rank)) AS named FROM cd GROUP BY q_id, doc_id) WHERE named <= 2),
+nq AS (SELECT q_id FROM fd GROUP BY q_id HAVING count(*) >= 2),
+{local_sql("SELECT fd.q_id, fd.named, ch.cno, ch.text, coalesce(cd.score, 0) AS score, ch.cno AS before FROM fd JOIN nq USING (q_id) JOIN ch ON ch.doc_id = fd.doc_id LEFT JOIN cd ON cd.q_id = fd.q_id AND cd.cno = ch.cno", "SELECT DISTINCT fd.q_id, named, gram FROM fd JOIN qg ON qg.q_id = fd.q_id", "q_id, named")},
+mg AS (SELECT coalesce(cd.q_id, fz.q_id) AS q_id, coalesce(cd.cno, fz.cno) AS cno, turn, named, rank FROM cd FULL JOIN fz ON fz.q_id = cd.q_id AND fz.cno = cd.cno)
+SELECT q_id, cno AS chunk_no, CAST(row_number() OVER (PARTITION BY q_id ORDER BY turn NULLS LAST, named NULLS LAST, rank) AS INTEGER) AS rank FROM mg"""
+
+
+@query(COMPARE)
 def compare_slot(spark, sf):
     q, rows = questions(spark, sf), chunks(spark, sf)
     ranked = candidates(spark, sf, 20)
