@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,15 +140,44 @@ def status_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
 
 
+#: Rows up to which the values around a rank are sorted in one task.
+SORTED = 100_000
+
+
 def nearest_rank(values: DataFrame, column: str, quantiles: tuple[float, ...] = (0.5, 0.95), by: tuple[str, ...] = ()) -> DataFrame:
-    """The value at rank round(q (n - 1)), halves to the even rank; one column p<q> for each quantile."""
+    """The value at rank round(q (n - 1)), halves to the even rank; one column p<q> for each quantile.
+
+    Groups are sorted each by itself. Without groups, the range of a rank is narrowed by counts until few values are left.
+    """
     known = values.where(F.col(column).isNotNull())
-    w = Window.partitionBy(*(by or (F.lit(0),)))
+    if not by:
+        return _global_rank(known.select(F.col(column).cast("double").alias("v")), quantiles, known.schema[column].dataType)
+    w = Window.partitionBy(*by)
     ranked = known.withColumn("at", F.row_number().over(w.orderBy(column)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     picks = [F.max(F.when(F.col("at") == F.bround(F.lit(q) * (F.col("n") - 1)), F.col(column))).alias(f"p{round(q * 100)}") for q in quantiles]
     return ranked.groupBy(*by).agg(*picks)
 
 
+def _global_rank(known: DataFrame, quantiles: tuple[float, ...], kind) -> DataFrame:
+    spark, out = known.sparkSession, {}
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    for q in quantiles:
+        rank, n, low, high, part = round(q * (total["n"] - 1)), total["n"], total["low"], total["high"], known
+        while n > SORTED and low < high:
+            step = (high - low) / 1000
+            slot = F.least(F.floor((F.col("v") - low) / step), F.lit(999))
+            counts = {r["slot"]: r for r in part.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}  # 1000 rows at most
+            for k in sorted(counts):
+                if rank < counts[k]["n"]:
+                    break
+                rank -= counts[k]["n"]
+            n, low, high = counts[k]["n"], counts[k]["low"], counts[k]["high"]
+            part = part.where((F.col("v") >= low) & (F.col("v") <= high))
+        value = low if low == high else part.orderBy("v").limit(rank + 1).agg(F.max("v").alias("v")).first()["v"] if n else None
+        out[f"p{round(q * 100)}"] = value
+    return spark.createDataFrame([tuple(out.values())], ", ".join(f"{k} double" for k in out)).select(*[F.col(k).cast(kind).alias(k) for k in out])
+
+
 def latency_statistics(records: DataFrame) -> DataFrame:
     """mean, first, ok and warm mean of latency_seconds over records in order of index."""
     first = records.agg(F.min("index").alias("least"))
@@ -158,7 +189,8 @@ def latency_statistics(records: DataFrame) -> DataFrame:
 def cluster_bootstrap(rows: DataFrame, iterations: int = ITERATIONS, seed: int = SEED) -> DataFrame:
     """low, high: a 95 % interval of the weighted mean of (score, weight, cluster), clusters drawn with replacement.
 
-    Clusters are summed up first, so that the one task that draws has a row for each cluster. Nulls for fewer than two.
+    Clusters are summed up first, so that the one task that draws has two numbers for each cluster: cases are written by
+    people, and their clusters are documents that these asked about. Nulls for fewer than two.
     """
     sums = rows.groupBy("cluster").agg(F.sum(F.col("score") * F.col("weight")).alias("s"), F.sum("weight").alias("w"))
 
@@ -167,20 +199,44 @@ def cluster_bootstrap(rows: DataFrame, iterations: int = ITERATIONS, seed: int =
         s, w = group["s"].tolist(), group["w"].tolist()
         if len(s) < 2:
             return pd.DataFrame({"low": [None], "high": [None]}, dtype="float64")
-        rng, means = random.Random(seed), []
+        # the same numbers as random.Random(seed).choices() draws, all of an iteration at once
+        _, state, _ = random.Random(seed).getstate()
+        rng = np.random.RandomState()
+        rng.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+        s, w, means = np.array(s), np.array(w), []
         for _ in range(iterations):
-            picked = rng.choices(range(len(s)), k=len(s))
-            total = sum(w[i] for i in picked)
+            picked = (rng.random_sample(len(s)) * len(s)).astype(np.int64)
+            total = w[picked].sum()
             if total:
-                means.append(sum(s[i] for i in picked) / total)
+                means.append(float(s[picked].sum() / total))
         means.sort()
         return pd.DataFrame({"low": [means[int(0.025 * len(means))]], "high": [means[int(0.975 * len(means)) - 1]]})
 
     return sums.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(draw, "low double, high double")
 
 
-def judge_llm(rows: DataFrame, cache: DataFrame, judge: Callable[[list[str]], list[str]]) -> DataFrame:
-    """rows (case_id, prompt) with key and verdict: the last row of the cache (key, verdict, at) by key, else the judge's."""
+# Labels of a judge's input, its version, and where a verdict stands in the output.
+JUDGE_VERSION = "judge-v3"
+REFERENCE = ("모범답안: ", "대상 사업: ", "고유 근거: ", "원문 발췌:\n")
+SECTIONS = ("[질문]\n", "\n\n[참고 근거]\n", "\n\n[답변]\n")
+VERDICT = r'"verdict"\s*:\s*"(correct|partial|incorrect)"'
+
+
+def judge_prompts(cases: DataFrame, said: DataFrame) -> DataFrame:
+    """q_id, prompt of cases with a reference (a model answer, or a project, facts behind the first one, and an excerpt)."""
+    of = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    facts = F.transform(F.slice(F.coalesce("reference_facts", F.array().cast("array<string>")), 2, 1 << 20), lambda x: F.concat(F.lit(REFERENCE[2]), x))
+    parts = F.concat_ws("\n", of(REFERENCE[1], F.col("reference_project")), facts, of(REFERENCE[3], F.col("reference_excerpt")))
+    reference = F.coalesce(of(REFERENCE[0], F.col("reference_answer")), parts)
+    rows = cases.join(said.select("q_id", "answer"), "q_id")
+    return rows.select("q_id", F.concat(F.lit(SECTIONS[0]), "question", F.lit(SECTIONS[1]), reference, F.lit(SECTIONS[2]), F.coalesce("answer", F.lit(""))).alias("prompt"))
+
+
+def judge_llm(rows: DataFrame, cache: DataFrame, judge: Callable[[list[str]], list[str]], model: str = "", version: str = JUDGE_VERSION) -> DataFrame:
+    """rows (prompt and others) with key, verdict and fresh: the last row of the cache (key, verdict, at) by key, else the judge's.
+
+    The key is that of model, version and prompt. The judge gives texts that have a verdict in them; one without is an error.
+    """
     last = cache.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.col("at").desc()))).where("n = 1").select("key", F.col("verdict").alias("cached"))
 
     @F.pandas_udf("string")
@@ -188,14 +244,18 @@ def judge_llm(rows: DataFrame, cache: DataFrame, judge: Callable[[list[str]], li
         wanted = prompt[prompt.notna()]
         out = pd.Series([None] * len(prompt), index=prompt.index, dtype=object)
         if len(wanted):
-            found = judge(wanted.tolist())
-            if not set(found) <= set(VERDICTS):
-                raise ValueError(f"a verdict is one of {sorted(VERDICTS)}")
-            out[wanted.index] = found
+            found = [re.search(VERDICT, text or "") for text in judge(wanted.tolist())]
+            if len(found) != len(wanted) or not all(found):
+                raise ValueError("the judge gave an answer without a verdict")
+            out[wanted.index] = [m[1] for m in found]
         return out
 
-    known = rows.withColumn("key", F.sha2("prompt", 256)).join(last, "key", "left")
-    return known.withColumn("verdict", F.coalesce("cached", ask(F.when(F.col("cached").isNull(), F.col("prompt"))))).drop("cached")
+    known = rows.withColumn("key", F.sha2(F.concat(F.lit(f"{model}\n{version}\n"), "prompt"), 256)).join(last, "key", "left")
+    return known.withColumn("verdict", F.coalesce("cached", ask(F.when(F.col("cached").isNull(), F.col("prompt"))))).withColumn("fresh", F.col("cached").isNull()).drop("cached")
+
+
+def judge_cases(cases: DataFrame, said: DataFrame, cache: DataFrame, judge: Callable[[list[str]], list[str]], model: str = "") -> DataFrame:
+    return judge_llm(judge_prompts(cases, said), cache, judge, model).select("q_id", "key", "verdict", "fresh")
 
 
 def token_usage(calls: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from tessera.functions import text as tx
 from tessera.functions import values as vals
 from tessera.operators import answers, chunking, dense, evaluation, ingest, lexical, passages, retrieval
 from tessera.operators import sections as sec
+from tessera.plans import standins
 from tessera.session import broadcast_if_small, with_checkpoints
 
 #: Chunk numbers of a document lie in a range of their own, in order.
@@ -57,10 +57,6 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).where("label = 0").select(F.col("chunk_no").alias("q_id"), "embedding")
 
 
-def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
 def places(value: Column | str, n: int = 6) -> Column:
     return F.round(value, n)
 
@@ -524,23 +520,12 @@ def next_chunk(spark, sf):
     return retrieval.next_chunk(candidates(spark, sf, 5), chunks(spark, sf)).select("q_id", "chunk_no", "doc_id", places("score").alias("score"))
 
 
-def hashed_bigrams(texts: list[str]) -> list[list[float]]:
-    """Stands in for an embedding model, as the tables have no vectors of chunks: counts of bigrams by hash."""
-    out = []
-    for t in texts:
-        v = [0.01] * 64
-        for g in tx.bigrams_py(t):
-            v[zlib.crc32(g.encode()) % 64] += 1.0
-        out.append(v)
-    return out
-
-
 @query()
 def within_doc_reselect(spark, sf):
     q, rows = questions(spark, sf), chunks(spark, sf)
     hits = retrieval.cap_per_doc(candidates(spark, sf), 2, 5).checkpoint()  # five rows a question, read by each queue
     docs = hits.select("q_id", "doc_id").distinct().join(q, "q_id")
-    embed = dense.embedder(hashed_bigrams)
+    embed = dense.embedder(standins.embed)  # the tables have no vectors of chunks
     own = rows.join(broadcast_if_small(docs.select("doc_id").distinct(), 16), "doc_id", "left_semi")
     queues, _ = retrieval.reselection_queues(docs.join(projects(spark, sf), "doc_id"), own, lexical.question_statistics(rows, q), own.select("chunk_no", embed(F.col("text")).alias("embedding")), embed, True)
     return retrieval.reselect_within_docs(hits.withColumn("rank", F.col("hit_no")), queues).select("q_id", "doc_id", "chunk_no", F.col("rank").cast("long").alias("rank"), F.col("within_doc_rank").cast("long").alias("within_doc_rank"))
@@ -573,54 +558,77 @@ def answer_envelope(spark, sf):
     return answers.finish_answers(raw).select("conv_id", "turn", "status", F.col("answer").isNotNull().alias("answered"))
 
 
-AMOUNTS = [("470백만원", [470000000]), ("4억 7천만 원", [470000000]), ("470,000,000원", [470000000]), ("5억이 아니라 1억 3천만 원", [130000000, 500000000]), ("제3조의2 조사 일정", []), ("삼천만 원", [30000000]), ("9,999원", [])]
+# Each document gets a Korean sentence whose values follow from its number, behind its own text; the tables have none of their own.
+SAID = """s AS (SELECT doc_id, text || '. 예산은 ' || CASE doc_id % 4 WHEN 0 THEN (doc_id + 1) || '백만원' WHEN 1 THEN (doc_id + 1) || '억 ' || (doc_id % 9 + 1) || '천만 원' WHEN 2 THEN (doc_id + 1) || ',000,000원' ELSE '제3조의2에 따라 삼천만 원' END
+|| '이며 기간은 ' || (doc_id % 90 + 1) || CASE WHEN doc_id % 2 = 0 THEN '일' ELSE '개월' END || ', 기한은 ' || CASE WHEN doc_id % 2 = 0 THEN '2024. 2. 31' ELSE '‘25년 12월 ' || (doc_id % 28 + 1) || '일' END AS said FROM documents)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{','.join(map(str, v))}')" for t, v in AMOUNTS) + ") v(text, amounts)")
-def value_extract_amounts(spark, sf):
-    return values(spark, [(t,) for t, _ in AMOUNTS], "text string").select("text", F.array_join(F.transform(vals.amounts("text"), lambda x: x.cast("string")), ",").alias("amounts"))
+def said(spark, sf):
+    i, t = F.col("doc_id"), lambda c: c.cast("string")
+    amount = F.when(i % 4 == 0, F.concat(t(i + 1), F.lit("백만원"))).when(i % 4 == 1, F.concat(t(i + 1), F.lit("억 "), t(i % 9 + 1), F.lit("천만 원"))).when(i % 4 == 2, F.concat(t(i + 1), F.lit(",000,000원"))).otherwise("제3조의2에 따라 삼천만 원")
+    until = F.when(i % 2 == 0, "2024. 2. 31").otherwise(F.concat(F.lit("‘25년 12월 "), t(i % 28 + 1), F.lit("일")))
+    whole = F.concat("text", F.lit(". 예산은 "), amount, F.lit("이며 기간은 "), t(i % 90 + 1), F.when(i % 2 == 0, "일").otherwise("개월"), F.lit(", 기한은 "), until)
+    return documents(spark, sf).select("doc_id", whole.alias("said"))
 
 
-PERIODS = [("‘24년 12월 31일", "날짜:2024-12-31"), ("2024.2.31 까지 3개월", "개월:3,날짜:2024-02-31"), ("계약일부터 120일", "일:120"), ("13월 2024-13-01", "")]
+# Numbers of a text without numerals of its own are amounts where commas group them.
+@query(f"""WITH {SAID}, n AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[0-9](?:[0-9,.\\s]*[0-9])?'), lambda x: regexp_matches(x, '[0-9]{{1,3}}(,[0-9]{{3}})+')),
+lambda x: CAST(replace(regexp_extract_all(replace(x, ' ', ''), '[0-9][0-9,]*(?:\\.[0-9]+)?')[-1], ',', '') AS DOUBLE)) AS own FROM documents),
+v AS (SELECT doc_id, list_transform(own, lambda x: CAST(round_even(x, 0) AS BIGINT)) || [CASE doc_id % 4 WHEN 0 THEN (doc_id + 1) * 1000000 WHEN 1 THEN (doc_id + 1) * 100000000 + (doc_id % 9 + 1) * 10000000
+WHEN 2 THEN (doc_id + 1) * 1000000 ELSE 30000000 END] AS every FROM n)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(every, lambda x: x >= 10000))), ',') AS amounts FROM v""")
+def value_extract_amounts(spark, sf):
+    return said(spark, sf).select("doc_id", F.array_join(F.transform(vals.amounts("said"), lambda x: x.cast("string")), ",").alias("amounts"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{v}')" for t, v in PERIODS) + ") v(text, periods)")
+@query(f"""WITH {SAID}, d AS (SELECT doc_id, regexp_extract_all(text, '([0-9]{{4}}|[0-9]{{2}})\\s*[./\\-]\\s*([0-9]{{1,2}})\\s*[./\\-]\\s*([0-9]{{1,2}})', 1) AS y,
+regexp_extract_all(text, '([0-9]{{4}}|[0-9]{{2}})\\s*[./\\-]\\s*([0-9]{{1,2}})\\s*[./\\-]\\s*([0-9]{{1,2}})', 2) AS m, regexp_extract_all(text, '([0-9]{{4}}|[0-9]{{2}})\\s*[./\\-]\\s*([0-9]{{1,2}})\\s*[./\\-]\\s*([0-9]{{1,2}})', 3) AS a FROM documents),
+own AS (SELECT doc_id, list_transform(list_filter(range(1, len(y) + 1), lambda i: CAST(m[i] AS INT) BETWEEN 1 AND 12 AND CAST(a[i] AS INT) BETWEEN 1 AND 31),
+lambda i: '날짜:' || CASE WHEN len(y[i]) = 2 THEN '20' || y[i] ELSE y[i] END || '-' || lpad(CAST(CAST(m[i] AS INT) AS VARCHAR), 2, '0') || '-' || lpad(CAST(CAST(a[i] AS INT) AS VARCHAR), 2, '0')) AS p FROM d)
+SELECT doc_id, array_to_string(list_sort(list_distinct(p || [CASE WHEN doc_id % 2 = 0 THEN '날짜:2024-02-31' ELSE '날짜:2025-12-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END,
+CASE WHEN doc_id % 2 = 0 THEN '일:' ELSE '개월:' END || (doc_id % 90 + 1)])), ',') AS periods FROM own""")
 def value_extract_periods(spark, sf):
-    return values(spark, [(t,) for t, _ in PERIODS], "text string").select("text", F.array_join(F.array_sort(F.transform(vals.periods("text"), lambda x: F.concat_ws(":", x["unit"], x["value"]))), ",").alias("periods"))
-
+    return said(spark, sf).select("doc_id", F.array_join(F.array_sort(F.transform(vals.periods("said"), lambda x: F.concat_ws(":", x["unit"], x["value"]))), ",").alias("periods"))
 
-CITED = [("a [1][3]", "1,3"), ("[1, 2]", "1,2"), ("[2-4]", "2,3,4"), ("[4-2]", "2,3,4"), ("[출처: 1]", "1"), ("[1번]", "1"), ("【1】", "1"), ("(1)", "")]
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{v}')" for t, v in CITED) + ") v(answer, cited)")
+# Every turn of a conversation cites numbers that follow from its place, in one of the forms of a citation.
+@query("""WITH c AS (SELECT conv_id, turn, text, conv_id % 7 + 1 AS a, conv_id % 7 + 1 + turn % 4 AS b FROM conversations),
+own AS (SELECT *, list_filter(flatten(list_transform(regexp_extract_all(translate(text, '【】', '[]'), '\\[\\s*(?:(?:출처|문서|근거|자료)\\s*:?)?\\s*([\\d\\s,\\-–]+?)\\s*번?\\s*\\]', 1), lambda g: string_split(g, ','))), lambda p: regexp_matches(trim(p), '^\\d+$')) AS said FROM c)
+SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(said, lambda x: CAST(trim(x) AS BIGINT)) || CASE turn % 4 WHEN 0 THEN [a] WHEN 1 THEN [a, b] WHEN 2 THEN range(a, b + 1) ELSE range(a, b + 1) END)), ',') AS cited FROM own""")
 def citations_parse(spark, sf):
-    return values(spark, [(t,) for t, _ in CITED], "answer string").select("answer", F.array_join(F.transform(vals.citations(F.col("answer")), lambda x: x.cast("string")), ",").alias("cited"))
-
+    a = F.col("conv_id") % 7 + 1
+    b, turn, t = a + F.col("turn") % 4, F.col("turn") % 4, lambda c: c.cast("string")
+    mark = F.when(turn == 0, F.concat(F.lit(" [출처: "), t(a), F.lit("번]"))).when(turn == 1, F.concat(F.lit("【"), t(a), F.lit("】["), t(b), F.lit(", "), t(a), F.lit("]"))).when(turn == 2, F.concat(F.lit("["), t(b), F.lit("-"), t(a), F.lit("]"))).otherwise(F.concat(F.lit("[ "), t(a), F.lit(" – "), t(b), F.lit(" ] (9)")))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("text", mark).alias("answer"))
+    return c.select("conv_id", "turn", F.array_join(F.transform(vals.citations(F.col("answer")), lambda x: x.cast("string")), ",").alias("cited"))
 
-REFUSED = [("해당 내용은 확인되지 않습니다.", True), ("예산은 1억 원이며 기간은 확인되지 않습니다", False), ("기간은 3개월입니다 [1]. 세부 일정은 확인되지 않습니다.", False), ("사업명을 알려주십시오.", True)]
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {v})" for t, v in REFUSED) + ") v(answer, refused)")
+# Every turn refuses in its first sentence, states a value there, refuses later, or does not refuse.
+@query("SELECT conv_id, turn, (conv_id + turn) % 4 IN (0, 3) AS refused FROM conversations")
 def refusal_flags(spark, sf):
-    return values(spark, [(t,) for t, _ in REFUSED], "answer string").select("answer", vals.is_refusal(F.col("answer")).alias("refused"))
-
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    first = F.when(kind == 0, "해당 내용은 확인되지 않습니다.\n").when(kind == 1, F.concat(F.lit("예산은 "), (F.col("conv_id") + 1).cast("string"), F.lit("억 원이며 기간은 확인되지 않습니다.\n"))).when(kind == 2, "기간은 3개월입니다 [1]. 세부 일정은 확인되지 않습니다.\n").otherwise("사업명을 알려주십시오.\n")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(first, "text").alias("answer"))
+    return c.select("conv_id", "turn", vals.is_refusal(F.col("answer")).alias("refused"))
 
-WON = [("130,000,000원", 130000000), ("40,000천원", 40000000), ("196백만원", 196000000), ("1억 5천만 원", 150000000), ("￦ 60,000,000", 60000000), ("50,000,000(VAT포함)", 50000000), ("없음", None)]
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'CAST(NULL AS BIGINT)' if v is None else v})" for t, v in WON) + ") v(text, won)")
+# A labelled field of every document, in one of the ways to write an amount, behind the text.
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN (doc_id + 1) * 1000000 WHEN 1 THEN (doc_id + 10) * 1000 WHEN 2 THEN (doc_id + 1) * 1000000 WHEN 3 THEN (doc_id + 1) * 100000000 + 50000000 WHEN 4 THEN (doc_id % 900 + 1) * 1000000 END AS won FROM documents""")
 def value_extract_won(spark, sf):
-    return values(spark, [(t,) for t, _ in WON], "text string").select("text", vals.won(F.col("text")).alias("won"))
-
-
-FIELD_TEXT = "1. 사업 예산 : 금 130,000,000원 ○ 기타\n사업기간: 계약일로부터 120일\n계약 방법 | 제한경쟁입찰 |\n"
+    i = F.col("doc_id")
+    t = lambda c: c.cast("string")
+    value = F.when(i % 6 == 0, F.concat(F.lit("금 "), t(i + 1), F.lit(",000,000원"))).when(i % 6 == 1, F.concat(t(i + 10), F.lit("천원"))).when(i % 6 == 2, F.concat(t(i + 1), F.lit("백만원(VAT포함)"))).when(i % 6 == 3, F.concat(t(i + 1), F.lit("억 5천만 원"))).when(i % 6 == 4, F.concat(F.lit("￦ "), t(i % 900 + 1), F.lit(",000,000"))).otherwise("없음")
+    return documents(spark, sf).select("doc_id", vals.won(value).alias("won"))
 
 
-@query("SELECT '금 130,000,000원' AS budget, '130000000' AS won, '계약일로부터 120일' AS period, '제한경쟁입찰' AS method")
+@query("""SELECT doc_id, '금 ' || (doc_id + 1) || ',000,000원' AS budget, CAST((doc_id + 1) * 1000000 AS VARCHAR) AS won, '계약일로부터 ' || (doc_id % 300 + 1) || '일' AS period, CASE WHEN doc_id % 2 = 0 THEN '제한경쟁입찰' ELSE '수의계약' END AS method FROM documents""")
 def field_extract(spark, sf):
-    f = vals.fields(F.col("text"))
+    i = F.col("doc_id")
+    t = lambda c: c.cast("string")
+    lines = F.concat(F.lit("\n1. 사업 예산 : 금 "), t(i + 1), F.lit(",000,000원 ○ 기타\n사업기간: 계약일로부터 "), t(i % 300 + 1), F.lit("일\n계약 방법 | "), F.when(i % 2 == 0, "제한경쟁입찰").otherwise("수의계약"), F.lit(" |\n"))
+    f = vals.fields(F.concat("text", lines))
     pick = lambda k: F.element_at("f", k)
-    return values(spark, [(FIELD_TEXT,)], "text string").select(f.alias("f")).select(pick("원문 사업 예산").alias("budget"), pick("원문 사업 금액").alias("won"), pick("원문 사업 기간").alias("period"), pick("원문 계약 방법").alias("method"))
+    return documents(spark, sf).select("doc_id", f.alias("f")).select("doc_id", pick("원문 사업 예산").alias("budget"), pick("원문 사업 금액").alias("won"), pick("원문 사업 기간").alias("period"), pick("원문 계약 방법").alias("method"))
 
 
 # Cases: each item asks for the documents that hold its passage; the first letters stand for a question type.

@@ -204,8 +204,11 @@ def ask(questions: DataFrame, hits: DataFrame, profile: Profile, generate: Calla
     return answers.finish_answers(rows).withColumn("status", F.when(F.col("error").isNotNull(), "api_error").otherwise(F.col("status")))
 
 
-def evaluate(cases: DataFrame, said: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """Records of cases (q_id, expected_doc_ids, expected_keywords, answerable, grading, ...) and answers."""
+def evaluate(cases: DataFrame, said: DataFrame, verdicts: DataFrame | None = None, grounded_values: bool = True) -> DataFrame:
+    """Records of cases (q_id, expected_doc_ids, expected_keywords, answerable, grading, ...) and answers.
+
+    With grounded_values a refusal may state values that its sources have; without, it may state none.
+    """
     bad = evaluation.violations(cases.withColumnRenamed("q_id", "index")).limit(1).collect()
     if bad:
         raise ValueError(f"case {bad[0]['index']}: {bad[0]['problem']}")
@@ -219,6 +222,8 @@ def evaluate(cases: DataFrame, said: DataFrame, verdicts: DataFrame | None = Non
     rows = rows.withColumns({"evidence_amounts": vals.amounts("evidence"), "evidence_periods": vals.periods("evidence")})
     has = F.col("evidence") != ""
     clean_values = (F.size("amounts") + F.size("periods") == 0) | (evaluation.grounded(F.col("amounts"), F.col("evidence_amounts"), has) & evaluation.grounded(F.col("periods"), F.col("evidence_periods"), has))
+    if not grounded_values:
+        clean_values = F.size("amounts") + F.size("periods") == 0
     clean = (F.col("status") == "no_hits") | (F.col("refused") & clean_values)
     numeric = vals.values_present(F.col("amounts"), F.col("periods"), F.col("expected_values.amount_won"), F.col("expected_values.period"))
     forbidden = vals.values_present(F.col("amounts"), F.col("periods"), F.col("forbidden_values.amount_won"), F.col("forbidden_values.period"))

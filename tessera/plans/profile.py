@@ -84,6 +84,22 @@ def resolve(profile: Profile, arguments: Mapping[str, object] | None = None, env
     )
 
 
+def read_settings(path: str | None, environment: Mapping[str, str] | None = None) -> dict[str, str]:
+    """KEY=VALUE lines of a settings file, if there is one, under the process environment, which wins."""
+    out: dict[str, str] = {}
+    if path and os.path.isfile(path):
+        with open(path, encoding="utf-8-sig") as f:
+            for number, line in enumerate(f, 1):
+                line = line.strip()
+                if not line or line.startswith("#"):
+                    continue
+                key, sign, value = line.removeprefix("export ").partition("=")
+                if not sign or not key.strip():
+                    raise ValueError(f"line {number} of {path} is not KEY=VALUE")
+                out[key.strip()] = value.strip().strip("\"'")
+    return {**out, **(os.environ if environment is None else environment)}
+
+
 def parse(kind: str, raw: str) -> object:
     low = raw.strip().lower()
     if low in ("none", "off") and "None" in kind:

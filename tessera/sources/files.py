@@ -47,6 +47,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_documents(documents: DataFrame, errors: DataFrame, folder: str) -> tuple[int, int]:
+    """Documents and error rows, both also where there are none, and how many; no document at all is an error, after that."""
+    spark = documents.sparkSession
+    documents.write.mode("overwrite").parquet(f"{folder}/documents")
+    write_json(errors, f"{folder}/errors")
+    n, bad = spark.read.parquet(f"{folder}/documents").count(), spark.read.schema("filename string, error string").json(f"{folder}/errors").count()
+    if not n:
+        raise ValueError(f"no document could be parsed; {folder}/errors has {bad} rows")
+    return n, bad
+
+
 def write_index(tables: dict[str, DataFrame], path: str, config: dict[str, object]) -> None:
     """The tables of an index (chunks, vectors and others); the config is written last, as the mark that the index is whole.
 
@@ -78,9 +89,26 @@ def latest_by_key(rows: DataFrame, key: str = "key", order: str = "at") -> DataF
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("__n = 1").drop("__n")
 
 
+def read_cache(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
+    """An append-only cache, empty where it does not exist yet."""
+    if path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
 def append_cache(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def compact_cache(spark: SparkSession, path: str, to: str, key: str = "key", order: str = "at") -> None:
-    latest_by_key(spark.read.parquet(path), key, order).write.mode("overwrite").parquet(to)
+def compact_cache(spark: SparkSession, path: str, key: str = "key", order: str = "at") -> None:
+    """The last row of each key in place of all rows: written beside the cache, which is replaced when that is whole."""
+    fresh, old = f"{path}.fresh", f"{path}.old"
+    latest_by_key(spark.read.parquet(path), key, order).write.mode("overwrite").parquet(fresh)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    if not (fs.rename(at(path), at(old)) and fs.rename(at(fresh), at(path))):
+        raise OSError(f"{path} could not be replaced; its rows are in {old} and {fresh}")
+    fs.delete(at(old), True)

@@ -53,3 +53,23 @@ def test_keyword_present(spark):
 
 def test_filter_key(spark):
     assert spark.createDataFrame([("서울특별시 여성-재단",)], "a string").select(text.filter_key(F.col("a"))).first()[0] == "서울시여성재단"
+
+
+def column(spark, texts, f):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r[0] for r in rows.orderBy("i").select(f(F.col("t"))).collect()]
+
+
+def test_values_in_the_jvm(spark):
+    assert column(spark, ["470백만원", "5억이 아니라 1억 3천만 원", "조사 일정", None], values.amounts) == [[470_000_000], [130_000_000, 500_000_000], [], []]
+    won = {"130,000,000원": 130_000_000, "40,000천원": 40_000_000, "196백만원": 196_000_000, "1억 5천만 원": 150_000_000, "￦ 60,000,000": 60_000_000, "50,000,000(VAT포함)": 50_000_000, "없음": None}
+    assert column(spark, list(won), values.won) == list(won.values())
+    said = {"해당 내용은 확인되지 않습니다.": True, "예산은 1억 원이며 기간은 확인되지 않습니다": False, "기간은 3개월입니다 [1]. 세부 일정은 확인되지 않습니다.": False, "사업명을 알려주십시오.": True}
+    assert column(spark, list(said), values.is_refusal) == list(said.values())
+
+
+def test_fields(spark):
+    text = "1. 사업 예산 : 금 130,000,000원 ○ 기타\n사업기간: 계약일로부터 120일\n계약 방법 | 제한경쟁입찰 |\n"
+    found = column(spark, [text, "없음"], values.fields)
+    assert found[0] == {"원문 사업 예산": "금 130,000,000원", "원문 사업 금액": "130000000", "원문 사업 기간": "계약일로부터 120일", "원문 계약 방법": "제한경쟁입찰"}
+    assert set(found[1].values()) == {""}
