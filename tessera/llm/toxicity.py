@@ -131,7 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     Labels are drawn by doc_id before they meet the documents, so at most some 2 * sample of them are broadcast. A document
     with several labels counts as toxic if one is; rows with another or null label or doc_id are left out. A training row's
     own label does not count in its lexicon features. A quarter of the sample calibrates; the rest grows the trees. Without
-    both labels every score is the rate of label 1.
+    documents of both labels every score is the rate of label 1 among the labels.
     """
     spark = docs.sparkSession
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -162,6 +162,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id", "text"), F.lit(4)).cast("int").alias("fold")
     data = taken.select("text", "toxic", fold).mapInArrow(measured, "x array<double>, toxic int, fold int").toPandas()
     x, y, held = np.array(data["x"].tolist()).reshape(len(data), FEATURES), data["toxic"].to_numpy(float), data["fold"].to_numpy() == 0
+    if len(set(y)) < 2:  # labels, but no documents of both kinds
+        return ToxicityModel(Lexicon({}, 0, 0), None, None, rate)
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         held[:] = False
     # rows of different parts count as many as they stand for; sorted, as the order of rows must not matter
