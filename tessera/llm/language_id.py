@@ -87,10 +87,16 @@ class Filters:
     """masks: slots x words of 64 languages; langs: their names; false: the rate of false positives that each slice's fill predicts."""
 
     def __init__(self, langs: list[str], masks: np.ndarray, most: int):
-        self.langs, self.masks, self.most = langs, masks, most
-        fill = np.array([(masks[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean() for i in range(len(langs))])
+        # few languages take few bytes of a slot, so that more of the filter is near the processor
+        narrow = next((k for k in (np.uint8, np.uint16, np.uint32) if len(langs) <= 8 * np.dtype(k).itemsize), np.uint64)
+        self.langs, self.masks, self.most = langs, masks.astype(narrow), most
+        fill = np.array([self.has(self.masks[:, i // 64], i).mean() for i in range(len(langs))])
         self.false = fill**HASHES
 
+    @staticmethod
+    def has(masks: np.ndarray, lang: int) -> np.ndarray:
+        return masks >> masks.dtype.type(lang % 64) & masks.dtype.type(1)
+
     def languages(self, h: np.ndarray, word: int = 0) -> np.ndarray:
         """A mask of all languages that contain each n-gram, 64 of them from number 64 * word on."""
         first, *rest = slots(h, len(self.masks))
@@ -106,7 +112,7 @@ class Filters:
         for w in range(self.masks.shape[1]):
             found = self.languages(h, w)
             for i in range(w * 64, min(len(self.langs), w * 64 + 64)):
-                seen = np.bincount(row, found >> np.uint64(i % 64) & np.uint64(1), len(texts))
+                seen = np.bincount(row, self.has(found, i), len(texts))
                 share = seen / np.maximum(count, 1)
                 rate[:, i] = np.clip((share - self.false[i]) / max(1 - self.false[i], 1e-9), 0, 1)
         if not self.langs:

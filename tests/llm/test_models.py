@@ -95,7 +95,7 @@ def test_filters_against_exact_sets(spark, docs):
         top = np.array([max(counts[k][g] / total[k] for k in filters.langs) for g in every])
         own = np.array([counts[lang][g] for g in every])
         member = (own > 0) & (own / total[lang] >= SHARE * top - 1e-15)
-        found = (masks >> np.uint64(i) & np.uint64(1)).astype(bool)
+        found = filters.has(masks, i).astype(bool)
         assert found[member].all()
         false[i] = found[~member].mean()
     assert len(every) > 5000 and np.all(false < 3 * filters.false + 0.005)
