@@ -712,15 +712,6 @@ def token_usage_rollup(spark, sf):
     return evaluation.token_usage(calls)
 
 
-@query("SELECT doc_id, text, lang, source FROM documents")
-def manifest_csv_json_roundtrip(spark, sf):
-    schema = "doc_id bigint, text string, lang string, source string"
-    docs = documents(spark, sf).select(F.struct("doc_id", "text", "lang", "source").alias("r"))
-    as_json = docs.select(F.from_json(F.to_json("r"), schema).alias("r"))
-    options = {"escape": '"', "multiLine": "true", "quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
-    return as_json.select("r.doc_id", "r.text", F.from_csv(F.to_csv(F.struct("r.lang", "r.source"), options), "lang string, source string", options).alias("c")).select("doc_id", "text", "c.*")
-
-
 @query("""SELECT doc_id, length(text) - length(regexp_replace(text, '[ㄱ-ㆎ가-힣一-鿿]', '', 'g')) + CAST(ceil((length(text) + 1 - (length(text) - length(regexp_replace(text, '[ㄱ-ㆎ가-힣一-鿿]', '', 'g')))) / 3.0) AS BIGINT) + 10 AS tokens,
 substr(sha256(source), 1, 16) AS key, sha256(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS hash, replace(lower(regexp_replace(text, '\\s+', '', 'g')), 'ß', 'ss') AS compact FROM documents""")
 def text_scalars(spark, sf):
