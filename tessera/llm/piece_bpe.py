@@ -25,12 +25,53 @@ KEPT_WORDS = 400_000
 KEPT_PAIRS = 1_000_000
 
 
+def message(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of a protocol-buffer message: numbers, or the bytes of strings and inner messages."""
+
+    def number(at: int) -> tuple[int, int]:
+        out = shift = 0
+        while True:
+            out |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return out, at
+
+    at = 0
+    while at < len(raw):
+        key, at = number(at)
+        kind = key & 7
+        if kind == 0:
+            value, at = number(at)
+        else:
+            size, at = number(at) if kind == 2 else ({1: 8, 5: 4}[kind], at)
+            value, at = raw[at : at + size], at + size
+        yield key >> 3, value
+
+
+def check_settings(model: bytes) -> None:
+    """Refuses a model whose settings this encoder does not follow, as its ids would not be the library's.
+
+    That is any but a BPE model without normalisation, which puts a space in front, keeps all white space, marks it before a
+    word and has no pieces defined by a user.
+    """
+    found = list(message(model))
+    trainer, normaliser = ({k: v for raw in (x for f, x in found if f == n) for k, v in message(raw)} for n in (2, 3))
+    wrong = {
+        "is no BPE model": trainer.get(3, 1) != 2, "marks white space behind words": trainer.get(24, 0) == 1, "normalises its texts": bool(normaliser.get(2, b"")),
+        "puts no space in front": normaliser.get(3, 1) != 1, "drops white space": normaliser.get(4, 1) != 0, "does not mark white space": normaliser.get(5, 1) != 1,
+        "has pieces defined by a user": any(dict(message(x)).get(3, 1) == 4 for f, x in found if f == 1),
+    }
+    if any(wrong.values()):
+        raise ValueError("the model " + " and ".join(k for k, bad in wrong.items() if bad))
+
+
 class Vocabulary:
     """What encoding and decoding need of a model: at most a few MB, as large as the vocabulary."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
+        check_settings(model)
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         pieces = [sp.id_to_piece(i) for i in range(size)]

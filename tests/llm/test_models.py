@@ -14,7 +14,9 @@ from tessera.llm.boosting import BoostedTrees, Isotonic
 from tessera.llm.common import held_out, training_fold, with_checkpoints
 from tessera.llm.decontaminate import Searcher, drop_contaminated, find_items, fitting_distance, long_fitting_distance, words_of
 from tessera.llm.language_id import GRAMS, SHARE, fit_filters, gram_hashes, identify_language
-from tessera.llm.piece_bpe import Encoder, Vocabulary, encode_decode
+from tessera.llm.jaccard_join import ngram_jaccard_join
+from tessera.llm.piece_bpe import Encoder, Vocabulary, check_settings, encode_decode, message
+from tessera.llm.quality_rules import quality_rules
 from tessera.llm.toxicity import BEGINNINGS, INSULTS, OBFUSCATED, SECOND_PERSON, SPACED, STRETCHED, Lexicon, drop_toxic, features, fit_toxicity, score_toxicity
 from tests.llm.conftest import ODD
 
@@ -47,6 +49,29 @@ def test_decoding_is_the_librarys(encoder, library, ids):
     assert encoder.decode(ids) == library.decode(ids)
 
 
+def test_other_models_are_refused():
+    """A model with other settings would be encoded wrongly without a word."""
+    raw = open(MODEL, "rb").read()
+    assert {n for n, _ in message(raw)} >= {1, 2, 3}
+    check_settings(raw)
+    for extra, says in ((b"\x12\x02\x18\x01", "no BPE"), (b"\x1a\x02\x18\x00", "no space in front"), (b"\x1a\x02\x20\x01", "drops white space"), (b"\x1a\x03\x12\x01x", "normalises"), (b"\x0a\x05\x0a\x01x\x18\x04", "defined by a user")):
+        with pytest.raises(ValueError, match=says):
+            check_settings(raw + extra)
+
+
+def test_very_long_text(spark, library):
+    """A text of over eight megabytes goes through each operator that looks at texts, whole; a copy of it is found."""
+    text = " ".join(f"word{i % 9973} said the 7 thing. You" for i in range(300_000))
+    assert len(text) > 8 << 20
+    df = with_checkpoints(spark, spark.createDataFrame([(1, text, "en"), (2, text, None), (3, "a short one", "en")], "doc_id long, text string, lang string"))
+    ids = {r["doc_id"]: bytes(r["ids"]) for r in encode_decode(df.where("doc_id < 3"), MODEL).select("doc_id", "ids").collect()}
+    assert ids[1] == ids[2] == np.array(library.encode(text, add_bos=True, add_eos=True), "<u4").tobytes()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_jaccard_join(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    assert {r["lang_pred"] for r in identify_language(df, fit_filters(df.where("lang is not null"))).collect()} == {"en"}
+    rules = {r["doc_id"]: r for r in quality_rules(df).collect()}
+    assert rules[1]["n_words"] == rules[1]["n_repeat_words"] == 1_800_000
+
+
 def test_encode_documents(docs, library, make):
     got = {r["doc_id"]: (array.array("I", bytes(r["ids"])).tolist(), r["decoded"]) for r in encode_decode(docs, MODEL).collect()}
     want = {r["doc_id"]: library.encode(r["text"], add_bos=True, add_eos=True) for r in docs.collect()}
