@@ -159,7 +159,9 @@ class Run:
         records = pipeline.held(pipeline.evaluate(cases, said, verdicts))
         summary = evaluation.summarise(records).first().asDict()
         self.trace.scores(summary)
-        return {"summary": summary, "records": [r.asDict(recursive=True) for r in records.collect()]}  # a case file is read by people
+        summary |= evaluation.cluster_bootstrap(records.where("answerable and answer_score is not null").select(F.col("answer_score").alias("score"), "weight", "cluster")).select(F.col("low").alias("answer_accuracy_low"), F.col("high").alias("answer_accuracy_high")).first().asDict()
+        listed = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  a case file is read by people
+        return {"summary": summary, "breakdown": listed(evaluation.breakdown(records).orderBy("dimension", "value")), "statuses": listed(evaluation.status_counts(records).orderBy("status")), "records": listed(records)}
 
     def __call__(self, command: str) -> dict:
         steps = ("parse", "build", "ask") if command == "all" else (command,)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import values as vals
-from tessera.functions.text import clean, document_key, nfc
+from tessera.functions.text import clean, document_key, nfc, nfkc
 from tessera.operators import answers, chunking, dense, evaluation, ingest, lexical, retrieval
 from tessera.operators import sections as sec
 from tessera.plans.profile import Profile, pool_size
@@ -216,8 +216,9 @@ def evaluate(cases: DataFrame, said: DataFrame, verdicts: DataFrame | None = Non
     rows = rows.join(verdicts, "q_id", "left") if verdicts is not None else rows.withColumn("verdict", F.lit(None).cast("string"))
     empty = F.array().cast("array<struct<citation:int,doc_id:string,chunk_id:string,score:double,text:string>>")
     rows = rows.withColumns({"sources": F.coalesce("sources", empty), "answer": nfc(F.coalesce("answer", F.lit(""))), "answerable": F.coalesce("answerable", F.lit(True)), "keywords": F.coalesce("expected_keywords", F.array().cast("array<string>")), "expected": F.coalesce("expected_doc_ids", F.array().cast("array<string>"))})
-    rows = rows.withColumns({"amounts": vals.amounts("answer"), "periods": vals.periods("answer"), "refused": vals.is_refusal(F.col("answer"), F.col("status"))})
-    used = F.when(F.size("expected") > 0, F.filter("sources", lambda s: F.array_contains(F.col("expected"), s["doc_id"]))).otherwise(evaluation.used_sources(F.col("answer"), F.col("sources")))
+    rows = rows.withColumns({"amounts": vals.amounts("answer"), "periods": vals.periods("answer"), "plain": nfkc("answer")})
+    rows = rows.withColumn("refused", vals.is_refusal(F.col("plain"), F.col("status")))
+    used = F.when(F.size("expected") > 0, F.filter("sources", lambda s: F.array_contains(F.col("expected"), s["doc_id"]))).otherwise(evaluation.used_sources(F.col("plain"), F.col("sources")))
     rows = rows.withColumn("evidence", F.array_join(F.transform(used, lambda s: s["text"]), "\n"))
     rows = rows.withColumns({"evidence_amounts": vals.amounts("evidence"), "evidence_periods": vals.periods("evidence")})
     has = F.col("evidence") != ""
@@ -233,7 +234,7 @@ def evaluate(cases: DataFrame, said: DataFrame, verdicts: DataFrame | None = Non
     texts = F.transform("sources", lambda s: F.coalesce(s["text"], F.lit("")))
     rows = rows.withColumns({"source_values": vals.values_each(texts), "source_keywords": vals.keyword_counts("keywords", texts)})
     hit = evaluation.answer_chunk_hit(F.col("expected"), F.col("sources"), F.col("source_values"), F.col("source_keywords"), F.col("keywords"), F.col("expected_values"))
-    cited = evaluation.gold_cited(F.col("expected"), F.col("answer"), F.col("sources"))
+    cited = evaluation.gold_cited(F.col("expected"), F.col("plain"), F.col("sources"))
     able = lambda c: F.when(F.col("answerable"), c)
     return rows.select(
         F.col("q_id").alias("index"), "answerable", "grading", "status", "refused", able(evaluation.recall(F.col("expected"), F.col("sources"))).alias("recall_at_k"), able(evaluation.reciprocal_rank(F.col("expected"), F.col("sources"))).alias("mrr"),

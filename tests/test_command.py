@@ -50,6 +50,7 @@ def test_evaluate(spark, root, capsys):
     run = ["evaluate", "--scenario", "both", "--root", str(root), "--eval-file", "cases.json", *STANDINS]
     result = command.main([*run, "--judge", "tessera.plans.standins:judge", "--judge-cache", "judge"], spark)
     for r in result.values():
+        assert {"ok"} >= {x["status"] for x in r["statuses"]} and {x["dimension"] for x in r["breakdown"]} == {"question_type", "grading", "source"}
         assert r["summary"]["count"] == 3 and r["summary"]["recall_at_k"] == 1.0 and r["summary"]["ungraded_count"] == 0
     # equal answers of both profiles are judged once
     assert "| recall_at_k | 1.000 | 1.000 |" in capsys.readouterr().out and 1 <= spark.read.parquet(f"{root}/judge").count() <= 2

@@ -78,6 +78,36 @@ def test_keyword_grading(spark):
     assert got == {i: score for i, (_, _, score) in enumerate(said)}
 
 
+def test_citations_of_any_width(spark):
+    """Full-width brackets and digits cite too, as does a refusal in compatibility forms refuse."""
+    sources = [(1, "x", "1", 0.9, "글"), (2, "d", "2", 0.8, "글")]
+    said = ["답 ［２］", "답 [1]", "답 【2】"]
+    cases = spark.createDataFrame([(i, "x", True, ["d"], None, None, 1.0, None, "t", "s", None, None, None) for i in range(3)], CASE)
+    answers = spark.createDataFrame([(i, "x", text, "ok", sources) for i, text in enumerate(said)], "q_id long, question string, answer string, status string, sources array<struct<citation:int,doc_id:string,chunk_id:string,score:double,text:string>>")
+    assert [r["gold_cited"] for r in pipeline.evaluate(cases, answers).orderBy("index").collect()] == [True, False, True]
+
+
+def test_retrieve_checks_and_joins_rewrites(spark, parsed):
+    """A blank question is an error; with a rewrite both texts are searched, and the scores are those of the question."""
+    docs, _ = parsed
+    p = profile.resolve(profile.B, {"rewrite": "both", "top_k": 2, "strategy": "fixed", "chunk_size": 200, "chunk_overlap": 10}, {"TESSERA_MIN_SCORE": "off"})
+    index = stored(pipeline.build(docs, p, embed))
+    blank = spark.createDataFrame([(1, "  ")], "q_id long, question string")
+    with pytest.raises(ValueError, match="blank"):
+        pipeline.retrieve(blank, index, p, embed)
+    q = spark.createDataFrame([(1, "도서관 예산은 얼마인가요?")], "q_id long, question string")
+    rewrites = spark.createDataFrame([(1, "병원 예약 시스템")], "q_id long, rewrite string")
+    hits = pipeline.retrieve(q, index, p, embed, rewrites=rewrites).collect()
+    vectors = {r["chunk_no"]: r["embedding"] for r in index.vectors.collect()}
+    v = embed(["도서관 예산은 얼마인가요?"])[0]
+    length = sum(x * x for x in v) ** 0.5
+    assert sum(not h["neighbor"] for h in hits) == 2
+    for h in hits:
+        if h["neighbor"]:  # has the score of the hit before it
+            continue
+        assert h["score"] == pytest.approx(sum(a * b for a, b in zip(v, vectors[h["chunk_no"]], strict=True)) / length, abs=1e-5)
+
+
 def test_answer_chunk_hit(spark):
     """Sources of expected documents alone count; all kinds of expected values in one source, else any keyword."""
     sources = [(1, "x", "1", 0.9, "5억 원, 3개월, 도서관"), (2, "d", "2", 0.8, "예산은 1억 3천만 원"), (3, "d", "3", 0.7, "기간은 120일, 병원")]
