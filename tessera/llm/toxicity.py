@@ -34,7 +34,7 @@ CAPITALS = re.compile(r"\b[A-Z]{3,}\b")
 SAMPLE = 6000
 #: Learned lexicon: an item stands in so many toxic rows of the sample, and in such a part of them, and is so much likelier
 #: there (logarithm of the ratio). Beside whole words their beginnings of so many letters count.
-LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 3, 0.005, 1.0
+LEAST_ROWS, LEAST_SHARE, LEAST_ODDS = 5, 0.005, 1.0
 BEGINNINGS = range(3, 9)
 #: Words whose lexicon value a worker keeps.
 KEPT_WORDS = 300_000
