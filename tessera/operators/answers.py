@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,13 +48,16 @@ def contexts(sources: DataFrame) -> DataFrame:
     return items.select("q_id", F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["json"]), ", "), F.lit("]")).alias("context"))
 
 
-def prompts(questions: DataFrame, context: DataFrame, with_filters: bool = False) -> DataFrame:
-    """q_id, prompt; the second profile adds one line for each filter (map column filters)."""
+def prompts(questions: DataFrame, context: DataFrame, with_filters: bool = False, reminder: str = "") -> DataFrame:
+    """q_id, prompt; the second profile adds one line for each filter (map column filters).
+
+    reminder is put behind the sources, with {question} replaced, for models that lose sight of a question before them.
+    """
     lines = F.lit("")
     if with_filters:
         pairs = F.array_sort(F.map_entries(F.coalesce("filters", F.create_map().cast("map<string,string>"))))
         lines = F.array_join(F.transform(pairs, lambda e: F.concat(F.lit("\n"), e["key"], F.lit(": "), e["value"])), "")
-    return questions.join(context, "q_id").select("q_id", F.concat(F.lit("질문: "), "question", lines, F.lit("\n\n검색 자료(JSON):\n"), "context").alias("prompt"))
+    return questions.join(context, "q_id").select("q_id", F.concat(F.lit("질문: "), "question", lines, F.lit("\n\n검색 자료(JSON):\n"), "context", F.replace(F.lit(reminder), F.lit("{question}"), F.col("question"))).alias("prompt"))
 
 
 def finish_answers(raw: DataFrame) -> DataFrame:
@@ -65,13 +68,17 @@ def finish_answers(raw: DataFrame) -> DataFrame:
     return raw.select(*[c for c in raw.columns if c not in ("text", "truncated", "n_sources")], answer.alias("answer"), status.alias("status"))
 
 
-def generate(prompt_rows: DataFrame, model: Callable[[list[str]], list[tuple[str, bool]]]) -> DataFrame:
-    """prompt_rows with text and truncated from an injected generator; a rate limit becomes an error text, not a failure."""
+def generate(prompt_rows: DataFrame, model: Callable[..., list[tuple[str, bool]]], options: Mapping[str, object] | None = None) -> DataFrame:
+    """prompt_rows with text and truncated from an injected generator; a rate limit becomes an error text, not a failure.
+
+    options, such as a limit on the length of an answer, go to each call by name.
+    """
+    named = dict(options or {})
 
     @F.pandas_udf("text string, truncated boolean, error string")
     def call(prompt: pd.Series) -> pd.DataFrame:
         try:
-            rows = [(t, cut, None) for t, cut in model(prompt.tolist())]
+            rows = [(t, cut, None) for t, cut in model(prompt.tolist(), **named)]
         except Exception as e:  # the caller sees the error by row
             rows = [(None, False, rate_limit_message(str(e)))] * len(prompt)
         return pd.DataFrame(rows, columns=["text", "truncated", "error"])

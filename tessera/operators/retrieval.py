@@ -156,7 +156,8 @@ def document_signatures(chunks: DataFrame) -> DataFrame:
 def select_without_repeats(ranked: DataFrame, signatures: DataFrame, cap: int | None = CAP, limit: int | None = None, lifted: DataFrame | None = None) -> DataFrame:
     """Greedy choice in rank order: equal documents share a cap, and a text is taken once. Questions in lifted have no cap.
 
-    A hit that the cap turns away does not count as taken, so the choice depends on its order and is made by question.
+    A hit that the cap turns away does not count as taken, so the choice depends on its order and is made by question. A
+    question's candidates are a pool of at most some hundreds, whatever the corpus.
     """
     rows = ranked.join(signatures, "doc_id", "left").select("q_id", "chunk_no", "doc_id", "text", "rank", F.coalesce("same_as", "doc_id").alias("same_as"))
     free = lifted.select("q_id", F.lit(True).alias("free")).distinct() if lifted is not None else None

@@ -6,7 +6,7 @@ takes prompts and gives (text, truncated) pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -185,16 +185,18 @@ def retrieve(questions: DataFrame, index: Index, profile: Profile, embed: Callab
     return columns.join(broadcast_if_small(held(hits), 128), "chunk_no")
 
 
-def ask(questions: DataFrame, hits: DataFrame, profile: Profile, generate: Callable[[list[str]], list[tuple[str, bool]]]) -> DataFrame:
+def ask(questions: DataFrame, hits: DataFrame, profile: Profile, generate: Callable[..., list[tuple[str, bool]]], options: Mapping[str, object] | None = None, reminder: str = "") -> DataFrame:
     """q_id, question, answer, status, sources; a question without hits is answered without the model.
 
+    options go to the generator by name; reminder stands behind the sources of each prompt.
+
     Profiles with signals have a struct of them besides, null for questions without hits.
     """
     tables = F.col("tables") if "tables" in hits.columns else F.array().cast(chunking.TABLES)
     headers = F.transform(tables, lambda t: F.struct(t["table_id"].alias("table_id"), t["header_text"].alias("header_text")))
     sources = answers.number_citations(hits).withColumn("table_headers", headers)
-    prompts = answers.prompts(questions, answers.contexts(sources), profile.prompt_filters and "filters" in questions.columns)
-    said = answers.generate(prompts, generate)
+    prompts = answers.prompts(questions, answers.contexts(sources), profile.prompt_filters and "filters" in questions.columns, reminder)
+    said = answers.generate(prompts, generate, options)
     listed = sources.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("citation", "doc_id", "chunk_id", "score", "text"))).alias("sources"))
     rows = questions.select("q_id", "question").join(said.select("q_id", "text", "truncated", "error"), "q_id", "left").join(listed, "q_id", "left").withColumn("n_sources", F.size("sources"))
     if profile.signals:

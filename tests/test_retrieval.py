@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, dense, evaluation, ingest, lexical, retrieval
+from tessera.operators import answers, dense, evaluation, ingest, lexical, retrieval, topk
 
 
 def test_rrf_ties_keep_first_seen(spark):
@@ -120,3 +120,54 @@ def test_case_violations(spark):
     rows = [(0, "q", True, ["d"], ["k"], "keyword", 1.0, None), (1, " ", True, None, None, "numeric", 1.0, None), (2, "q", False, None, ["k"], "keyword", -1.0, None)]
     got = {(r["index"], r["problem"]) for r in evaluation.violations(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(1, "blank question"), (1, "answerable without documents"), (1, "numeric without values"), (2, "unanswerable with a value grading"), (2, "negative weight")}
+
+
+def test_prompts_and_options(spark):
+    q = spark.createDataFrame([(1, "왜?", {"기관": "시립"}), (2, "뭐?", None)], "q_id int, question string, filters map<string,string>")
+    context = spark.createDataFrame([(1, "[]"), (2, "[]")], "q_id int, context string")
+    rows = answers.prompts(q, context, True, "\n다시: {question}")
+    assert [r["prompt"] for r in rows.orderBy("q_id").collect()] == ["질문: 왜?\n기관: 시립\n\n검색 자료(JSON):\n[]\n다시: 왜?", "질문: 뭐?\n\n검색 자료(JSON):\n[]\n다시: 뭐?"]
+
+    def model(prompts, limit=0):
+        if limit < 5:
+            raise RuntimeError("429 too many")
+        return [("x" * limit, True) for _ in prompts]
+
+    assert {(r["text"], r["truncated"], r["error"]) for r in answers.generate(rows, model, {"limit": 7}).collect()} == {("xxxxxxx", True, None)}
+    assert {r["error"] for r in answers.generate(rows, model).collect()} == {"too many requests"}
+
+
+def test_vectors_of_two_sizes_are_refused(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0])], "chunk_no long, embedding array<float>")
+    assert [r["chunk_no"] for r in dense.check_vectors(rows).collect()] == [1]
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    """Rankings are the same however the questions are dealt into blocks, and however few rows a partition may hold."""
+    rnd = random.Random(2)
+    chunks = spark.createDataFrame([(i, " ".join(rnd.choice(["ab", "bc", "cd", "de"]) for _ in range(rnd.randrange(1, 9)))) for i in range(200)], "chunk_no long, text string").repartition(3)
+    vectors = spark.createDataFrame([(i, [rnd.random(), rnd.random()]) for i in range(200)], "chunk_no long, embedding array<float>").repartition(3)
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(["ab", "bc de", "cd", "xy", ""])], "q_id long, question string")
+    asked = vectors.where("chunk_no < 5").select(F.col("chunk_no").alias("q_id"), "embedding")
+    rows = lambda df: sorted((r["q_id"], r["rank"], r["chunk_no"], round(r["score"], 9)) for r in df.collect())
+    whole, near = rows(lexical.bm25_ranking(q, chunks, 7)), rows(dense.dense_ranking(asked, vectors, 7))
+    assert len(whole) == 21 and len(near) == 35
+    table = lexical.gram_table(chunks)
+    monkeypatch.setattr(lexical, "QUESTION_BYTES", 8)
+    monkeypatch.setattr(lexical, "QUESTION_CELLS", 1)
+    monkeypatch.setattr(dense, "QUERY_BYTES", 20)
+    monkeypatch.setattr(topk, "HELD", 3)
+    assert rows(lexical.bm25_ranking(q, chunks, 7)) == rows(lexical.bm25_ranking(q, table, 7)) == whole and rows(dense.dense_ranking(asked, vectors, 7)) == near
+    every = rows(lexical.bm25_ranking(q, chunks, None))
+    assert [r for r in every if r[1] <= 7] == whole
+
+
+def test_nearest_rank_without_groups(spark, monkeypatch):
+    """The range of a rank is narrowed by counts; ties, one value and no rows included."""
+    monkeypatch.setattr(evaluation, "SORTED", 10)
+    rnd = random.Random(4)
+    for values in ([rnd.gauss(0, 1) for _ in range(500)], [1.0] * 300 + [2.0] * 50, [rnd.randrange(5) * 1.0 for _ in range(200)], [7.0], [1e9, *range(100)]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        got = evaluation.nearest_rank(df, "v", (0.0, 0.5, 0.95, 1.0)).first()
+        assert list(got) == [sorted(values)[round(q * (len(values) - 1))] for q in (0.0, 0.5, 0.95, 1.0)]
+    assert evaluation.nearest_rank(spark.createDataFrame([], "v double"), "v", (0.5,)).first()[0] is None
