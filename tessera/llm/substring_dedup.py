@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import (
-    GOLDEN, MARKS, PACKED, by_bucket, by_buckets, bytes_hash, equal_runs, frequent_anchors, keyed, mark_rows, mix, narrow, pack, packed_rows, put_back,
+    GOLDEN, MARKS, PACKED, by_bucket, by_buckets, bytes_hash, eights, frequent_anchors, keyed, mark_rows, mix, narrow, pack, packed_rows, put_back,
     ragged, ready_rows, shuffle_partitions, sliding_min, spans_by_row, steps, text_size, unpack, wide, with_marks,
 )
 
@@ -21,22 +19,58 @@ BUCKET_BYTES = 8 << 20
 KEPT_BYTES = 16 << 20
 
 
-def word_ids(texts: list[str], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts, and how many words each text has. Words end at ASCII white space alone."""
-    parts = [x.encode().split() for x in texts]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((known[w] for p in parts for w in p), np.int64, int(sizes.sum()))
-    return flat, sizes
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: A word of so many bytes or more is hashed by itself, and not eight bytes at a time with the others.
+LONG_WORD = 1 << 12
 
 
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of a text starts and ends, in bytes."""
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    blank = np.concatenate([[True], space[np.frombuffer(raw, np.uint8)], [True]])
+    blank = np.concatenate([[True], SPACES[np.frombuffer(raw, np.uint8)], [True]])
     return np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
 
 
+def single_spaced(raw: bytes) -> bytes:
+    """raw with one space for each stretch of white space, so that equal words are equal bytes."""
+    flat = np.frombuffer(raw, np.uint8)
+    blank = SPACES[flat]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    return np.where(blank, np.uint8(32), flat)[keep].tobytes()
+
+
+def word_hashes(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A value for each word that is the same wherever its bytes stand; different words may share one, if rarely."""
+    view = eights(np.frombuffer(raw + bytes(8), np.uint8))
+    size = end - begin
+    out = size.astype(np.uint64) * GOLDEN
+    live, at = np.flatnonzero(size < LONG_WORD), 0
+    while len(live):
+        rest = np.minimum(size[live] - at, 8)
+        block = view[begin[live] + at].astype(np.uint64) >> (8 * (8 - rest)).astype(np.uint64)
+        out[live] = mix((out[live] ^ block) * GOLDEN + np.uint64(at + 1))
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size >= LONG_WORD)
+    if len(long):
+        out[long] = bytes_hash([raw[a:b] for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True)])
+    return out
+
+
+def equal_bytes(flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[i] bytes from a[i] and from b[i] on are equal; flat has eight bytes more than any of them needs."""
+    view, same, live = eights(flat), np.ones(len(a), bool), np.arange(len(a))
+    at = 0
+    while len(live):
+        rest = (8 * (8 - np.minimum(size[live] - at, 8))).astype(np.uint64)
+        good = view[a[live] + at].astype(np.uint64) >> rest == view[b[live] + at].astype(np.uint64) >> rest
+        same[live[~good]] = False
+        at += 8
+        live = live[good & (size[live] > at)]
+    return same
+
+
 def minimisers(h: np.ndarray, width: int, sub: int, frequent: np.ndarray | None) -> np.ndarray:
     """The least hash of sub consecutive words in each window, from hashes of words."""
     grams = h[: len(h) - sub + 1].copy()
@@ -49,18 +83,26 @@ def anchors_of(width: int, sub: int):
     """For common.frequent_anchors(): the minimisers of each row."""
 
     def of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        known: dict[bytes, int] = defaultdict(count().__next__)
-        flat, sizes = word_ids(part.column("text").to_pylist(), known)
-        if len(flat) < width:
+        raw, begin, end, row = words_of(part)
+        if len(begin) < width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        least = minimisers(bytes_hash(list(known))[flat], width, sub, None)
+        least = minimisers(word_hashes(raw, begin, end), width, sub, None)
         inside = row[: len(least)] == row[width - 1 :]
         return row[: len(least)][inside], least[inside]
 
     return of
 
 
+def words_of(part: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The single-spaced texts of a batch, where each word starts and ends in it, and the row of each word."""
+    texts = [x.encode() for x in part.column("text").to_pylist()]
+    raw = b"\n".join(texts)
+    starts = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    row = np.searchsorted(starts, word_bounds(raw)[0], side="right") - 1
+    raw = single_spaced(raw)
+    return raw, *word_bounds(raw), row
+
+
 def super_kmers(width: int, sub: int, buckets: int, frequent: np.ndarray | None):
     """Map side: consecutive windows that share a minimiser become one packed string of their bucket.
 
@@ -73,21 +115,16 @@ def super_kmers(width: int, sub: int, buckets: int, frequent: np.ndarray | None)
         sent_bytes = 0
         for batch in batches:
             for part in steps(batch):
-                known: dict[bytes, int] = defaultdict(count().__next__)
-                texts = part.column("text").to_pylist()
-                flat, sizes = word_ids(texts, known)
+                raw, begin, end, row = words_of(part)
                 ids = np.asarray(part.column("doc_id").fill_null(0))
                 valid_id = np.asarray(part.column("doc_id").is_valid())
                 fps = np.asarray(part.column("fp"))
-                if len(flat) < width:
+                if len(begin) < width:
                     continue
-                h = bytes_hash(list(known))[flat]
-                raw = "\n".join(texts).encode()
-                del known, texts
-                begin, end = word_bounds(raw)
+                h = word_hashes(raw, begin, end)
+                flat = np.frombuffer(raw + bytes(8), np.uint8)
                 least = minimisers(h, width, sub, frequent)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                first = np.cumsum(sizes) - sizes
+                first = np.searchsorted(row, np.arange(part.num_rows))
                 n = len(least)
                 ok = (row[:n] == row[width - 1 :]) & valid_id[row[:n]]
                 new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:n] != row[: n - 1]) | ~ok[:-1]]) & ok
@@ -106,7 +143,9 @@ def super_kmers(width: int, sub: int, buckets: int, frequent: np.ndarray | None)
                 leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
                 other = np.flatnonzero((order != leader) & (length[order] == length[leader]))
                 twin, kept = order[other], leader[other]
-                same = equal_runs(flat, start[twin], start[kept], length[twin])
+                low, size = begin[start], end[start + length - 1] - begin[start]
+                same = size[twin] == size[kept]
+                same[same] = equal_bytes(flat, low[twin[same]], low[kept[same]], size[twin[same]])
                 twin, kept = twin[same], kept[same]
                 later = ids[row[start[twin]]] > ids[row[start[kept]]]
                 again = np.unique(kept)
@@ -151,49 +190,56 @@ def super_kmers(width: int, sub: int, buckets: int, frequent: np.ndarray | None)
 
 
 def count_windows(width: int):
-    """Bucket side: sorts a bucket's windows, compares neighbours word by word and marks all but the smallest doc_id's."""
+    """Bucket side: sorts a bucket's windows, compares neighbours byte by byte and marks all but the smallest doc_id's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ready, payloads in by_buckets(batches):
             if ready is not None:
                 yield ready
                 continue
-            known: dict[bytes, int] = defaultdict(count().__next__)
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+            texts, cols, done = [], [[] for _ in range(7)], 0
             while payloads:
                 words, length, ids, fps, doc, at = unpack(payloads.pop())
-                doc = wide(doc)
-                for c, x in zip(cols, (np.fromiter(map(known.__getitem__, bytes(words).split()), np.int32), wide(length), np.frombuffer(ids, np.int64)[doc], np.frombuffer(fps, np.int64)[doc], wide(at)), strict=True):
+                words, doc = bytes(words) + b"\n", wide(doc)
+                begin, end = word_bounds(words)
+                kind = np.int32 if done < 1 << 30 else np.int64
+                for c, x in zip(cols, (word_hashes(words, begin, end), (begin + done).astype(kind), (end + done).astype(kind), wide(length), np.frombuffer(ids, np.int64)[doc], np.frombuffer(fps, np.int64)[doc], wide(at)), strict=True):
                     c.append(x)
-            flat, length, ids, fps, at = map(np.concatenate, cols)
-            del cols
+                texts.append(words)
+                done += len(words)
+            h, begin, end, length, ids, fps, at = map(np.concatenate, cols)
+            flat = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+            del cols, texts
             first = np.cumsum(length) - length
             windows = length - width + 1
             pos = ragged(first, windows)
-            run_of = np.repeat(np.arange(len(length)), windows)
-            h = mix(np.arange(len(known), dtype=np.uint64) + GOLDEN)
-            del known
-            key = h[flat[pos]]
+            run_of = np.repeat(np.arange(len(length), dtype=np.int32), windows)
+            key = h[pos]
             for j in range(1, width):
                 key *= GOLDEN
-                key += h[flat[pos + j]]
-            order = np.argsort(key, kind="stable")
+                key += h[pos + j]
+            del h
+            order = np.argsort(key)
             twin = key[order][1:] == key[order][:-1]
-            near = np.concatenate([twin, [False]]) | np.concatenate([[False], twin])
+            near = np.zeros(len(order), bool)
+            near[1:] |= twin
+            near[:-1] |= twin
             order = order[near]
             if not len(order):
                 continue
-            p = pos[order]
-            same = key[order][1:] == key[order][:-1]
-            exact = same.copy()
-            for j in range(width):
-                exact &= flat[p[1:] + j] == flat[p[:-1] + j]
-            if (same & ~exact).any():  # two different windows with one hash: sorted by their words
-                order = order[np.lexsort([flat[p + j] for j in range(width)][::-1])]
-                p = pos[order]
-                exact = np.ones(len(p) - 1, bool)
-                for j in range(width):
-                    exact &= flat[p[1:] + j] == flat[p[:-1] + j]
+            low = begin[pos[order]].astype(np.int64)
+            size = end[pos[order] + width - 1] - low
+
+            def neighbours(order, low, size, key=key, flat=flat):
+                exact = (key[order][1:] == key[order][:-1]) & (size[1:] == size[:-1])
+                exact[exact] = equal_bytes(flat, low[1:][exact], low[:-1][exact], size[1:][exact])
+                return exact
+
+            exact = neighbours(order, low, size)
+            if ((key[order][1:] == key[order][:-1]) & ~exact).any():  # different windows with one hash: sorted by their bytes
+                by = sorted(range(len(order)), key=lambda i: (int(key[order[i]]), flat[low[i] : low[i] + size[i]].tobytes()))
+                order, low, size = order[by], low[by], size[by]
+                exact = neighbours(order, low, size)
             group = np.concatenate([[0], np.cumsum(~exact)])
             doc = ids[run_of[order]]
             low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import (
-    GOLDEN, MARKS, PACKED, by_bucket, by_buckets, equal_runs, frequent_anchors, keyed, mark_rows, mix, narrow, pack, packed_rows, put_back, ragged,
+    GOLDEN, MARKS, PACKED, by_bucket, by_buckets, eights, equal_runs, frequent_anchors, keyed, mark_rows, mix, narrow, pack, packed_rows, put_back, ragged,
     ready_rows, shuffle_partitions, sliding_min, spans_by_row, steps, text_size, unpack, wide, with_marks,
 )
 
@@ -41,11 +41,6 @@ class Cover:
         return (self.base[(j - i) % self.period] - i) % self.period
 
 
-def eights(text: np.ndarray) -> np.ndarray:
-    """The eight bytes at each position, as numbers that sort as the bytes do; a view of text."""
-    return np.ndarray((len(text) - 7,), ">u8", buffer=text, strides=(1,))
-
-
 def key_at(view: np.ndarray, pos: np.ndarray, at: int, depth: int) -> np.ndarray:
     """The eight bytes that stand at behind each position, those beyond depth left out."""
     key = view[pos + at].astype(np.uint64)

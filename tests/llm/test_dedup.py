@@ -6,10 +6,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import suffix_dedup as sd
 from tessera.llm.common import frequent_anchors, merged, pack, sliding_min, text_size, unpack
 from tessera.llm.jaccard_join import LEAF, ngram_jaccard_join, one_of_each_class
-from tessera.llm.substring_dedup import anchors_of, substring_dedup, word_bounds
+from tessera.llm import substring_dedup as sub
+from tessera.llm import suffix_dedup as sd
+from tessera.llm.substring_dedup import anchors_of, count_windows, substring_dedup, super_kmers, word_bounds
 from tests.llm.conftest import ODD
 
 
@@ -120,6 +121,37 @@ def test_strings_met_before_in_a_task():
     assert gone == {11, 20, 21, 10, 6, 30, 31}
 
 
+@pytest.mark.parametrize("kinds", [1, 3, 50])
+def test_words_of_one_hash_are_told_apart(monkeypatch, kinds):
+    """With hashes that nearly all words share the marks are the same, as bytes decide."""
+    rnd = random.Random(kinds)
+    lines = [" ".join(rnd.choice("abcdef") * rnd.randrange(1, 4) for _ in range(18)) for _ in range(6)]
+    rows = [(i, "  \n".join(rnd.choice(lines) for _ in range(4))) for i in rnd.sample(range(100), 40)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in part], pa.int64()), "fp": pa.array([0] * len(part), pa.int64()), "text": pa.array([t for _, t in part])}) for part in (rows[:15], rows[15:])]
+
+    def removed():
+        packed = pa.Table.from_batches(list(super_kmers(13, 3, 2, None)(iter(batches)))).sort_by("bucket").to_batches()
+        gone = {}
+        for b in count_windows(13)(iter(packed)):
+            for r in b.to_pylist():
+                gone.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+        return {i: len(x) for i, x in gone.items()}
+
+    want = {i: n for i, _, n, _ in brute_words(rows) if n}
+    assert removed() == want
+    real = sub.word_hashes
+    monkeypatch.setattr(sub, "word_hashes", lambda *a: real(*a) % np.uint64(kinds))
+    assert removed() == want
+
+
+def test_word_hashes_do_not_depend_on_the_place():
+    words = ["a", "é", "漢字", "x" * 7, "x" * 8, "x" * 9, "x" * 16, "x" * 17, "y" * 5000, "y" * 5001]
+    raw = " ".join(words + words[::-1]).encode()
+    h = sub.word_hashes(raw, *word_bounds(raw)).tolist()
+    assert h[: len(words)] == h[len(words) :][::-1] and len(set(h)) == len(words)
+    assert sub.single_spaced(b" a\x0b\n b\t ") == b"a b " and sub.single_spaced(b"") == b""
+
+
 def test_frequent_anchors(spark, make):
     """Anchors of a passage that all rows share are put back, and no result changes."""
     rnd = random.Random(3)
